@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id inside the packed exchanges: larger than every id.
 NULL_ID = np.iinfo(np.int64).max
@@ -177,3 +179,42 @@ def grouped_runs(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[tu
 
 def blobs(parts: list[pa.RecordBatch], column: int) -> list[bytes]:
     return [x for p in parts for x in p.column(column).to_pylist()]
+
+
+def local_ranks(keys: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """How many equal keys came before each; `seen` goes on from batch to batch."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    first = np.array([seen.get(int(k), 0) for k in ranked[starts]], np.int64)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(starts, sizes) + np.repeat(first, sizes)
+    for k, f, n in zip(ranked[starts], first, sizes):
+        seen[int(k)] = int(f + n)
+    return out
+
+
+def numbered_offsets(ranked: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds `name`, a gapless number from 0 within each `key` over the whole table.
+
+    The rows carry the task that made them (`_task`) and their rank in it (`_rank`), so that no key is gathered in one
+    task: only the tasks' counts meet, and each row looks up its task's offset.
+    """
+    before = Window.partitionBy(key).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy(key, "_task").agg(F.count(F.lit(1)).alias("_n")).select(key, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return ranked.join(offsets, [key, "_task"]).withColumn(name, F.col("_offset") + F.col("_rank")).drop("_task", "_rank", "_offset")
+
+
+def number_within(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds `name`, a gapless number from 0 within each value of the integer column `key`."""
+    at = df.columns.index(key)
+    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.LongType()), T.StructField("_rank", T.LongType())])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            ranks = local_ranks(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64), seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ranks), task, np.int64)), pa.array(ranks)], [*batch.schema.names, "_task", "_rank"])
+
+    return numbered_offsets(cut(df.mapInArrow(rank, schema)), key, name)

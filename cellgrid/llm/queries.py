@@ -13,6 +13,14 @@ def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellgrid.llm import sharding
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source").withColumnRenamed("doc_id", "id")
+    got = sharding.shard(docs, 8).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellgrid.llm import quality
 
@@ -23,6 +31,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cellgrid.llm import packing
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0).withColumnRenamed("id", "doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellgrid.llm import language_id
 
@@ -33,7 +50,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
 }
 
