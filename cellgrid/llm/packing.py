@@ -14,10 +14,12 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,39 +35,99 @@ ROUNDS = 400
 SHARPNESS, STEP = 4.0, 0.5
 
 
+#: A word of Latin letters that have one code point each, with marks after it: its letters and its marks are tokenised apart.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class WordIds(dict):
     """Ids of words as little-endian 32-bit integers. The tokenizer never joins over white space, so a text's ids are
-    its words' ids in a row. Bounded by `most` words."""
+    its words' ids in a row; nor over the border of letters and marks, so most words need only their letters' ids,
+    which are remembered too. Bounded by `most` words and as many runs of letters or marks."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.runs: dict[str, bytes] = {"": b""}
+        self.plain = self._plain(path)
+
+    def _plain(self, path: str):
+        """A tokenizer for runs of lower-case letters or of marks, set between spaces, without the normal form and the
+        splitting that these don't need; None where an example shows that the whole one treats them otherwise."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        plain = Tokenizer.from_file(path)
+        suffix = getattr(plain.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        self.ends = np.zeros(plain.get_vocab_size() + 1, bool)
+        self.ends[[i for x, i in plain.get_vocab().items() if x.endswith(suffix)]] = True
+        whole = self.tokenizer.encode("Grün Été,. a! çé.", add_special_tokens=False).ids
+        return plain if whole == plain.encode("grün été ,. a ! çé .", add_special_tokens=False).ids else None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[str], at_once: int = 64) -> list[bytes]:
+        groups = [runs[k : k + at_once] for k in range(0, len(runs), at_once)]
+        out: list[bytes] = []
+        for group, got in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(group):
+                out += self._encode(group)
+                continue
+            whole, start = ids.tobytes(), 0
+            for stop in stops.tolist():
+                out.append(whole[start:stop])
+                start = stop
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self]
+        fresh = words.difference(self)
         if len(self) + len(fresh) > self.most:
             self.clear()
-            fresh = list(words)
-        if fresh:
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            self.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(fresh, got))
+            fresh = words
+        if not fresh:
+            return
+        split, other = [], []
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            m = _SIMPLE.fullmatch(text) if self.plain else None
+            if m is None:
+                other.append((w, text))
+            else:
+                split.append((w, m[1].lower(), m[2]))
+        runs = self.runs
+        unknown = {x for _, a, b in split for x in (a, b)}.difference(runs)
+        if len(runs) + len(unknown) > self.most:
+            runs.clear()
+            runs[""] = b""
+            unknown = {x for _, a, b in split for x in (a, b) if x}
+        runs.update(zip(unknown, self._encode_runs(list(unknown))))
+        self.update((w, runs[a] + runs[b]) for w, a, b in split)
+        self.update(zip((w for w, _ in other), self._encode([x for _, x in other])))
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
+#: Of this worker process, by the tokenizer's path: what one task has learned serves the next.
+_KNOWN: dict[str, WordIds] = {}
+
+
 def tokenised(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> Iterator[tuple[list, list[bytes]]]:
     """Ids of the rows and of their tokens, with the separator, chunk by chunk."""
-    known = None
     end = np.array([separator], "<u4").tobytes()
     for batch in batches:
-        known = known or WordIds(path)
+        known = _KNOWN.get(path) or _KNOWN.setdefault(path, WordIds(path))
         at = 0
         for ids, texts in text_chunks(batch, 0, 1):
             words = [t.split() for t in texts]
-            known.learn({w for d in words for w in d})
+            known.learn(set(chain.from_iterable(words)))
             yield batch.column(0).slice(at, len(ids)), [known.of(d) + end for d in words]
             at += len(ids)
 
