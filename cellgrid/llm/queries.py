@@ -77,6 +77,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellgrid.llm import embedding_dedup
+
+    vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("vec_id", "id")
+    return embedding_dedup.near_duplicates(vectors).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
@@ -85,6 +92,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_html_extract": op8_html_extract,
     "op9_language_id": op9_language_id,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
