@@ -13,6 +13,13 @@ def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellgrid.llm import minhash_dedup
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+    return minhash_dedup.near_duplicates(docs, words=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellgrid.llm import sharding
 
@@ -85,6 +92,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_tree": op5_chat_tree,
