@@ -53,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a relation's size; only the number of buckets depends on it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 1 << 30
 
 

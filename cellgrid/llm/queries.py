@@ -13,6 +13,14 @@ def _fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellgrid.llm import substring_dedup
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+    got = substring_dedup.remove_repeats(docs, 13).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellgrid.llm import minhash_dedup
 
@@ -92,6 +100,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
