@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,57 @@ def remix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The last k bytes of a 64-bit word that belong to a word of the text, by k.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+class Words(NamedTuple):
+    """The words of some texts: runs of bytes other than ASCII white space."""
+
+    #: The texts in a row, with some space after each.
+    joined: bytes
+    starts: np.ndarray
+    sizes: np.ndarray
+    #: 64-bit hashes.
+    hashes: np.ndarray
+    #: How many words each text has.
+    counts: np.ndarray
+
+    def word(self, i: int) -> bytes:
+        return self.joined[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+
+def words_of(texts: list[bytes], lower: bool = False) -> Words:
+    """lower: A-Z only."""
+    joined = b" ".join(texts) + b" " * 9
+    if lower:
+        joined = joined.lower()
+    buffer = np.frombuffer(joined, np.uint8)
+    word = ~_SPACE[buffer]
+    turns = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        turns = np.concatenate(([0], turns))
+    starts, size = turns[::2], turns[1::2] - turns[::2]
+    eights = np.ndarray((len(buffer) - 8,), "<u8", buffer=joined, strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live, at, left = None, starts, size
+    while len(at):
+        value = eights[at] & _BYTES[np.minimum(left, 8)]
+        mixed = ((out if live is None else out[live]) ^ value) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        more = np.flatnonzero(left > 8)
+        if live is None:
+            out, live = mixed, more
+        else:
+            out[live] = mixed
+            live = live[more]
+        at, left = at[more] + 8, left[more] - 8
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return Words(joined, starts, size, remix(out), np.diff(np.searchsorted(starts, ends), prepend=0))
+
+
 def text_chunks(batch: pa.RecordBatch | pa.Table, id_at: int, text_at: int) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids (null: NULL_ID) and texts as UTF-8 (null: empty), about CHUNK_BYTES at a time; no text is cut."""
     ids = [NULL_ID if x is None else x for x in batch.column(id_at).to_pylist()]

@@ -26,20 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, WordHashes, cut, mix, pick, remix, text_chunks
+from cellgrid.llm.common import NULL_ID, cut, mix, pick, remix, text_chunks, words_of
 from cellgrid.llm.components import components
 
 PARTS = 12
 PER_PART = 3
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, joined, and where each text's begin (and the end)."""
-    docs = [t.lower().split() for t in texts]  # bytes.lower lowers A-Z only
-    counts = np.fromiter(map(len, docs), np.int64, len(docs))
-    flat = np.fromiter((hashes[w] for d in docs for w in d), np.uint64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(docs)), counts)
-    ends = np.cumsum(counts)
+    _, _, _, flat, counts = words_of(texts, lower=True)
+    owner = np.repeat(np.arange(len(texts)), counts)
     rows, values = [], []
     n = len(flat) - words + 1
     if n > 0:
@@ -51,15 +48,15 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, words: int) -> tuple[np
         values.append(value[whole])
     for i in np.flatnonzero((counts > 0) & (counts < words)):
         rows.append(np.array([i]))
-        values.append(np.array([xxhash.xxh3_64_intdigest(b"\x00".join(docs[i]))], np.uint64))
+        values.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(texts[i].lower().split()))], np.uint64))
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(len(docs) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     row, value = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))
     row, value = row[fresh], value[fresh]
-    return value, np.searchsorted(row, np.arange(len(ends) + 1))
+    return value, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
 def _factors(parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +79,10 @@ def _measure(docs: DataFrame, words: int, parts: int) -> DataFrame:
     """(id, n_shingles, node, parts)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             at = 0
             for ids, texts in text_chunks(batch, 0, 1):
-                values, starts = shingle_sets(texts, hashes, words)
+                values, starts = shingle_sets(texts, words)
                 sizes = np.diff(starts)
                 some = np.flatnonzero(sizes)
                 node, sig = [None] * len(ids), [None] * len(ids)
@@ -105,10 +101,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, set): the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for ids, texts in text_chunks(batch, 0, 1):
-                values, starts = shingle_sets(texts, hashes, words)
+                values, starts = shingle_sets(texts, words)
                 sets = [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "set"])
 

@@ -6,8 +6,8 @@ pair left-right by a name for the pair. A name is a hash of the round and of wha
 alike without asking each other. Equal stretches of text get equal symbols but for a few at their borders; every symbol
 therefore carries its context, the words from which it follows.
 
-A window's anchor is its first symbol of the highest round whose context lies within the window, so equal windows have
-equal anchors, and neighbouring windows mostly share one. Documents exchange their anchors; those that only one
+Of the symbols of the highest round whose context lies within a window, the one whose context has the least hash is the
+window's anchor, so equal windows have equal anchors, and neighbouring windows mostly share one. Documents exchange their anchors; those that only one
 document has end there. Windows with a shared anchor are then exchanged themselves, by 128-bit hashes of their words,
 which confirms or refutes the repeat. A window that also starts in a document with a smaller id is removed with all its
 words.
@@ -24,30 +24,58 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, WordHashes, block_of, blobs, bucket_count, by_key, grouped_runs, mix, narrow, pick, place, remix, shuffle_partitions, text_chunks, widen
+from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, place, remix, shuffle_partitions, text_chunks, widen
 
 WINDOW = 13
-ROUNDS = 4
+ROUNDS = 2
 #: Entries that a task gathers before it packs and sends them.
 PACK = 1 << 20
 
 
-def joined_words(texts: list[bytes], hashes: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words, their hashes with a separator before each text and after the last, and the separators' places."""
-    words = [t.split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+
+    def __init__(self, base: int):
+        self.factors = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, f)))) for f in self.factors)
+        return self.up[:n], self.down[:n]
+
+
+_FIRST, _SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
+
+
+class Spans:
+    """Hashes of any stretches of a text's words, each from two sums."""
+
+    def __init__(self, words: np.ndarray, powers: Powers):
+        up, self.down = powers(len(words) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return remix((self.sums[hi] - self.sums[lo]) * self.down[lo])
+
+
+def joined_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes with a separator before each text and after the last, and the separators' places."""
+    _, _, _, hashes, counts = words_of(texts)
     breaks = np.concatenate(([0], np.cumsum(counts + 1)))
-    flat = np.zeros(int(counts.sum()) + len(words) + 1, np.uint64)
+    flat = np.zeros(len(hashes) + len(breaks), np.uint64)
     inside = np.ones(len(flat), bool)
     inside[breaks] = False
-    flat[inside] = np.fromiter((hashes[w] for d in words for w in d), np.uint64, int(counts.sum()))
-    return words, flat, breaks
+    flat[inside] = hashes
+    return flat, breaks
 
 
 def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,28 +118,39 @@ def starts_of_windows(breaks: np.ndarray, window: int) -> tuple[np.ndarray, np.n
 
 
 def anchors(words: np.ndarray, breaks: np.ndarray, starts: np.ndarray, window: int, n_rounds: int = ROUNDS) -> np.ndarray:
-    """The anchor of each window."""
+    """The anchor of each window: a hash of a symbol's context."""
     out = np.zeros(len(starts), np.uint64)
-    for k, (name, lo, hi) in enumerate(rounds(words, breaks, n_rounds)):
-        # the first symbol whose context starts at or after the window
-        upto = np.cumsum(np.bincount(lo, minlength=len(words) + 1))
-        at = np.minimum(upto[starts - 1], len(name) - 1)
-        fits = (lo[at] >= starts) & (hi[at] <= starts + window)
-        out = np.where(fits, remix(name[at] ^ np.uint64(k)), out)
+    spans = Spans(words, _FIRST)
+    left = np.ones(len(starts), bool)  # windows without an anchor yet
+    for k, (_, lo, hi) in reversed(list(enumerate(rounds(words, breaks, n_rounds)))):
+        own = starts[left]
+        if not len(own):
+            break
+        # the symbols whose context starts in the window or after, less those whose context ends beyond it
+        first = np.cumsum(np.bincount(lo, minlength=len(words) + 1))[own - 1]
+        last = np.cumsum(np.bincount(hi, minlength=len(words) + 2))[own + window]
+        fits = last > first
+        least = remix(spans(lo, hi) ^ np.uint64(k))
+        size = np.where(fits, last - first, 1)
+        step = 1
+        got = np.full(len(own), np.iinfo(np.uint64).max)
+        first, last = np.minimum(first, len(least) - 1), np.minimum(last, len(least))
+        while step <= size.max(initial=1):
+            now = np.flatnonzero(fits & (size >= step) & (size < 2 * step))
+            got[now] = np.minimum(least[first[now]], least[last[now] - step])
+            least = np.minimum(least, np.concatenate((least[step:], np.full(min(step, len(least)), np.iinfo(np.uint64).max))))
+            step *= 2
+        where = np.flatnonzero(left)
+        out[where[fits]] = got[fits]
+        left[where[fits]] = False
     return out
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each window's words."""
-    n = len(words) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    other = remix(words ^ np.uint64(0x5851F42D4C957F2D))
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(window):
-        a = a * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-        b = b * np.uint64(0xD1342543DE82EF95) + other[k : k + n]
-    return remix(a[starts]), remix(b[starts])
+    a = Spans(words, _FIRST)(starts, starts + window)
+    b = Spans(remix(words ^ np.uint64(0x5851F42D4C957F2D)), _SECOND)(starts, starts + window)
+    return a, b
 
 
 def _packed(bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -152,7 +191,6 @@ def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(key, a0, a1): anchors and the documents that have them, by bucket of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -163,7 +201,7 @@ def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
         for batch in batches:
             for ids, texts in text_chunks(batch, 0, 1):
-                _, flat, breaks = joined_words(texts, hashes)
+                flat, breaks = joined_words(texts)
                 starts, owner = starts_of_windows(breaks, window)
                 if len(starts):
                     names = anchors(flat, breaks, starts, window)
@@ -221,10 +259,9 @@ def _send_windows(docs: DataFrame, shared: DataFrame, window: int, buckets: int)
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([empty])
         hit_names, hit_ids = _hits(right)
-        hashes = WordHashes()
         out = []
         for ids, texts in text_chunks(left, left.column_names.index("id"), left.column_names.index("text")):
-            _, flat, breaks = joined_words(texts, hashes)
+            flat, breaks = joined_words(texts)
             starts, owner = starts_of_windows(breaks, window)
             if not len(starts):
                 continue
@@ -262,10 +299,9 @@ def _cut_out(docs: DataFrame, later: DataFrame, window: int) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         hit_names, hit_ids = _hits(right) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        hashes = WordHashes()
         at, n_words, n_removed, kept = [], [], [], []
         for ids, texts in text_chunks(left, left.column_names.index("id"), left.column_names.index("text")):
-            words, flat, breaks = joined_words(texts, hashes)
+            flat, breaks = joined_words(texts)
             starts, owner = starts_of_windows(breaks, window)
             gone = np.zeros(len(flat) + 1, np.int64)
             if len(starts) and len(hit_ids):
@@ -277,12 +313,16 @@ def _cut_out(docs: DataFrame, later: DataFrame, window: int) -> DataFrame:
                 np.add.at(gone, removed, 1)
                 np.add.at(gone, removed + window, -1)
             covered = np.cumsum(gone)[:-1] > 0
-            for i, own in enumerate(words):
-                mask = covered[breaks[i] + 1 : breaks[i + 1]]
-                lost = int(mask.sum())
-                n_words.append(len(own))
-                n_removed.append(lost)
-                kept.append((b" ".join(own if not lost else [w for w, g in zip(own, mask.tolist()) if not g])).decode("utf-8", "replace"))
+            total = np.concatenate(([0], np.cumsum(covered)))
+            lost = total[breaks[1:]] - total[breaks[:-1]]
+            for i, text in enumerate(texts):
+                words = text.split()
+                if lost[i]:
+                    stay = ~covered[breaks[i] + 1 : breaks[i + 1]]
+                    words = compress(words, stay.tolist())
+                kept.append(b" ".join(words).decode("utf-8", "replace"))
+            n_words += (np.diff(breaks) - 1).tolist()
+            n_removed += lost.tolist()
             at += ids
         ids = pa.array([None if i == NULL_ID else i for i in at], pa.int64())
         return pa.table({"id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.string())})
