@@ -150,49 +150,72 @@ class Benchmark:
         return found
 
 
+def found_in(batch: pa.RecordBatch, id_at: int, text_at: int, bench: Benchmark, known: Tokens) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of a batch that hold items, with what `Benchmark.judge` says of them."""
+    shift = np.uint64(64 - bench.BITS)
+    at = 0
+    for ids, texts in text_chunks(batch, id_at, text_at):
+        docs = [t.split() for t in texts]
+        flat = np.fromiter((known[w] for d in docs for w in d), np.uint64, sum(map(len, docs)))
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        real = flat != 0
+        owner, tokens = owner[real], flat[real]
+        found = windows(tokens)
+        if len(found):
+            hit = np.flatnonzero(bench.maybe[found >> shift] & (found != 0) & (owner[: len(found)] == owner[WINDOW - 1 :]))
+            hit = hit[[h in bench.spots for h in found[hit].tolist()]] if len(hit) else hit
+            first = np.searchsorted(owner, np.arange(len(docs)))
+            for i in np.unique(owner[hit]):
+                own = hit[owner[hit] == i]
+                words = [w for w in docs[i] if known[w]]
+                if items := bench.judge(words, own - first[i], found[own], known):
+                    yield at + int(i), items
+        at += len(ids)
+
+
+def _parts(benchmark: DataFrame, most_windows: int) -> Iterator[Benchmark]:
+    """The benchmark, dealt by a hash of the items into parts of about the bound at most."""
+    items = pick(benchmark, "item", "text").filter("text is not null").select(F.col("item").cast("long"), "text")
+    size = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = max(1, -(-size // most_windows))
+    for k in range(parts):
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+        yield Benchmark([(r["item"], r["text"]) for r in own.collect()])
+
+
 def _match(docs: DataFrame, part: Benchmark) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(part)
-    schema = "id long, item long, matched int, windows int, longest int, changed boolean, from_word long, to_word long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, known = shared.value, Tokens()
-        shift = np.uint64(64 - bench.BITS)
         for batch in batches:
-            out: list[tuple] = []
-            at = 0
-            for ids, texts in text_chunks(batch, 0, 1):
-                docs = [t.split() for t in texts]
-                flat = np.fromiter((known[w] for d in docs for w in d), np.uint64, sum(map(len, docs)))
-                owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-                real = flat != 0
-                owner, tokens = owner[real], flat[real]
-                found = windows(tokens)
-                if len(found):
-                    hit = np.flatnonzero(bench.maybe[found >> shift] & (found != 0) & (owner[: len(found)] == owner[WINDOW - 1 :]))
-                    hit = hit[[h in bench.spots for h in found[hit].tolist()]] if len(hit) else hit
-                    first = np.searchsorted(owner, np.arange(len(docs)))
-                    for i in np.unique(owner[hit]):
-                        own = hit[owner[hit] == i]
-                        words = [w for w in docs[i] if known[w]]
-                        row = batch.column(0)[at + int(i)].as_py()
-                        out += [(row, *x) for x in bench.judge(words, own - first[i], found[own], known)]
-                at += len(ids)
+            out = [(batch.column(0)[i].as_py(), *x) for i, items in found_in(batch, 0, 1, bench, known) for x in items]
             if out:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "item", "matched", "windows", "longest", "changed", "from_word", "to_word"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "id long, item long, matched int, windows int, longest int, changed boolean, from_word long, to_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """docs: (id, text); benchmark: (item, text). Returns a row for each document and item that it holds: (id, item,
     matched, windows, longest, changed, from_word, to_word); `changed` tells a re-parameterised copy."""
     docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
-    items = pick(benchmark, "item", "text").filter("text is not null").select(F.col("item").cast("long"), "text")
-    size = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = max(1, -(-size // most_windows))
-    found = []
-    for k in range(parts):  # items are dealt by a hash, so that every part is within the bound, about
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        found.append(_match(docs, Benchmark([(r["item"], r["text"]) for r in own.collect()])))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [_match(docs, part) for part in _parts(benchmark, most_windows)])
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """docs: rows with doc_id and text among their columns. Those that hold no item, unchanged."""
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+    for part in _parts(benchmark, most_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench, known = shared.value, Tokens()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, _ in found_in(batch, *at, bench, known)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

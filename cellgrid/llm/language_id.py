@@ -169,34 +169,57 @@ def decode(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return best, 1 / weight.sum(axis=1), close
 
 
+def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int, text_at: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of a batch's rows, from whole texts."""
+    langs, scores, unsure = [], [], []
+    for ids, texts in text_chunks(batch, id_at, text_at):
+        docs = lowered(texts)
+        known.learn({w for d in docs for w in d})
+        sums = np.zeros((len(ids), model.weights.shape[1] + 1), np.float32)
+        for i, words in enumerate(docs):
+            if words:
+                sums[i] = known.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        lettered = np.array([_LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts], bool) & (len(model.languages) > 0)
+        if len(model.languages):
+            best, sure, close = decode(model, sums)
+        else:
+            best, sure, close = np.zeros(len(ids), int), np.zeros(len(ids)), np.zeros(len(ids), bool)
+        langs += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
+        scores.append(np.where(lettered, sure, 0.0).astype(np.float64))
+        unsure.append(np.where(lettered, close, True))
+    return langs, np.concatenate(scores), np.concatenate(unsure)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: (id, text). Returns (id, lang_pred, score, ambiguous) for every row, from whole texts."""
+    """docs: (id, text). Returns (id, lang_pred, score, ambiguous) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        known = WordMargins(model.weights)
+        for batch in batches:
+            if batch.num_rows:
+                langs, scores, unsure = scored(model, known, batch, 0, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
+
+    return pick(docs, "id", "text").select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs: rows with doc_id and text among their columns. Those that have a language, unchanged; the rest, texts
+    without a letter, are rejected. Short or mixed texts, though flagged by `identify`, have one and stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = WordMargins(model.weights)
         for batch in batches:
-            langs, scores, unsure = [], [], []
-            for ids, texts in text_chunks(batch, 0, 1):
-                docs = lowered(texts)
-                known.learn({w for d in docs for w in d})
-                sums = np.zeros((len(ids), model.weights.shape[1] + 1), np.float32)
-                for i, words in enumerate(docs):
-                    if words:
-                        sums[i] = known.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                lettered = np.array([_LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts], bool) & (len(model.languages) > 0)
-                if len(model.languages):
-                    best, sure, close = decode(model, sums)
-                else:
-                    best, sure, close = np.zeros(len(ids), int), np.zeros(len(ids)), np.zeros(len(ids), bool)
-                langs += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-                scores.append(np.where(lettered, sure, 0.0).astype(np.float64))
-                unsure.append(np.where(lettered, close, True))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(unsure))], ["id", "lang_pred", "score", "ambiguous"])
+                langs, _, _ = scored(model, known, batch, *at)
+                yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
 
-    return pick(docs, "id", "text").select(F.col("id").cast("long"), "text").mapInArrow(score, "id long, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, learn_from: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, cut, mix, pick, remix, text_chunks, words_of
+from cellgrid.llm.common import NULL_ID, block_of, bucket_count, cut, mix, pick, remix, text_chunks, words_of
 from cellgrid.llm.components import components
 
 PARTS = 12
@@ -172,3 +172,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     joined = measured.join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when(F.col("least") != int(NULL_ID), F.col("least")))
     return joined.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs: rows with doc_id and text among their columns. One document of every group of linked ones, that with the
+    least id, unchanged; of rows with that id and an equal text, one."""
+    got = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"), words, percent)
+    blocks = bucket_count(docs)
+    kept = got.filter("kept").select(block_of("id", blocks).alias("block"), "id")
+    blocked = docs.withColumn("block", block_of("doc_id", blocks))
+    names = docs.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chosen = set(right.column("id").to_pylist())
+        seen: set[tuple] = set()
+        keep = []
+        for i, text in zip(left.column("doc_id").to_pylist(), left.column("text")):
+            stays = i in chosen
+            if stays:
+                key = i, xxhash.xxh3_128_digest(text.as_buffer()) if text.is_valid else None
+                stays = key not in seen
+                seen.add(key)
+            keep.append(stays)
+        return left.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return blocked.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, docs.schema)

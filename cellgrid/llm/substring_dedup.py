@@ -294,49 +294,70 @@ def _later_windows(sent: DataFrame, blocks: int) -> DataFrame:
     return _by_bucket(sent).mapInArrow(run, "key long, a0 binary, a1 binary")
 
 
-def _cut_out(docs: DataFrame, later: DataFrame, window: int) -> DataFrame:
-    """(id, n_words, n_removed, text): what stays of each document, its words joined by one space."""
+def _stays(table: pa.Table, right: pa.Table, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a block's documents: texts, which words are covered, where each text's words begin, and how many it loses."""
+    hit_names, hit_ids = _hits(right) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for ids, texts in text_chunks(table, table.column_names.index("id"), table.column_names.index("text")):
+        flat, breaks = joined_words(texts)
+        starts, owner = starts_of_windows(breaks, window)
+        gone = np.zeros(len(flat) + 1, np.int64)
+        if len(starts) and len(hit_ids):
+            array = np.array(ids, np.int64)
+            touched = np.isin(array, hit_ids)[owner]
+            starts, owner = starts[touched], owner[touched]
+            a, _ = window_hashes(flat, starts, window)
+            removed = starts[_marked(a, owner, array, hit_names, hit_ids)]
+            np.add.at(gone, removed, 1)
+            np.add.at(gone, removed + window, -1)
+        covered = np.cumsum(gone)[:-1] > 0
+        total = np.concatenate(([0], np.cumsum(covered)))
+        yield texts, covered, breaks, total[breaks[1:]] - total[breaks[:-1]]
+
+
+def _kept(text: bytes, covered: np.ndarray) -> str:
+    return b" ".join(compress(text.split(), (~covered).tolist())).decode("utf-8", "replace")
+
+
+def _later(docs: DataFrame, window: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their blocks, and what `_later_windows` found."""
+    blocked = docs.withColumn("block", block_of("id", blocks))
+    shared = _shared_anchors(_send_anchors(docs.select("id", "text"), window, blocks), blocks)
+    return blocked, _later_windows(_send_windows(blocked.select("id", "text", "block"), shared, window, blocks), blocks)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs: (id, text). Removes every word covered by a window of `window` words that also starts in a document with a
+    smaller id. Returns (id, n_words, n_removed, text), a row for each document."""
+    docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
+    blocked, later = _later(docs, window, bucket_count(docs))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        hit_names, hit_ids = _hits(right) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        at, n_words, n_removed, kept = [], [], [], []
-        for ids, texts in text_chunks(left, left.column_names.index("id"), left.column_names.index("text")):
-            flat, breaks = joined_words(texts)
-            starts, owner = starts_of_windows(breaks, window)
-            gone = np.zeros(len(flat) + 1, np.int64)
-            if len(starts) and len(hit_ids):
-                array = np.array(ids, np.int64)
-                touched = np.isin(array, hit_ids)[owner]
-                starts, owner = starts[touched], owner[touched]
-                a, _ = window_hashes(flat, starts, window)
-                removed = starts[_marked(a, owner, array, hit_names, hit_ids)]
-                np.add.at(gone, removed, 1)
-                np.add.at(gone, removed + window, -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            total = np.concatenate(([0], np.cumsum(covered)))
-            lost = total[breaks[1:]] - total[breaks[:-1]]
-            for i, text in enumerate(texts):
-                words = text.split()
-                if lost[i]:
-                    stay = ~covered[breaks[i] + 1 : breaks[i + 1]]
-                    words = compress(words, stay.tolist())
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
+        n_words, n_removed, kept = [], [], []
+        for texts, covered, breaks, lost in _stays(left, right, window):
             n_words += (np.diff(breaks) - 1).tolist()
             n_removed += lost.tolist()
-            at += ids
-        ids = pa.array([None if i == NULL_ID else i for i in at], pa.int64())
-        return pa.table({"id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.string())})
+            kept += [_kept(t, covered[a + 1 : b]) for t, a, b in zip(texts, breaks[:-1], breaks[1:])]
+        return pa.table({"id": left.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.string())})
 
-    return docs.groupBy("block").cogroup(later.groupBy("key")).applyInArrow(run, "id long, n_words long, n_removed long, text string")
+    return blocked.groupBy("block").cogroup(later.groupBy("key")).applyInArrow(run, "id long, n_words long, n_removed long, text string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: (id, text). Removes every word covered by a window of `window` words that also starts in a document with a
-    smaller id. Returns (id, n_words, n_removed, text), a row for each document."""
-    docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
-    blocks = buckets = bucket_count(docs)
-    blocked = docs.withColumn("block", block_of("id", blocks))
-    sent = _send_anchors(docs, window, buckets)
-    shared = _shared_anchors(sent, blocks)
-    windows = _send_windows(blocked, shared, window, buckets)
-    return _cut_out(blocked, _later_windows(windows, blocks), window)
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs: rows with doc_id, text and n_chars among their columns. The same rows without the repeats; a text that
+    loses nothing stays as it is, others become their kept words joined by one space, with n_chars to match."""
+    names = docs.columns
+    rows = docs.withColumnRenamed("doc_id", "id")
+    blocked, later = _later(rows, window, bucket_count(docs))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        old_text, old_size = left.column("text").to_pylist(), left.column("n_chars").to_pylist()
+        text, size, at = [], [], 0
+        for texts, covered, breaks, lost in _stays(left, right, window):
+            for k, (t, n) in enumerate(zip(texts, lost.tolist())):
+                text.append(_kept(t, covered[breaks[k] + 1 : breaks[k + 1]]) if n else old_text[at])
+                size.append(len(text[-1]) if n else old_size[at])
+                at += 1
+        new = {"doc_id": left.column("id"), "text": pa.array(text, pa.string()), "n_chars": pa.array(size, pa.int64())}
+        return pa.table({c: new[c] if c in new else left.column(c) for c in names})
+
+    return blocked.groupBy("block").cogroup(later.groupBy("key")).applyInArrow(run, docs.schema)
