@@ -19,7 +19,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import cut, local_ranks, numbered_offsets, pick, text_chunks
+from cellgrid.llm.common import cut, local_ranks, numbered_offsets, pick, text_chunks, words_of
 
 CAPACITY = 2048
 ROUNDS = 400
@@ -39,18 +38,32 @@ SHARPNESS, STEP = 4.0, 0.5
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit integers. The tokenizer never joins over white space, so a text's ids are
-    its words' ids in a row; nor over the border of letters and marks, so most words need only their letters' ids,
-    which are remembered too. Bounded by `most` words and as many runs of letters or marks."""
+class WordIds:
+    """Token ids of words. The tokenizer never joins over white space, so a text's ids are its words' ids in a row; nor
+    over the border of letters and marks, so most new words need only their letters' ids, which are remembered too.
 
-    def __init__(self, path: str, most: int = 500_000):
+    Words are looked up by hash in a table with one place for a word: a new word takes an older one's place. Ids stand
+    in a row in a pool; when it is full, all start anew. So the memory is bounded.
+    """
+
+    BITS = 20
+    POOL = 1 << 23
+
+    def __init__(self, path: str, separator: int, most_runs: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most_runs, self.separator = Tokenizer.from_file(path), most_runs, separator
         self.runs: dict[str, bytes] = {"": b""}
         self.plain = self._plain(path)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.tag = np.zeros(1 << self.BITS, np.uint64)
+        self.start = np.zeros(1 << self.BITS, np.int64)
+        self.length = np.zeros(1 << self.BITS, np.int64)
+        self.pool = np.zeros(1 << 20, "<u4")
+        self.pool[0], self.used = self.separator, 1
 
     def _plain(self, path: str):
         """A tokenizer for runs of lower-case letters or of marks, set between spaces, without the normal form and the
@@ -86,49 +99,79 @@ class WordIds(dict):
                 start = stop
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = words.difference(self)
-        if len(self) + len(fresh) > self.most:
-            self.clear()
-            fresh = words
-        if not fresh:
-            return
+    def _learn(self, texts: list[str]) -> list[bytes]:
+        """The ids of some words, as bytes."""
+        got: list[bytes | None] = [None] * len(texts)
         split, other = [], []
-        for w in fresh:
-            text = w.decode("utf-8", "replace")
+        for i, text in enumerate(texts):
             m = _SIMPLE.fullmatch(text) if self.plain else None
             if m is None:
-                other.append((w, text))
+                other.append(i)
             else:
-                split.append((w, m[1].lower(), m[2]))
+                split.append((i, m[1].lower(), m[2]))
         runs = self.runs
         unknown = {x for _, a, b in split for x in (a, b)}.difference(runs)
-        if len(runs) + len(unknown) > self.most:
+        if len(runs) + len(unknown) > self.most_runs:
             runs.clear()
             runs[""] = b""
             unknown = {x for _, a, b in split for x in (a, b) if x}
-        runs.update(zip(unknown, self._encode_runs(list(unknown))))
-        self.update((w, runs[a] + runs[b]) for w, a, b in split)
-        self.update(zip((w for w, _ in other), self._encode([x for _, x in other])))
-
-    def of(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+        listed = list(unknown)
+        runs.update(zip(listed, self._encode_runs(listed)))
+        for i, a, b in split:
+            got[i] = runs[a] + runs[b]
+        for i, x in zip(other, self._encode([texts[i] for i in other])):
+            got[i] = x
+        return got
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, each text's ended by the separator, and where each ends."""
+        words = words_of(texts)
+        if self.used > self.POOL:
+            self._empty()
+        place = (words.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        start, length = self.start[place], self.length[place]
+        new = np.flatnonzero(self.tag[place] != words.hashes)
+        if len(new):
+            fresh, first, which = np.unique(words.hashes[new], return_index=True, return_inverse=True)
+            got = self._learn([words.word(i).decode("utf-8", "replace") for i in new[first]])
+            flat = np.frombuffer(b"".join(got), "<u4")
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            begins = self.used + np.cumsum(sizes) - sizes
+            if self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(flat)), "<u4")))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            start[new], length[new] = begins[which], sizes[which]
+            own = place[new[first]]
+            self.tag[own], self.start[own], self.length[own] = fresh, begins, sizes
+            # of two new words for one place the later stays; its start and length must be its own
+            lost = self.tag[own] != fresh
+            if lost.any():
+                kept = np.flatnonzero(~lost)
+                self.start[own[kept]], self.length[own[kept]] = begins[kept], sizes[kept]
+        ends = np.cumsum(words.counts + 1) - 1
+        starts, lengths = np.zeros(len(start) + len(texts), np.int64), np.ones(len(start) + len(texts), np.int64)
+        inside = np.ones(len(starts), bool)
+        inside[ends] = False
+        starts[inside], lengths[inside] = start, length
+        upto = np.cumsum(lengths)
+        return self.pool[np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)], upto[ends]
 
 
 #: Of this worker process, by the tokenizer's path: what one task has learned serves the next.
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[tuple[str, int], WordIds] = {}
 
 
-def tokenised(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids of the rows and of their tokens, with the separator, chunk by chunk."""
-    end = np.array([separator], "<u4").tobytes()
+def tokenised(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> Iterator[tuple[pa.Array, list[memoryview]]]:
+    """Ids of the rows and their tokens with the separator, as little-endian 32-bit integers, chunk by chunk."""
+    key = path, separator
     for batch in batches:
-        known = _KNOWN.get(path) or _KNOWN.setdefault(path, WordIds(path))
+        known = _KNOWN.get(key) or _KNOWN.setdefault(key, WordIds(path, separator))
         at = 0
         for ids, texts in text_chunks(batch, 0, 1):
-            words = [t.split() for t in texts]
-            known.learn(set(chain.from_iterable(words)))
-            yield batch.column(0).slice(at, len(ids)), [known.of(d) + end for d in words]
+            flat, ends = known.ids(texts)
+            view = memoryview(flat).cast("B")
+            yield batch.column(0).slice(at, len(ids)), [view[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             at += len(ids)
 
 
@@ -140,9 +183,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
         for ids, tokens in tokenised(batches, path, separator):
             owner, piece, length, crc = [], [], [], []
             for i, t in enumerate(tokens):
-                view = memoryview(t)
                 for p, s in enumerate(range(0, len(t), 4 * capacity)):
-                    part = view[s : s + 4 * capacity]
+                    part = t[s : s + 4 * capacity]
                     owner.append(i)
                     piece.append(p)
                     length.append(len(part) // 4)
