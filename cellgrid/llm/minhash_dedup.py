@@ -6,10 +6,10 @@ cost only 6 * PARTS minhashes instead of 6 * PARTS². At a similarity of 0.85 a
 probability of about 2e-5; nearer pairs with less.
 
 Signatures that no other set has are dropped before tables are formed, so a document without relatives stays 24 small
-rows. Sets in a table are first compared with one leader, and linked sets become components. Then, of each table, the
-pairs of different components are compared too, unless sizes or the distances to the leader (Jaccard distance is a
-metric) rule a link out: so no link between components is lost, while a table of many alike sets costs a line of
-comparisons and not a square. Every link is confirmed on the full sets.
+rows. Sets in a table are first compared with one leader, and linked sets become components. Then the sets that meet
+members of other components in a table are compared with these too, except within the largest component: so no link
+between components is lost, while a table of many alike sets costs a line of comparisons and not a square. Every link
+is confirmed on the full sets.
 
 Equal sets are one node. Null texts and texts without words have empty sets, link with nothing and are their own
 component. Rows with equal ids are separate documents; a null id is larger than every id. An empty table gives an empty
@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, block_of, bucket_count, cut, mix, pick, remix, text_chunks, words_of
+from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, cut, grouped_runs, mix, pick, remix, shuffle_partitions, text_chunks, words_of
 from cellgrid.llm.components import components
 
 PARTS = 12
 PER_PART = 3
+#: Shingles of a block of sets; two blocks meet in a task.
+BLOCK_SHINGLES = 2_000_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +132,52 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary, common long, total long")
 
 
+def _rest(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """open_: (node, component). Links between components among nodes that share a signature of the first collection,
+    a spanning forest of each group's: (u, v). A group is dealt into pairs of blocks of a bounded size."""
+    part = open_.join(nodes.select("node", "n", F.slice("parts", 1, parts).alias("parts")), "node").select("node", "component", "n", F.posexplode("parts").alias("part", "sig"))
+    groups = part.groupBy("part", "sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("total")).filter("a != b").select("part", "sig", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    dealt = part.join(groups, ["part", "sig"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("part", "sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in grouped_runs(batches):
+            node, component, blob = (blobs(held, k) for k in (1, 2, 3))
+            sizes = np.fromiter(map(len, blob), np.int64, len(blob)) // 8
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            alphabet, flat = np.unique(np.frombuffer(b"".join(blob), "<u8"), return_inverse=True)
+            _, label, count = np.unique(component, return_inverse=True, return_counts=True)
+            root = list(range(len(count)))
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            us, vs = [], []
+            mark = np.zeros(len(alphabet), np.int64)
+            for i in np.flatnonzero(label != count.argmax()):  # a link between components has an end outside the largest
+                own = flat[starts[i] : starts[i] + sizes[i]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[flat], starts)
+                mark[own] = 0
+                linked = 100 * common >= percent * (sizes[i] + sizes - common)
+                for j in np.flatnonzero(linked & (label != label[i])):
+                    x, y = find(int(label[i])), find(int(label[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        us.append(node[i])
+                        vs.append(node[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    rows = dealt.join(sets, "node").select("group", "node", "component", "set")
+    ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group")
+    return ordered.mapInArrow(run, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int = PARTS) -> DataFrame:
     """docs: (id, text). Links documents with 100 * intersection >= percent * union of their sets. Returns (id,
     n_shingles, component_id, kept), a row for each document; component_id is the least id that links can reach."""
@@ -142,8 +190,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     both = shared.groupBy("node", "n").agg(F.collect_list(F.when(F.col("part") < parts, F.struct("part", "sig"))).alias("one"), F.collect_list(F.when(F.col("part") >= parts, F.struct("part", "sig"))).alias("two"))  # 2 * parts at most
     keys = both.select("node", "n", F.explode("one").alias("x"), "two").select("node", "n", "x", F.explode("two").alias("y")).select("node", "n", F.xxhash64("x.part", "x.sig", "y.part", "y.sig").alias("key"))
     keys = cut(keys)
-    tables = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "leader")
-    led = cut(keys.join(tables, "key"))
+    tables = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    held = cut(keys.join(tables, "key"))
+    # of a table the member that meets most others in its tables leads: copies tend to be near it
+    weight = held.groupBy("node").agg(F.sum("c").alias("w"))
+    leaders = held.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
+    led = held.join(leaders, "key")
     first = cut(led.filter("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
     members = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     wanted = nodes.join(members, "node").select(F.col("id").alias("wanted")).distinct()
@@ -153,18 +205,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     linked = F.expr(f"100 * common >= {int(percent)} * total")
     links = compared.filter(linked).select("u", "v")
     label = components(links)
-    # what the leaders have not joined: pairs of different components that meet in a table
-    distance = compared.select(F.col("u").alias("leader"), F.col("v").alias("node"), (1 - F.col("common") / F.col("total")).alias("d"))
-    placed = led.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # what the leaders have not joined: members of different components that meet in a table
+    placed = held.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
-    open_ = cut(placed.join(mixed, "key").join(distance, ["leader", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))))
-    x = open_.select("key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("d").alias("du"))
-    y = open_.select("key", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("d").alias("dv"))
-    far = 1 - int(percent) / 100 + 1e-9
-    may = F.expr(f"cu < cv and abs(du - dv) <= {far} and 100 * least(nu, nv) >= {int(percent)} * greatest(nu, nv)")
-    rest = x.join(y, "key").filter(may).select("u", "v").distinct()
-    rest = rest.join(compared.select(F.col("u").alias("u"), F.col("v").alias("v")), ["u", "v"], "left_anti").join(compared.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    later = cut(_compared(rest, sets).filter(linked).select("u", "v"))
+    open_ = cut(placed.join(mixed, "key").select("node", "component").distinct())
+    later = cut(_rest(open_, nodes, sets, int(percent), parts))
     label = components(links.unionByName(later))
     known = nodes.join(label, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = known.groupBy("component").agg(F.min("id").alias("least"))
