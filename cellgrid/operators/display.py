@@ -46,7 +46,7 @@ def equalised(cell_map: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     lower = F.greatest(F.floor(at), F.lit(0)).cast("int")
     found = rows.withColumn("_at", at).withColumn("_bin", F.least(lower, F.lit(bins - 1))).join(F.broadcast(cdf), F.col("_bin") == F.col("bin"), "left")
     share = F.least(F.greatest(F.col("_at") - F.col("bin"), F.lit(0.0)), F.lit(1.0))
-    return found.withColumn("display", F.col("f") + (F.coalesce("g", "f") - F.col("f")) * share).drop("_v", "_at", "_bin", "bin", "f", "g")
+    return found.withColumn("display", F.when(F.col("_v").isNotNull(), F.col("f") + (F.coalesce("g", "f") - F.col("f")) * share)).drop("_v", "_at", "_bin", "bin", "f", "g")
 
 
 def clipped(cell_map: DataFrame, column: str, cutoff: float | tuple[float, float] | None, out: str = "display") -> DataFrame:
@@ -54,8 +54,14 @@ def clipped(cell_map: DataFrame, column: str, cutoff: float | tuple[float, float
     pair = check_cutoff(cutoff)
     if pair is None:
         return cell_map.withColumn(out, _valid(column))
-    lo, hi = cell_map.agg(F.percentile(_valid(column), F.array(F.lit(pair[0] / 100), F.lit(pair[1] / 100))).alias("p")).first()["p"] or (None, None)
-    return cell_map.withColumn(out, F.greatest(F.least(_valid(column), F.lit(hi).cast("double")), F.lit(lo).cast("double")) if lo is not None else F.lit(None).cast("double")).withColumn(out, F.when(_valid(column).isNotNull(), F.col(out)))
+    lo, hi = _percentiles(cell_map, column, pair)
+    limited = F.lit(None) if lo is None else F.greatest(F.least(_valid(column), F.lit(hi)), F.lit(lo))
+    return cell_map.withColumn(out, F.when(_valid(column).isNotNull(), limited).cast("double"))
+
+
+def _percentiles(cell_map: DataFrame, column: str, pair: tuple[float, float]) -> tuple[float | None, float | None]:
+    found = cell_map.agg(F.percentile(_valid(column), F.array(F.lit(pair[0] / 100), F.lit(pair[1] / 100))).alias("p")).first()["p"]
+    return tuple(found) if found else (None, None)
 
 
 def prepare(cell_map: DataFrame, column: str, equalize: bool = True, cutoff: float | tuple[float, float] | None = None) -> tuple[DataFrame, tuple[float | None, float | None]]:
@@ -65,8 +71,7 @@ def prepare(cell_map: DataFrame, column: str, equalize: bool = True, cutoff: flo
     if pair:
         shown = clipped(shown, "display", pair)
     if pair:
-        span = cell_map.agg(F.percentile(_valid(column), F.array(F.lit(pair[0] / 100), F.lit(pair[1] / 100))).alias("p")).first()["p"]
-        span = tuple(span) if span else (None, None)
+        span = _percentiles(cell_map, column, pair)
     else:
         span = tuple(cell_map.agg(F.min(_valid(column)), F.max(_valid(column))).first())
     return shown, span

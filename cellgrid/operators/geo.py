@@ -10,6 +10,7 @@ import shutil
 import struct
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,6 @@ def with_wkb(df: DataFrame, name: str = "geometry") -> DataFrame:
 
 def wkb_vertices(geometry: str = "geometry") -> Column:
     """The vertices of WKB polygons, multipolygons and points, of all rings, as an array of (lon, lat)."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<lon:double,lat:double>>")
     def parse(blobs: pd.Series) -> pd.Series:
@@ -305,7 +305,8 @@ def manage_cache(spark: SparkSession, action: str, nsides: list[int] | None = No
 
 
 def raster(cell_map: DataFrame, column: str, nside: int, order: str = "nested", width: int = 1440, height: int = 720) -> DataFrame:
-    """(row, col, lon, lat, value): the map at the points of an equirectangular grid, edges included, north first."""
+    """(row, col, lon, lat, value): the map at the points of an equirectangular grid, edges included, north first.
+    Numbers beyond the grid meet no point."""
     if column not in cell_map.columns:
         raise KeyError(f"no column {column} in {cell_map.columns}")
     if "healpix_id" not in cell_map.columns:
@@ -313,7 +314,7 @@ def raster(cell_map: DataFrame, column: str, nside: int, order: str = "nested",
     points = cell_map.sparkSession.range(width * height).selectExpr(f"cast(id div {width} AS int) AS row", f"cast(id % {width} AS int) AS col")
     points = points.selectExpr("*", f"-180D + 360D * col / {max(width - 1, 1)}D AS lon", f"90D - 180D * row / {max(height - 1, 1)}D AS lat")
     located = with_cell(points, "lon", "lat", nside, order, known=True)
-    values = cell_map.filter((F.col("healpix_id") >= 0) & (F.col("healpix_id") < npix_of(nside))).select(F.col("healpix_id").cast("long").alias("healpix_id"), F.col(column).cast("double").alias("value"))
+    values = cell_map.select(F.col("healpix_id").cast("long").alias("healpix_id"), F.col(column).cast("double").alias("value"))
     return located.join(values, "healpix_id", "left").select("row", "col", "lon", "lat", "value")
 
 
