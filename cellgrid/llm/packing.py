@@ -260,7 +260,8 @@ def solve(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
                 left[x] -= m * whole
     for filling, n in best_fit(left, capacity).items():
         plan[filling] += n
-    return dict(plan)
+    alone = best_fit(dict(demand), capacity)  # of few pieces, rounding may cost a sequence that best fit alone saves
+    return dict(min(plan, alone, key=lambda p: sum(p.values())))
 
 
 def best_fit(left: dict[int, int], capacity: int) -> dict[Filling, int]:

@@ -73,7 +73,7 @@ def tree(points: DataFrame, room: dict[int, float], levels: int) -> dict[int, tu
             open_[n] = {"dim": max(DIMENSIONS, key=lambda d: (r[d], d)), "goal": r["w"] * (left / (left + right) if left + right > 0 else 0.5), "below": 0.0, "lo": 0, "shift": BITS}
         for n in range(1 << level, 2 << level):
             if n not in open_:
-                cuts[n] = ("id", 1 << (BITS + 1))  # no unit is there
+                cuts[n] = ("id", 1 << BITS)  # no unit is there
         while open_:
             expr = lambda of: reduce(lambda other, n: F.when(F.col("node") == n, of(open_[n])).otherwise(other), open_, F.lit(None))  # noqa: E731, B023
             key = expr(lambda o: F.col(f"k_{o['dim']}"))
