@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +22,18 @@ NULL_ID = np.iinfo(np.int64).max
 CHUNK_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch; Spark's default of 64 MB, times its copies, is much for a worker that has 500 MB.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, found by position, so that other columns may have any names, equal ones too."""
+    """Only the named columns, found by position, so that other columns may have any names, equal ones too.
+
+    Where the session leaves the size of Arrow batches at Spark's default, it becomes BATCH_BYTES.
+    """
+    if df.sparkSession.conf.get(_BATCH, "64MB") in ("64MB", "67108864b", "67108864"):
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     have = df.columns
     at = []
     for name in names:
@@ -49,8 +59,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, kept in the shared folder."""
+def cut(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The same rows without their lineage, kept in the shared folder, about `rows` to a file.
+
+    The executors hold the rows until they are written, so that they are made once and small tables become few files,
+    however many tasks made them.
+    """
+    shared_folder(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    files = max(1, -(-held.count() // rows))
+    out = held.coalesce(files).checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """The same for rows whose partitions and order matter: a file for each partition."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -36,7 +36,7 @@ from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, by_key,
 WINDOW = 13
 ROUNDS = 2
 #: Entries that a task gathers before it packs and sends them.
-PACK = 1 << 20
+PACK = 1 << 19
 
 
 class Powers:
@@ -319,10 +319,11 @@ def _kept(text: bytes, covered: np.ndarray) -> str:
 
 
 def _later(docs: DataFrame, window: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their blocks, and what `_later_windows` found."""
+    """The documents with their blocks, and what `_later_windows` found. Both cogroups take the same columns, so Spark
+    deals the documents out once."""
     blocked = docs.withColumn("block", block_of("id", blocks))
     shared = _shared_anchors(_send_anchors(docs.select("id", "text"), window, blocks), blocks)
-    return blocked, _later_windows(_send_windows(blocked.select("id", "text", "block"), shared, window, blocks), blocks)
+    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks), blocks)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
