@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import cut, pick, shuffle_partitions
+from cellgrid.llm.common import cut, cut_in_place, pick, shuffle_partitions
 
 DIGEST = 16
 END = "</turn>\n"
@@ -191,7 +191,7 @@ def build(rows: DataFrame, learned_roles: frozenset[str] = frozenset({"assistant
     turns = cut(_turn_rows(rows, learned_roles, tokenizer_path))
     ends = turns.filter("last").select("conv", F.col("node").alias("leaf"), "path", "lengths")
     paths = ends.groupBy("leaf").agg(F.first("path").alias("path"), F.first("lengths").alias("lengths"))
-    ordered = cut(paths.select("path", "lengths").repartitionByRange(shuffle_partitions(rows.sparkSession), "path").sortWithinPartitions("path"))
+    ordered = cut_in_place(paths.select("path", "lengths").repartitionByRange(shuffle_partitions(rows.sparkSession), "path").sortWithinPartitions("path"))
     carried = rows.sparkSession.sparkContext.broadcast(_carried(_edges(ordered)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -185,7 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([(v / np.abs(v).max()).tobytes() for v in vecs], pa.binary())], ["node", "id", "times", "space", "x"])
 
     space = F.xxhash64(F.col("label").cast("string"), F.size("x")).alias("space")
-    classes = cut(classes.select("node", "id", "times", space, "x").mapInArrow(blobs, "node binary, id long, times long, space long, x binary"))
+    classes = cut(classes.select("node", "id", "times", space, "x").mapInArrow(blobs, "node binary, id long, times long, space long, x binary"), 20_000)
     keyed = _bucket_rows(classes, tables)
     group = ["space", "tab", "key"]
     sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     members = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     wanted = nodes.join(members, "node").select(F.col("id").alias("wanted")).distinct()
     texts = docs.join(wanted, F.coalesce("id", F.lit(int(NULL_ID))) == F.col("wanted")).select("id", "text")
-    sets = cut(_sets(texts, words).join(members, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    sets = cut(_sets(texts, words).join(members, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), 5_000)
     compared = cut(_compared(first, sets))
     linked = F.expr(f"100 * common >= {int(percent)} * total")
     links = compared.filter(linked).select("u", "v")
