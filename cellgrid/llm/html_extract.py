@@ -228,35 +228,32 @@ class Model:
 def fit(pages: list[str], rounds: int = 400) -> Model:
     """From labelled pages: a node's own potential by logistic regression on its features, the shared potential from
     how much oftener than by chance the states of parent and child meet."""
-    rows: list[list[str]] = []
-    states: list[int] = []
+    rows: Counter[tuple[tuple[str, ...], int]] = Counter()  # many nodes have the same features
     pairs = Counter()
-    seen = Counter()
     for page in pages:
         nodes = parse(page)
         for x in nodes:
             if x.tag in ROOTS:
                 continue
-            found = node_features(x, nodes)
-            seen.update(found)
-            rows.append(found)
-            states.append(x.label or 0)
+            rows[tuple(node_features(x, nodes)), x.label or 0] += 1
             if nodes[x.parent].tag not in ROOTS:
                 pairs[nodes[x.parent].label or 0, x.label or 0] += 1
+    seen = Counter()
+    for (found, _), n in rows.items():
+        seen.update(dict.fromkeys(found, n))
     names = sorted(f for f, n in seen.items() if n >= 3)
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
     x[:, -1] = 1
-    for i, found in enumerate(rows):
-        for f in found:
-            if f in at:
-                x[i, at[f]] = 1
-    y = np.array(states, float)
+    for i, (found, _) in enumerate(rows):
+        x[i, [at[f] for f in found if f in at]] = 1
+    y = np.array([state for _, state in rows], float)
+    times = np.array(list(rows.values()), float)
     w = np.zeros(x.shape[1])
     first = second = np.zeros_like(w)
     for t in range(1, rounds + 1):  # Adam on the regularised logistic loss
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + 2e-4 * w
+        grad = x.T @ (times * (p - y)) / times.sum() + 2e-4 * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     # the constant goes to leaves and tags alike, by the feature that each node has
