@@ -225,43 +225,55 @@ class Model:
         return "\n".join(x.text for x, b in zip(nodes, belief) if x.tag == "#text" and b >= 0)
 
 
-def fit(pages: list[str], rounds: int = 400) -> Model:
-    """From labelled pages: a node's own potential by logistic regression on its features, the shared potential from
-    how much oftener than by chance the states of parent and child meet."""
-    rows: Counter[tuple[tuple[str, ...], int]] = Counter()  # many nodes have the same features
-    pairs = Counter()
+def fit(pages: list[str], rounds: int = 250) -> Model:
+    """From labelled pages, by maximum likelihood of all labels of a page given its features. The gradient is the
+    difference of the labels and their marginals, which the same messages give, for all pages level by level."""
+    parent, depth, label, of_node, feature = [], [], [], [], []
+    at: dict[str, int] = {}
     for page in pages:
         nodes = parse(page)
-        for x in nodes:
+        place = {}
+        for i, x in enumerate(nodes):
             if x.tag in ROOTS:
                 continue
-            rows[tuple(node_features(x, nodes)), x.label or 0] += 1
-            if nodes[x.parent].tag not in ROOTS:
-                pairs[nodes[x.parent].label or 0, x.label or 0] += 1
-    seen = Counter()
-    for (found, _), n in rows.items():
-        seen.update(dict.fromkeys(found, n))
-    names = sorted(f for f, n in seen.items() if n >= 3)
-    at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + 1))
-    x[:, -1] = 1
-    for i, (found, _) in enumerate(rows):
-        x[i, [at[f] for f in found if f in at]] = 1
-    y = np.array([state for _, state in rows], float)
-    times = np.array(list(rows.values()), float)
-    w = np.zeros(x.shape[1])
+            up = place.get(x.parent, -1)
+            place[i] = len(parent)
+            for f in node_features(x, nodes):
+                of_node.append(len(parent))
+                feature.append(at.setdefault(f, len(at)))
+            parent.append(up)
+            depth.append(depth[up] + 1 if up >= 0 else 0)
+            label.append(x.label or 0)
+    n = len(parent)
+    parent, depth, label, of_node, feature = (np.array(x, np.int64) for x in (parent, depth, label, of_node, feature))
+    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    child = np.flatnonzero(parent >= 0)
+    seen = np.bincount(feature, minlength=len(at))
+    met = np.bincount(2 * label[parent[child]] + label[child], minlength=4)
+    w = np.zeros(len(at) + 3)  # the weights, then the logarithms of edge[0][1], [1][0] and [1][1]
+    w[-3:] = -1, -1, 1
     first = second = np.zeros_like(w)
-    for t in range(1, rounds + 1):  # Adam on the regularised logistic loss
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (times * (p - y)) / times.sum() + 2e-4 * w
+    for t in range(1, rounds + 1):  # Adam
+        e01, e10, e11 = np.exp(w[-3:])
+        below = np.bincount(of_node, weights=w[feature], minlength=n)
+        sent = np.zeros(n)
+        for rows in reversed(levels):
+            odds = np.exp(np.clip(below[rows], -30, 30))
+            sent[rows] = np.log((e11 * odds + e10) / (e01 * odds + 1))
+            below += np.bincount(parent[rows], weights=sent[rows], minlength=n)
+        belief = below.copy()
+        for rows in levels:
+            odds = np.exp(np.clip(belief[parent[rows]] - sent[rows], -30, 30))
+            belief[rows] += np.log((e11 * odds + e01) / (e10 * odds + 1))
+        marginal = 1 / (1 + np.exp(-np.clip(belief, -30, 30)))
+        a, b = (np.exp(np.clip(x, -30, 30)) for x in (belief[parent[child]] - sent[child], below[child]))
+        pairs = np.stack((np.ones(len(child)), e01 * b, e10 * a, e11 * a * b))
+        pairs = (pairs / pairs.sum(axis=0)).sum(axis=1)
+        grad = np.concatenate((np.bincount(feature, weights=(marginal - label)[of_node], minlength=len(at)), pairs[1:] - met[1:])) / max(n, 1) + 1e-4 * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    # the constant goes to leaves and tags alike, by the feature that each node has
-    weights = {f: float(w[i]) + (float(w[-1]) if f == "leaf" or f.startswith("t:") else 0.0) for f, i in at.items()}
-    total = sum(pairs.values()) + 4
-    joint = [[(pairs[a, b] + 1) / total for b in (0, 1)] for a in (0, 1)]
-    parent, child = [sum(r) for r in joint], [joint[0][b] + joint[1][b] for b in (0, 1)]
-    return Model(weights, tuple(tuple(joint[a][b] / (parent[a] * child[b]) for b in (0, 1)) for a in (0, 1)))
+        w = w - 0.08 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    e01, e10, e11 = (float(x) for x in np.exp(w[-3:]))
+    return Model({f: float(w[i]) for f, i in at.items() if seen[i] >= 3}, ((1.0, e01), (e10, e11)))
 
 
 # --- labelled pages ------------------------------------------------------------------------------------------------
@@ -280,7 +292,7 @@ CHROME_WORDS = {
 CONTENT_WORDS = "content article post entry story body main text maincontent articlebody postcontent page single prose hentry blog".split()
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
     """Pages of random words in common layouts, each part labelled."""
     rng = random.Random(seed)
     syllables = [c + v for c in "bcdfglmnprstv" for v in "aeiou"] + "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
@@ -332,7 +344,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
         elif kind == "form":
             inner = f'<label>{word()}</label><input name="q"><p>{short()}</p><button>{word()}</button>'
         elif kind == "comments":
-            inner = f"<h3>{word()}</h3>" + "".join(rng.choice(["<div><p>{}</p></div>", "<li><p>{}</p></li>", '<div class="comment"><b>{}</b><p>{}</p></div>']).format(prose(4), prose(3)) for _ in range(rng.randint(1, 5)))
+            inner = f"<h3>{word()}</h3>" + "".join(rng.choice(["<div><p>{}</p></div>", "<li><p>{}</p></li>", "<article><h4>{}</h4><p>{}</p></article>", '<div class="comment"><b>{}</b><p>{}</p></div>']).format(prose(4), prose(3)) for _ in range(rng.randint(1, 5)))
         else:
             inner = rng.choice([short(), f"<p>{prose(3)}</p>", f"{short()} {link()}", f"<h4>{word()}</h4><p>{sentence()}</p><button>{word()}</button>"])
             words = words if rng.random() < 0.95 else []
@@ -348,7 +360,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
     def block() -> str:
         r = rng.random()
         if r < 0.06:
-            return rng.choice(["<p>{}</p>", "<p><b>{}<br>", "<p>{}"]).format(rng.choice([word(), f"{word()} {word()}", word() + ".", "&amp; " + word()]))
+            return rng.choice(["<p>{}</p>", "<p><b>{}<br>", "<p>{}"]).format(rng.choice([word(), f"{word()} {word()}", word() + ".", "&amp; " + word(), f'{word()} <a href="/x">{word()}</a> {word()}.']))
         if r < 0.62:
             return f"<p>{prose()}" + ("</p>" if rng.random() < 0.9 else "")
         if r < 0.72:
@@ -375,12 +387,12 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
         if body and rng.random() < 0.1:
             body = [f"<header>{body[0]}</header>"]
         body += [block() for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 12]) + (not body))]
-        if rng.random() < 0.25:
-            body.insert(rng.randint(1, len(body)), chrome(rng.choice(["ad", "notice", "aside"])))
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])):
+            body.insert(rng.randint(1, len(body)), chrome(rng.choice(["ad", "notice", "aside", "form", "nav"])))
         if rng.random() < 0.2:
             body = [named("div", CONTENT_WORDS, "".join(body), 1)]
-        if rng.random() < 0.1:
-            body.append(chrome(rng.choice(["comments", "aside", "form"])))
+        if rng.random() < 0.25:
+            body.append(chrome(rng.choice(["comments", "comments", "aside", "form"])))
         r = rng.random()
         if r < 0.5:
             main = f'<article data-content="1">{"".join(body)}</article>'
@@ -388,8 +400,10 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
             main = f'<main data-content="1">{"".join(body)}</main>'
         elif r < 0.92:
             main = named(rng.choice(["div", "section", "article"]), CONTENT_WORDS, "".join(body), 1)
-        else:
+        elif r < 0.96:
             main = f'<div data-content="1">{"".join(body)}</div>'
+        else:  # no element around the text
+            main = "".join(b if "data-content" in b else b.replace(">", ' data-content="1">', 1) for b in body)
         before = [chrome(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.45]
         after = [chrome(k) for k in ("aside", "comments", "ad", "form", "notice", "footer") if rng.random() < 0.4]
         rng.shuffle(before)
