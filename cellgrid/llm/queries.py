@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrid.llm import oracles
 from cellgrid.llm.common import pick, table
 
 
@@ -112,4 +113,10 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL has no tokenizer, classifier, tree of a page or k-d tree; the tests hold those queries against brute force.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op2_minhash": oracles.MINHASH,
+    "op5_chat_tree": oracles.CHAT_TREE,
+    "op10_embedding_dedup": oracles.EMBEDDING_DEDUP,
+}
