@@ -34,40 +34,43 @@ CODES = 2
 BLOCK = 1500
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Hadamard transform of the rows; their size is a power of two."""
-    n, size = x.shape
+def hadamard(y: np.ndarray) -> np.ndarray:
+    """The fast Hadamard transform of the columns, in place; their size is a power of two."""
+    size, n = y.shape
     step = 1
     while step < size:
-        x = x.reshape(n, size // (2 * step), 2, step)
-        x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2).reshape(n, size)
+        v = y.reshape(size // (2 * step), 2, step, n)
+        low = v[:, 0] - v[:, 1]
+        v[:, 0] += v[:, 1]
+        v[:, 1] = low
         step *= 2
-    return x
+    return y
 
 
 def bucket_keys(x: np.ndarray, tables: int = TABLES, seed: int = 20) -> np.ndarray:
-    """[vector, table, probe]: the names of the two buckets of each table."""
+    """[vector, table, probe]: the names of the two buckets of each table. Vectors of over 16,384 numbers don't fit."""
     n, d = x.shape
     size = max(2, 1 << (d - 1).bit_length())
-    padded = np.zeros((n, size))
-    padded[:, :d] = x
-    out = np.empty((n, tables, 2), np.int64)
+    padded = np.zeros((size, n))
+    padded[:d] = x.T
+    out = np.empty((n, tables, 2), np.int32)
     rows = np.arange(n)
     for t in range(tables):
         best, other, gap = [], [], []
         for k in range(CODES):
             rng = np.random.default_rng((seed, t, k, size))
-            y = padded
+            y = padded.copy()
             for _ in range(3):
-                y = hadamard(y * rng.choice((-1.0, 1.0), size))
+                y *= rng.choice((-1.0, 1.0), size)[:, None]
+                hadamard(y)
             strength = np.abs(y)
-            first = strength.argmax(axis=1)
-            top = strength[rows, first].copy()
-            strength[rows, first] = -1
-            second = strength.argmax(axis=1)
-            best.append(2 * first + (y[rows, first] > 0))
-            other.append(2 * second + (y[rows, second] > 0))
-            gap.append((top - strength[rows, second]) / np.maximum(top, 1e-300))
+            first = strength.argmax(axis=0)
+            top = strength[first, rows].copy()
+            strength[first, rows] = -1
+            second = strength.argmax(axis=0)
+            best.append(2 * first + (y[first, rows] > 0))
+            other.append(2 * second + (y[second, rows] > 0))
+            gap.append((top - strength[second, rows]) / np.maximum(top, 1e-300))
         base = 2 * size
         out[:, t, 0] = best[0] * base + best[1]
         swap = gap[0] <= gap[1]
@@ -80,29 +83,6 @@ def unit(blobs: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bucket_rows(classes: DataFrame, tables: int) -> DataFrame:
-    """(bucket, node, times, x): a row for each class, table and probe. bucket: label, size, table and key in one hash;
-    vectors of other labels that happen to share it are told apart by `space`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            space, node, times, blobs = batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()
-            sizes = np.array([len(b) for b in blobs])
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                for at in range(0, len(rows), 2000):
-                    part = rows[at : at + 2000]
-                    keys = bucket_keys(unit([blobs[i] for i in part]), tables).reshape(len(part), -1)
-                    take = pa.array(np.repeat(part, 2 * tables))
-                    table = np.tile(np.repeat(np.arange(tables), 2), len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array([space[i] for i in part for _ in range(2 * tables)], pa.int64()), pa.array(table, pa.int32()), pa.array(keys.reshape(-1)), node.take(take), times.take(take), batch.column(3).take(take)], ["space", "tab", "key", "node", "times", "x"])
-
-    made = classes.select("space", "node", "times", "x").mapInArrow(run, "space long, tab int, key long, node binary, times long, x binary")
-    return made
-
-
 def _links(buckets: DataFrame, threshold: float, tables: int) -> DataFrame:
     """(node, links, u): how many vectors each class links with, and a spanning forest of each bucket's links."""
 
@@ -115,7 +95,7 @@ def _links(buckets: DataFrame, threshold: float, tables: int) -> DataFrame:
             x = unit(rows.column("x").to_pylist())
             n = len(nodes)
             inner = not (side == 1).any() or not (side == 0).any()
-            codes = None
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<i4").reshape(n, tables, 2)
             links = np.zeros(n, np.int64)
             label = np.arange(n)
             us, vs = [], []
@@ -131,19 +111,17 @@ def _links(buckets: DataFrame, threshold: float, tables: int) -> DataFrame:
                 i, j = i[keep], j[keep]
                 if not len(i):
                     continue
-                if codes is None:
-                    codes = bucket_keys(x, tables)
                 first = np.zeros(len(i), bool)
                 open_ = np.ones(len(i), bool)
                 for t in range(tab + 1):  # the first table, and in it the least key, that the two share
                     a, b = codes[i, t], codes[j, t]
-                    least = np.full(len(i), np.iinfo(np.int64).max)
+                    least = np.full(len(i), np.iinfo(np.int32).max)
                     for p in range(2):
                         for q in range(2):
                             least = np.where(a[:, p] == b[:, q], np.minimum(least, a[:, p]), least)
                     if t == tab:
                         first = open_ & (least == key)
-                    open_ &= least == np.iinfo(np.int64).max
+                    open_ &= least == np.iinfo(np.int32).max
                 i, j = i[first], j[first]
                 np.add.at(links, i, times[j])
                 np.add.at(links, j, times[i])
@@ -166,7 +144,7 @@ def _links(buckets: DataFrame, threshold: float, tables: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([nodes[label[k]] for k in some], pa.binary())], ["node", "links", "u"])
 
     ordered = buckets.repartition(shuffle_partitions(buckets.sparkSession), "group").sortWithinPartitions("group")
-    return ordered.select("group", "tab", "key", "side", "cross", "node", "times", "x").mapInArrow(run, "node binary, links long, u binary")
+    return ordered.select("group", "tab", "key", "side", "cross", "node", "times", "x", "codes").mapInArrow(run, "node binary, links long, u binary")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
@@ -178,21 +156,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     rows = rows.withColumn("node", F.when(F.col("fit"), F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("x").cast("array<string>")).cast("binary")))))
     classes = rows.filter("fit").groupBy("node").agg(F.min(F.coalesce("id", F.lit(int(NULL_ID)))).alias("id"), F.count(F.lit(1)).alias("times"), F.first("label").alias("label"), F.first("x").alias("x"))
 
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             # scaled by the largest component, so that squares neither overflow nor vanish
             vecs = [np.asarray(v, "<f8") for v in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([(v / np.abs(v).max()).tobytes() for v in vecs], pa.binary())], ["node", "id", "times", "space", "x"])
+            blobs = [(v / np.abs(v).max()).tobytes() for v in vecs]
+            sizes = np.array([len(v) for v in vecs])
+            codes: list[bytes] = [b""] * len(vecs)
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                for at in range(0, len(rows), 1000):
+                    part = rows[at : at + 1000]
+                    for i, c in zip(part, bucket_keys(unit([blobs[i] for i in part]), tables)):
+                        codes[i] = c.tobytes()
+            keys = [np.frombuffer(c, "<i4") for c in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blobs, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["node", "id", "times", "space", "x", "codes", "keys"])
 
     space = F.xxhash64(F.col("label").cast("string"), F.size("x")).alias("space")
-    classes = cut(classes.select("node", "id", "times", space, "x").mapInArrow(blobs, "node binary, id long, times long, space long, x binary"), 20_000)
-    keyed = _bucket_rows(classes, tables)
+    classes = cut(classes.select("node", "id", "times", space, "x").mapInArrow(hashed, "node binary, id long, times long, space long, x binary, codes binary, keys array<int>"), 20_000)
+    # a row for each class, table and probe; the vectors come along only where a bucket has several
+    keyed = classes.select("space", "node", F.posexplode("keys").alias("at", "key")).select("space", (F.col("at") / 2).cast("int").alias("tab"), "key", "node")
     group = ["space", "tab", "key"]
     sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = keyed.join(sizes, group).withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    grouped = other.select(F.xxhash64("space", "tab", "key", low, high).alias("group"), "tab", "key", (F.col("own") == high).cast("int").alias("side"), (low != high).alias("cross"), "node", "times", "x")
+    dealt = other.select(F.xxhash64("space", "tab", "key", low, high).alias("group"), "tab", "key", (F.col("own") == high).cast("int").alias("side"), (low != high).alias("cross"), "node")
+    grouped = dealt.join(classes.select("node", "times", "x", "codes"), "node")
     found = cut(_links(grouped, threshold, tables))
     reached = components(found.select(F.col("node").alias("u"), F.col("u").alias("v")))
     labelled = classes.select("node", "id").join(reached, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
