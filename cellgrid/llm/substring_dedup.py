@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, place, remix, shuffle_partitions, text_chunks, widen
+from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_chunks, widen
 
 WINDOW = 13
 ROUNDS = 2
-#: Entries that a task gathers before it packs and sends them.
-PACK = 1 << 19
+#: Input of a block of documents and of a bucket of anchors, in bytes.
+BLOCK_BYTES = 8 << 20
 
 
 class Powers:
@@ -153,26 +153,29 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
     return a, b
 
 
-def _packed(bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: hashes as bytes, and the last array, of ids, narrowed."""
-    keys, parts = [], [[] for _ in arrays]
-    for k, slices in by_key(bucket, *arrays):
-        keys.append(k)
-        for to, x in zip(parts[:-1], slices[:-1]):
-            to.append(x.tobytes())
-        parts[-1].append(narrow(slices[-1]))
-    names = ["key", *[f"a{i}" for i in range(len(arrays))]]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], names)
+def _packed(key: np.ndarray, block: int | None, *arrays: np.ndarray) -> Iterator[tuple]:
+    """A row for each key, with the block that sends it: hashes as bytes, ids narrowed."""
+    for k, slices in by_key(key, *arrays):
+        yield (k, block, *[x.tobytes() if x.dtype != np.int64 else narrow(x) for x in slices])
 
 
-def _distinct(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct rows; the first array is the main key."""
-    if not len(arrays[0]):
-        return arrays
-    order = np.lexsort(arrays[::-1])
-    arrays = tuple(a[order] for a in arrays)
-    fresh = np.concatenate(([True], np.logical_or.reduce([a[1:] != a[:-1] for a in arrays])))
-    return tuple(a[fresh] for a in arrays)
+def _rows(rows: list[tuple], columns: int) -> pa.RecordBatch:
+    names = ["key", "block", *[f"a{i}" for i in range(columns)]]
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * columns]
+    parts = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, types)], names)
+
+
+def _schema(columns: int) -> str:
+    return "key long, block long" + "".join(f", a{i} binary" for i in range(columns))
+
+
+def _extremes(ids: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct names with the least and greatest id of each."""
+    order = np.lexsort(names[::-1])
+    names = tuple(x[order] for x in names)
+    edge = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in names]))))
+    return (*[x[edge] for x in names], np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge))
 
 
 def _u64(parts: list[bytes]) -> np.ndarray:
@@ -183,132 +186,119 @@ def _ids(parts: list[bytes]) -> np.ndarray:
     return np.concatenate([widen(b) for b in parts])
 
 
+def _blocks(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.repeat(np.array(blobs(parts, 1), np.int64), [len(x) // 8 for x in blobs(parts, 2)])
+
+
 def _by_bucket(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key")
 
 
-def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, a0, a1): anchors and the documents that have them, by bucket of the anchor."""
+def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    for ids, texts in text_chunks(table, table.column_names.index("id"), table.column_names.index("text")):
+        yield np.array(ids, np.int64), texts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def send() -> pa.RecordBatch:
-            names, ids = _distinct(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
-            return _packed((names % np.uint64(buckets)).astype(np.int64), names, ids)
+def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(key, block, a0, a1): a block's anchors, once each, and which of them several of its documents have; by bucket of
+    the anchor."""
 
-        for batch in batches:
-            for ids, texts in text_chunks(batch, 0, 1):
-                flat, breaks = joined_words(texts)
-                starts, owner = starts_of_windows(breaks, window)
-                if len(starts):
-                    names = anchors(flat, breaks, starts, window)
-                    fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
-                    held.append((names[fresh], np.array(ids, np.int64)[owner[fresh]]))
-                    size += int(fresh.sum())
-                if size >= PACK:
-                    yield send()
-                    size = 0
+    def run(table: pa.Table) -> pa.Table:
+        held = []
+        for ids, texts in _texts(table):
+            flat, breaks = joined_words(texts)
+            starts, owner = starts_of_windows(breaks, window)
+            if len(starts):
+                names = anchors(flat, breaks, starts, window)
+                fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
+                held.append((names[fresh], ids[owner[fresh]]))
+        rows = []
         if held:
-            yield send()
+            names, ids = (np.concatenate(x) for x in zip(*held))
+            names, low, high = _extremes(ids, names)
+            rows = list(_packed((names % np.uint64(buckets)).astype(np.int64), table.column("block")[0].as_py(), names, (low < high).astype(np.uint8)))
+        return pa.Table.from_batches([_rows(rows, 2)])
 
-    return docs.mapInArrow(run, "key long, a0 binary, a1 binary")
+    return docs.groupBy("block").applyInArrow(run, _schema(2))
 
 
-def _shared_anchors(sent: DataFrame, blocks: int) -> DataFrame:
-    """(key, a0, a1): anchors of more than one document, with the documents, by block of the document."""
+def _shared_anchors(sent: DataFrame) -> DataFrame:
+    """(key, block, a0): the anchors of a block that more than one document has; key is the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped_runs(batches):
-            names, ids = _distinct(_u64(blobs(parts, 1)), _ids(blobs(parts, 2)))
+            names, block, several = _u64(blobs(parts, 2)), _blocks(parts), np.frombuffer(b"".join(blobs(parts, 3)), np.uint8)
+            order = np.argsort(names, kind="stable")
+            names, block, several = names[order], block[order], several[order]
             edge = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            several = np.repeat(np.diff(np.append(edge, len(names))) > 1, np.diff(np.append(edge, len(names))))
-            if several.any():
-                names, ids = names[several], ids[several]
-                yield _packed(place(ids, blocks), names, ids)
-
-    return _by_bucket(sent).mapInArrow(run, "key long, a0 binary, a1 binary")
-
+            size = np.diff(np.append(edge, len(names)))
+            shared = np.repeat((size > 1) | (np.maximum.reduceat(several, edge) > 0), size)
+            if shared.any():
+                yield _rows(list(_packed(block[shared], None, names[shared])), 1)
 
-def _hits(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The names and ids of a block's packed rows, sorted by id."""
-    names, ids = _u64(table.column("a0").to_pylist()), _ids(table.column("a1").to_pylist())
-    order = np.argsort(ids, kind="stable")
-    return names[order], ids[order]
-
-
-def _marked(names: np.ndarray, owner: np.ndarray, ids: np.ndarray, hit_names: np.ndarray, hit_ids: np.ndarray) -> np.ndarray:
-    """Which (name, id of the owner) are among the hits."""
-    found = np.zeros(len(names), bool)
-    edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
-    for s, e in zip(edges, [*edges[1:], len(owner)]):
-        own = ids[owner[s]]
-        a, b = np.searchsorted(hit_ids, own, "left"), np.searchsorted(hit_ids, own, "right")
-        if b > a:
-            found[s:e] = np.isin(names[s:e], hit_names[a:b])
-    return found
+    return _by_bucket(sent).mapInArrow(run, _schema(1))
 
 
 def _send_windows(docs: DataFrame, shared: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, a0, a1, a2): windows with a shared anchor and their documents, by bucket of the window."""
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], ["key", "a0", "a1", "a2"])
+    """(key, block, a0, a1, a2, a3): a block's windows with a shared anchor, once each, with the least and greatest id
+    that has it; by bucket of the window."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([empty])
-        hit_names, hit_ids = _hits(right)
-        out = []
-        for ids, texts in text_chunks(left, left.column_names.index("id"), left.column_names.index("text")):
-            flat, breaks = joined_words(texts)
-            starts, owner = starts_of_windows(breaks, window)
-            if not len(starts):
-                continue
-            ids = np.array(ids, np.int64)
-            near = _marked(anchors(flat, breaks, starts, window), owner, ids, hit_names, hit_ids)
-            a, b = window_hashes(flat, starts[near], window)
-            out.append((a, b, ids[owner[near]]))
-        if not out:
-            return pa.Table.from_batches([empty])
-        a, b, ids = _distinct(*(np.concatenate(x) for x in zip(*out)))
-        return pa.Table.from_batches([_packed((a % np.uint64(buckets)).astype(np.int64), a, b, ids) if len(a) else empty])
+        rows, held = [], []
+        if left.num_rows and right.num_rows:
+            known = np.sort(_u64(right.column("a0").to_pylist()))
+            for ids, texts in _texts(left):
+                flat, breaks = joined_words(texts)
+                starts, owner = starts_of_windows(breaks, window)
+                if len(starts):
+                    near = np.isin(anchors(flat, breaks, starts, window), known)
+                    held.append((*window_hashes(flat, starts[near], window), ids[owner[near]]))
+        if held:
+            a, b, ids = (np.concatenate(x) for x in zip(*held))
+            if len(a):
+                a, b, low, high = _extremes(ids, a, b)
+                rows = list(_packed((a % np.uint64(buckets)).astype(np.int64), left.column("block")[0].as_py(), a, b, low, high))
+        return pa.Table.from_batches([_rows(rows, 4)])
 
-    return docs.groupBy("block").cogroup(shared.groupBy("key")).applyInArrow(run, "key long, a0 binary, a1 binary, a2 binary")
+    return docs.groupBy("block").cogroup(shared.groupBy("key")).applyInArrow(run, _schema(4))
 
 
-def _later_windows(sent: DataFrame, blocks: int) -> DataFrame:
-    """(key, a0, a1): windows that start in an earlier document too, with the later documents, by block of these."""
+def _later_windows(sent: DataFrame) -> DataFrame:
+    """(key, block, a0, a1): a block's windows that start in a document with a smaller id than one of the block's, with
+    the least id of all; key is the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped_runs(batches):
-            a, b, ids = _u64(blobs(parts, 1)), _u64(blobs(parts, 2)), _ids(blobs(parts, 3))
-            order = np.lexsort((ids, b, a))
-            a, b, ids = a[order], b[order], ids[order]
-            edge = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            least = ids[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-            later = ids > least
+            a, b, block = _u64(blobs(parts, 2)), _u64(blobs(parts, 3)), _blocks(parts)
+            low, high = _ids(blobs(parts, 4)), _ids(blobs(parts, 5))
+            order = np.lexsort((b, a))
+            a, b, block, low, high = (x[order] for x in (a, b, block, low, high))
+            edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            least = np.repeat(np.minimum.reduceat(low, edge), np.diff(np.append(edge, len(a))))
+            later = high > least
             if later.any():
-                yield _packed(place(ids[later], blocks), a[later], ids[later])
+                yield _rows(list(_packed(block[later], None, a[later], least[later])), 2)
 
-    return _by_bucket(sent).mapInArrow(run, "key long, a0 binary, a1 binary")
+    return _by_bucket(sent).mapInArrow(run, _schema(2))
 
 
 def _stays(table: pa.Table, right: pa.Table, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Of a block's documents: texts, which words are covered, where each text's words begin, and how many it loses."""
-    hit_names, hit_ids = _hits(right) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for ids, texts in text_chunks(table, table.column_names.index("id"), table.column_names.index("text")):
+    names, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if right.num_rows:
+        names, least = _u64(right.column("a0").to_pylist()), _ids(right.column("a1").to_pylist())
+        order = np.argsort(names)
+        names, least = names[order], least[order]
+    for ids, texts in _texts(table):
         flat, breaks = joined_words(texts)
         starts, owner = starts_of_windows(breaks, window)
         gone = np.zeros(len(flat) + 1, np.int64)
-        if len(starts) and len(hit_ids):
-            array = np.array(ids, np.int64)
-            touched = np.isin(array, hit_ids)[owner]
-            starts, owner = starts[touched], owner[touched]
+        if len(starts) and len(names):
             a, _ = window_hashes(flat, starts, window)
-            removed = starts[_marked(a, owner, array, hit_names, hit_ids)]
-            np.add.at(gone, removed, 1)
-            np.add.at(gone, removed + window, -1)
+            at = np.minimum(np.searchsorted(names, a), len(names) - 1)
+            removed = starts[(names[at] == a) & (least[at] < ids[owner])]
+            gone[removed] += 1
+            gone[removed + window] -= 1
         covered = np.cumsum(gone)[:-1] > 0
         total = np.concatenate(([0], np.cumsum(covered)))
         yield texts, covered, breaks, total[breaks[1:]] - total[breaks[:-1]]
@@ -319,18 +309,18 @@ def _kept(text: bytes, covered: np.ndarray) -> str:
 
 
 def _later(docs: DataFrame, window: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their blocks, and what `_later_windows` found. Both cogroups take the same columns, so Spark
-    deals the documents out once."""
+    """The documents with their blocks, and what `_later_windows` found. All stages take the same rows by the same
+    blocks, so Spark deals the documents out once."""
     blocked = docs.withColumn("block", block_of("id", blocks))
-    shared = _shared_anchors(_send_anchors(docs.select("id", "text"), window, blocks), blocks)
-    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks), blocks)
+    shared = _shared_anchors(_send_anchors(blocked, window, blocks))
+    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: (id, text). Removes every word covered by a window of `window` words that also starts in a document with a
     smaller id. Returns (id, n_words, n_removed, text), a row for each document."""
     docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
-    blocked, later = _later(docs, window, bucket_count(docs))
+    blocked, later = _later(docs, window, bucket_count(docs, BLOCK_BYTES))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n_words, n_removed, kept = [], [], []
@@ -348,7 +338,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     loses nothing stays as it is, others become their kept words joined by one space, with n_chars to match."""
     names = docs.columns
     rows = docs.withColumnRenamed("doc_id", "id")
-    blocked, later = _later(rows, window, bucket_count(docs))
+    blocked, later = _later(rows, window, bucket_count(docs, BLOCK_BYTES))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         old_text, old_size = left.column("text").to_pylist(), left.column("n_chars").to_pylist()
