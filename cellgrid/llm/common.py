@@ -224,22 +224,8 @@ def by_key(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.
         yield int(key[s]), [a[s:e] for a in arrays]
 
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def place(ids: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of each id: pmod(xxhash64(id), blocks) as Spark computes it, see `block_of`."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = (p5 + np.uint64(42 + 8)) ^ (_rotl(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-    h = _rotl(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64) % blocks
-
-
 def block_of(id_col: str, blocks: int):
-    """The same for a column (null: as NULL_ID)."""
+    """The block of each id, by a hash (null: as NULL_ID)."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), F.lit(blocks)).cast("long")
 
 

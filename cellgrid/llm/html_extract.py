@@ -17,7 +17,6 @@ import html as entities
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_chunks, widen
+from cellgrid.llm.common import block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_chunks, widen
 
 WINDOW = 13
 ROUNDS = 2
