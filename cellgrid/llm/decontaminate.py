@@ -92,7 +92,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         known = Tokens()
-        self.ids, self.words, self.count, self.spots = [], [], [], defaultdict(list)
+        self.ids, self.words, self.count, self.rank, self.spots = [], [], [], [], defaultdict(list)
         for item, text in items:
             words = [w for w in (text or "").encode().split() if known[w]]
             found = windows(np.array([known[w] for w in words], np.uint64))
@@ -101,6 +101,7 @@ class Benchmark:
             for p, h in enumerate(found.tolist()):
                 if h:
                     self.spots[h].append((len(self.ids), p))
+            self.rank.append({int(p): k for k, p in enumerate(np.flatnonzero(found))})
             self.ids.append(item)
             self.words.append(words)
             self.count.append(int((found != 0).sum()))
@@ -137,12 +138,13 @@ class Benchmark:
             agree = sum(owner.values())
             if total and agree < AGREE * total:
                 continue
-            run = longest = 0
-            before = None
-            for p in sorted(best):
-                run = run + 1 if before is not None and p == before + 1 and best[p] == best[before] + 1 else 1
-                longest, before = max(longest, run), p
-            span = longest + WINDOW - 1
+            span = 0
+            begun = before = None
+            for p in sorted(best):  # in a row: no window of the item that counts is missing in between
+                if before is None or self.rank[item][p] != self.rank[item][before] + 1 or best[p] - p != best[before] - before:
+                    begun = p
+                before = p
+                span = max(span, p - begun + WINDOW)
             if len(best) < SHARE * self.count[item] and span < RUN:
                 continue
             changed = any(value != (v.strip()) for (_, v), (value, _) in leads.items())

@@ -98,3 +98,10 @@ def test_clean_documents_stay(spark):
     docs = spark.createDataFrame([(1, f"x {ITEM}"), (2, "fine"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item long, text string")
     assert sorted(r["doc_id"] for r in D.keep_clean(docs, items).collect()) == [2, 3]
+
+
+def test_part_of_an_item(spark):
+    item = "Der Hund lief schnell zum Haus und die Katze sah ihm lange nach bis er hinter dem Baum am Fluss ganz verschwunden war und nie mehr zu sehen blieb"
+    words = item.split()
+    docs = [(1, "etwas " * 30 + " ".join(words[3:20]) + " noch etwas"), (2, "etwas " * 30 + " ".join(words[3:12]) + " noch etwas")]
+    assert [r["id"] for r in held(spark, docs, [(5, item)])] == [1]
