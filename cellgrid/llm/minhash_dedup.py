@@ -31,8 +31,8 @@ from cellgrid.llm.components import components
 
 PARTS = 12
 PER_PART = 3
-#: Shingles of a block of sets; two blocks meet in a task.
-BLOCK_SHINGLES = 2_000_000
+#: Sets of a block; two blocks meet in a task.
+BLOCK = 300
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,21 +134,30 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rest(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """open_: (node, component). Links between components among nodes that share a signature of the first collection,
-    a spanning forest of each group's: (u, v). A group is dealt into pairs of blocks of a bounded size."""
-    part = open_.join(nodes.select("node", "n", F.slice("parts", 1, parts).alias("parts")), "node").select("node", "component", "n", F.posexplode("parts").alias("part", "sig"))
-    groups = part.groupBy("part", "sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("total")).filter("a != b").select("part", "sig", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("blocks"))
-    dealt = part.join(groups, ["part", "sig"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("part", "sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "component")
+    a spanning forest of each block's: (u, v). Any such link has an end outside the group's largest component, so a
+    group is dealt into blocks of those by blocks of all; few outsiders make a line of blocks and not a square."""
+    part = open_.join(nodes.select("node", F.slice("parts", 1, parts).alias("parts")), "node").select("node", "component", F.posexplode("parts").alias("part", "sig"))
+    sizes = part.groupBy("part", "sig", "component").agg(F.count(F.lit(1)).alias("m"))
+    groups = sizes.groupBy("part", "sig").agg(F.max_by("component", "m").alias("main"), F.sum("m").alias("all"), F.max("m").alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    dealt = part.join(groups.select("part", "sig", "main", blocks(F.col("all") - F.col("top")).alias("rows"), blocks(F.col("all")).alias("cols")), ["part", "sig"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = dealt.withColumn("row", every("rows")).withColumn("col", F.pmod(F.xxhash64("node"), F.col("cols"))).withColumn("side", F.lit(0))
+    outside = dealt.filter("component != main").withColumn("row", F.pmod(F.xxhash64("node", F.lit("row")), F.col("rows"))).withColumn("col", every("cols")).withColumn("side", F.lit(1))
+    dealt = members.unionByName(outside).select(F.xxhash64("part", "sig", "row", "col").alias("group"), "node", "component", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in grouped_runs(batches):
-            node, component, blob = (blobs(held, k) for k in (1, 2, 3))
-            sizes = np.fromiter(map(len, blob), np.int64, len(blob)) // 8
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            alphabet, flat = np.unique(np.frombuffer(b"".join(blob), "<u8"), return_inverse=True)
-            _, label, count = np.unique(component, return_inverse=True, return_counts=True)
-            root = list(range(len(count)))
+            side = np.array(blobs(held, 3))
+            node, component, blob = (blobs(held, k) for k in (1, 2, 4))
+            inside, probes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(inside) or not len(probes):
+                continue
+            _, label = np.unique(component, return_inverse=True)
+            alphabet, flat = np.unique(np.frombuffer(b"".join(blob[i] for i in inside), "<u8"), return_inverse=True)
+            sizes = np.fromiter((len(blob[i]) // 8 for i in inside), np.int64, len(inside))
+            starts = np.cumsum(sizes) - sizes
+            root = list(range(int(label.max()) + 1))
 
             def find(x: int, root=root) -> int:
                 while root[x] != x:
@@ -158,13 +167,15 @@ def _rest(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, par
 
             us, vs = [], []
             mark = np.zeros(len(alphabet), np.int64)
-            for i in np.flatnonzero(label != count.argmax()):  # a link between components has an end outside the largest
-                own = flat[starts[i] : starts[i] + sizes[i]]
-                mark[own] = 1
+            for i in probes:
+                own = np.frombuffer(blob[i], "<u8")
+                at = np.minimum(np.searchsorted(alphabet, own), len(alphabet) - 1)
+                at = at[alphabet[at] == own]
+                mark[at] = 1
                 common = np.add.reduceat(mark[flat], starts)
-                mark[own] = 0
-                linked = 100 * common >= percent * (sizes[i] + sizes - common)
-                for j in np.flatnonzero(linked & (label != label[i])):
+                mark[at] = 0
+                linked = 100 * common >= percent * (len(own) + sizes - common)
+                for j in inside[linked & (label[inside] != label[i])]:
                     x, y = find(int(label[i])), find(int(label[j]))
                     if x != y:
                         root[max(x, y)] = min(x, y)
@@ -173,7 +184,7 @@ def _rest(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, par
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    rows = dealt.join(sets, "node").select("group", "node", "component", "set")
+    rows = dealt.join(sets, "node").select("group", "node", "component", "side", "set")
     ordered = rows.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group")
     return ordered.mapInArrow(run, "u binary, v binary")
 
