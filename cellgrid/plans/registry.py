@@ -6,6 +6,7 @@ differ in a sum's last bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from cellgrid.functions import healpix
 from cellgrid.operators import aggregate, assign, display, geo, psf, quality
 from cellgrid.plans import oracle as sql
 from cellgrid.sources import observations
-from cellgrid.streaming import state
+from cellgrid.streaming import state, stream
 
 NSIDE = 32
 AGGS = ("mean", "median", "std", "min", "max", "mad", "robust_std")
@@ -40,8 +41,11 @@ def micro(c: str | Column, name: str | None = None) -> Column:
 
 
 def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def placed(items: DataFrame) -> DataFrame:
     """Line items as observations with made-up positions."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.selectExpr(
         "l_orderkey * 8 + l_linenumber AS source_id",
         "((l_orderkey * 7919 + l_linenumber * 104729) % 360000) / 1000D + 0.00037D AS lon",
@@ -301,6 +305,17 @@ def state_vs_batch(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.when(F.col("difference") != 0, 1).otherwise(0)).alias("differ"))
 
 
+@query(f"SELECT healpix_id, count(v) AS n, {sql.micro('sum(v) / count(v)', 'mean')}, {sql.micro('min(v)', 'least')}, {sql.micro('max(v)', 'greatest')} FROM ({CELLS_ALL}) GROUP BY 1")
+def stream_state(spark, sf_dir):
+    """The state of a file stream, run until nothing is left; the result is as large as the grid at most."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    items = stream.read_stream(spark, f"{sf_dir}/lineitem*.parquet", schema)
+    name = f"stream_state_{uuid.uuid4().hex}"
+    held = stream.streaming_state(placed(items), NSIDE, ["v"], sketches=False)
+    stream.run_to_table(held, name, stream.checkpoint_folder(spark)).awaitTermination()
+    return spark.table(name).select("healpix_id", "n", micro(F.col("sum") / F.col("n"), "mean"), micro("min", "least"), micro("max", "greatest"))
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,13 @@ from cellgrid.sources.observations import number
 from cellgrid.streaming.state import long_values, merged, partial
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder for a query's checkpoints, in the one that the session names in spark.checkpoint.dir; only a
+    session that names none, as in tests, gets one of this machine."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+
+
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
