@@ -6,10 +6,14 @@ documents and benchmark items. A document holds an item if at least 0.8 of the i
 least 13 tokens in a row, are found in it, and the placeholders agree: one value of the item must stand for one value
 of the document throughout, so a question with other numbers or names is caught while text of the same shape is not.
 
-Windows of fewer than three ordinary words do not count, so items of fewer than five tokens, or of placeholders only,
-cannot be told from ordinary text and match nothing. Null texts hold nothing. The benchmark's windows reach the workers
-in parts of at most MOST_WINDOWS, so a large benchmark takes several passes instead of more memory. Rows with equal ids
-are judged one by one, as are null ids; items with equal ids are separate items; other columns are ignored.
+Template windows of fewer than three ordinary words do not count. What they cannot tell (arithmetic, titles, lists of
+names, documents in capitals) is found exactly: the same shares of an item's windows of case-folded literal words, with
+no demand on the words. An item shorter than a window is found as a whole, and one of one or two words only as the whole
+document, since within a text it cannot be told from ordinary words. `ways` counts the items by the way they take.
+
+Null texts, and items without a word, hold and match nothing. The benchmark's windows, template and literal, reach the
+workers in parts of at most MOST_WINDOWS, so a large benchmark takes several passes instead of more memory. Rows with
+equal ids are judged one by one, as are null ids; items with equal ids are separate items; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,13 @@ WINDOW = 5
 SHARE = 0.8
 RUN = 13
 LITERALS = 3
+#: Items of fewer words match whole documents only.
+WITHIN = 3
 AGREE = 0.8
 MOST_WINDOWS = 1_000_000
 
-NUMBER, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3))
+NUMBER, UNIT, NAME = 1, 2, 3
+KIND = 7
 # Units of measure and currency.
 UNITS = frozenset("mm cm m km inch inches in. ft foot feet yard yards mile miles mg g kg ton tons tonne tonnes lb lbs oz pound pounds ounce ounces ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kph km/h m/s hz khz mhz ghz kb mb gb tb w kw mw kwh j kj cal kcal v a ohm pa kpa bar k c f °c °f % percent dollar dollars euro euros cent cents usd eur gbp € $ £".split())
 _NUMBER = re.compile(r"[+\-−]?[$€£]?\d[\d.,:/\-]*(?:%|st|nd|rd|th|[a-z°€$£]{1,3})?$", re.I)
@@ -44,22 +51,22 @@ _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*_|&#"
 
 
 def token(word: bytes) -> int:
-    """The template token of a word: a placeholder, a hash, or 0 for marks only."""
+    """A hash of the case-folded word with its kind, a placeholder or 0, in the low bits; 0 for marks only."""
     plain = word.decode("utf-8", "replace").strip(_EDGE)
     if not plain:
         return 0
     low = plain.lower()
     if _NUMBER.match(plain) or low in NUMBER_WORDS:
-        return int(NUMBER)
-    if low in UNITS:
-        return int(UNIT)
-    if plain[0].isupper():
-        return int(NAME)
-    return xxhash.xxh3_64_intdigest(low.encode()) | 8
+        kind = NUMBER
+    elif low in UNITS:
+        kind = UNIT
+    else:
+        kind = NAME if plain[0].isupper() else 0
+    return xxhash.xxh3_64_intdigest(low.encode()) & ~KIND | 8 | kind
 
 
 class Tokens(dict):
-    """Template tokens of words, remembered; bounded."""
+    """Tokens of words, remembered; bounded."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
@@ -71,90 +78,131 @@ class Tokens(dict):
         return got
 
 
-def windows(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each window of the tokens; 0 where it has too few ordinary words."""
-    n = len(tokens) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def _hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    n = max(len(tokens) - size + 1, 0)
     h = np.zeros(n, np.uint64)
+    mixed = remix(tokens)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[k : k + n]
+    return remix(h) | np.uint64(1)
+
+
+def windows(tokens: np.ndarray) -> np.ndarray:
+    """A hash of each template window of the tokens; 0 where it has too few ordinary words."""
+    n = max(len(tokens) - WINDOW + 1, 0)
+    kind = tokens & np.uint64(KIND)
+    ordinary = kind == 0
     literals = np.zeros(n, np.int8)
     for k in range(WINDOW):
-        part = tokens[k : k + n]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + remix(part)
-        literals += part > np.uint64(7)
-    return np.where(literals >= LITERALS, remix(h) | np.uint64(1), np.uint64(0))
+        literals += ordinary[k : k + n]
+    return np.where(literals >= LITERALS, _hashes(np.where(ordinary, tokens, kind), WINDOW), np.uint64(0))
 
 
-class Benchmark:
-    """A part of the benchmark, ready for lookup."""
+def literal_windows(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """A hash of each window of `size` case-folded words."""
+    return _hashes(tokens & ~np.uint64(KIND), size)
+
+
+class Spots:
+    """Where the windows of items are, by their hash."""
 
     BITS = 22
 
+    def __init__(self, size: int):
+        self.size = size
+        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.count, self.rank = {}, {}
+        self.maybe = np.zeros(1 << self.BITS, bool)
+
+    def add(self, item: int, found: np.ndarray) -> None:
+        """found: the hash of each of the item's windows, 0 where it does not count."""
+        places = np.flatnonzero(found).tolist()
+        for p in places:
+            self.at[int(found[p])].append((item, p))
+        self.maybe[found[places] >> np.uint64(64 - self.BITS)] = True
+        self.rank[item] = {p: k for k, p in enumerate(places)}
+        self.count[item] = len(places)
+
+    def hits(self, found: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The places of windows that some item has, none of them over two documents."""
+        n = len(found)
+        if not n or not self.at:
+            return np.zeros(0, np.int64)
+        hit = np.flatnonzero(self.maybe[found >> np.uint64(64 - self.BITS)] & (found != 0) & (owner[:n] == owner[self.size - 1 :]))
+        return hit[[h in self.at for h in found[hit].tolist()]] if len(hit) else hit
+
+
+class Benchmark:
+    """A part of the benchmark, ready for lookup."""
+
     def __init__(self, items: list[tuple[int | None, str]]):
         known = Tokens()
-        self.ids, self.words, self.count, self.rank, self.spots = [], [], [], [], defaultdict(list)
+        self.ids, self.words = [], []
+        self.template, self.literal = Spots(WINDOW), Spots(WINDOW)
+        self.short: dict[int, Spots] = {}  # items shorter than a window, by their number of words
         for item, text in items:
             words = [w for w in (text or "").encode().split() if known[w]]
-            found = windows(np.array([known[w] for w in words], np.uint64))
-            if not found.any():
+            if not words:
                 continue
-            for p, h in enumerate(found.tolist()):
-                if h:
-                    self.spots[h].append((len(self.ids), p))
-            self.rank.append({int(p): k for k, p in enumerate(np.flatnonzero(found))})
+            tokens = np.array([known[w] for w in words], np.uint64)
+            k = len(self.ids)
+            if (found := windows(tokens)).any():
+                self.template.add(k, found)
+            if len(words) < WINDOW and len(words) not in self.short:
+                self.short[len(words)] = Spots(len(words))
+            (self.literal if len(words) >= WINDOW else self.short[len(words)]).add(k, literal_windows(tokens, min(len(words), WINDOW)))
             self.ids.append(item)
             self.words.append(words)
-            self.count.append(int((found != 0).sum()))
-        self.maybe = np.zeros(1 << self.BITS, bool)
-        if self.spots:
-            self.maybe[np.array(list(self.spots), np.uint64) >> np.uint64(64 - self.BITS)] = True
 
-    def judge(self, words: list[bytes], places: np.ndarray, hashes: np.ndarray, known: Tokens) -> list[tuple]:
-        """words: the document's, without marks only; places, hashes: of its windows that may be in the benchmark."""
+    def judge(self, spots: Spots, words: list[bytes], places: np.ndarray, hashes: np.ndarray, known: Tokens) -> dict[int, tuple]:
+        """words: the document's, without marks only; places, hashes: of its windows that are in the benchmark. The
+        items that the document holds, by their place in this part."""
         pairs = defaultdict(list)
         for q, h in zip(places.tolist(), hashes.tolist()):
-            for item, p in self.spots.get(h, ()):
+            for item, p in spots.at.get(h, ()):
                 pairs[item].append((p, q))
-        found = []
-        for item, spots in pairs.items():
-            lines = Counter(q - p for p, q in spots)
+        found = {}
+        for item, met in pairs.items():
+            lines = Counter(q - p for p, q in met)
             best: dict[int, int] = {}
-            for p, q in spots:
+            for p, q in met:
                 if p not in best or lines[q - p] > lines[best[p] - p]:
                     best[p] = q
-            slots: dict[tuple[int, bytes], Counter] = defaultdict(Counter)
-            seen = set()
-            for p, q in best.items():
-                for k in range(WINDOW):
-                    kind = known[self.words[item][p + k]]
-                    if kind < 8 and (p + k, q + k) not in seen:
-                        seen.add((p + k, q + k))
-                        slots[kind, self.words[item][p + k].strip(_EDGE.encode()).lower()][words[q + k].strip(_EDGE.encode()).lower()] += 1
-            total = sum(sum(c.values()) for c in slots.values())
-            leads = {key: max(c.items(), key=lambda x: (x[1], x[0])) for key, c in slots.items()}
-            owner: dict[tuple[int, bytes], int] = {}
-            for (kind, _), (value, n) in leads.items():  # one document value for one item value
-                owner[kind, value] = max(owner.get((kind, value), 0), n)
-            agree = sum(owner.values())
-            if total and agree < AGREE * total:
-                continue
+            changed = False
+            if spots is self.template:
+                slots: dict[tuple[int, bytes], Counter] = defaultdict(Counter)
+                seen = set()
+                for p, q in best.items():
+                    for k in range(WINDOW):
+                        kind = known[self.words[item][p + k]] & KIND
+                        if kind and (p + k, q + k) not in seen:
+                            seen.add((p + k, q + k))
+                            slots[kind, self.words[item][p + k].strip(_EDGE.encode()).lower()][words[q + k].strip(_EDGE.encode()).lower()] += 1
+                total = sum(sum(c.values()) for c in slots.values())
+                leads = {key: max(c.items(), key=lambda x: (x[1], x[0])) for key, c in slots.items()}
+                owner: dict[tuple[int, bytes], int] = {}
+                for (kind, _), (value, n) in leads.items():  # one document value for one item value
+                    owner[kind, value] = max(owner.get((kind, value), 0), n)
+                agree = sum(owner.values())
+                if total and agree < AGREE * total:
+                    continue
+                changed = any(value != (v.strip()) for (_, v), (value, _) in leads.items())
             span = 0
             begun = before = None
             for p in sorted(best):  # in a row: no window of the item that counts is missing in between
-                if before is None or self.rank[item][p] != self.rank[item][before] + 1 or best[p] - p != best[before] - before:
+                if before is None or spots.rank[item][p] != spots.rank[item][before] + 1 or best[p] - p != best[before] - before:
                     begun = p
                 before = p
-                span = max(span, p - begun + WINDOW)
-            if len(best) < SHARE * self.count[item] and span < RUN:
+                span = max(span, p - begun + spots.size)
+            if len(best) < SHARE * spots.count[item] and span < RUN:
                 continue
-            changed = any(value != (v.strip()) for (_, v), (value, _) in leads.items())
-            found.append((self.ids[item], len(best), self.count[item], span, changed, min(best.values()), max(best.values()) + WINDOW))
+            found[item] = (self.ids[item], len(best), spots.count[item], span, changed, min(best.values()), max(best.values()) + spots.size)
         return found
 
 
 def found_in(batch: pa.RecordBatch, id_at: int, text_at: int, bench: Benchmark, known: Tokens) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of a batch that hold items, with what `Benchmark.judge` says of them."""
-    shift = np.uint64(64 - bench.BITS)
+    """The rows of a batch that hold items, with what `Benchmark.judge` says of them: of the template windows, and of
+    the literal ones for the items that those do not find."""
     at = 0
     for ids, texts in text_chunks(batch, id_at, text_at):
         docs = [t.split() for t in texts]
@@ -162,16 +210,22 @@ def found_in(batch: pa.RecordBatch, id_at: int, text_at: int, bench: Benchmark,
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         real = flat != 0
         owner, tokens = owner[real], flat[real]
-        found = windows(tokens)
-        if len(found):
-            hit = np.flatnonzero(bench.maybe[found >> shift] & (found != 0) & (owner[: len(found)] == owner[WINDOW - 1 :]))
-            hit = hit[[h in bench.spots for h in found[hit].tolist()]] if len(hit) else hit
-            first = np.searchsorted(owner, np.arange(len(docs)))
-            for i in np.unique(owner[hit]):
+        first = np.searchsorted(owner, np.arange(len(docs) + 1))
+        items: dict[int, dict[int, tuple]] = defaultdict(dict)
+        for spots in (bench.template, bench.literal, *bench.short.values()):
+            if not spots.at:
+                continue
+            found = windows(tokens) if spots is bench.template else literal_windows(tokens, spots.size)
+            hit = spots.hits(found, owner)
+            if spots.size < WITHIN:
+                hit = hit[np.diff(first)[owner[hit]] == spots.size]
+            for i in np.unique(owner[hit]).tolist():
                 own = hit[owner[hit] == i]
                 words = [w for w in docs[i] if known[w]]
-                if items := bench.judge(words, own - first[i], found[own], known):
-                    yield at + int(i), items
+                items[i] = bench.judge(spots, words, own - first[i], found[own], known) | items[i]
+        for i in sorted(items):
+            if items[i]:
+                yield at + i, list(items[i].values())
         at += len(ids)
 
 
@@ -179,7 +233,7 @@ def _parts(benchmark: DataFrame, most_windows: int) -> Iterator[Benchmark]:
     """The benchmark, dealt by a hash of the items into parts of about the bound at most."""
     items = pick(benchmark, "item", "text").filter("text is not null").select(F.col("item").cast("long"), "text")
     size = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = max(1, -(-size // most_windows))
+    parts = max(1, -(-2 * size // most_windows))  # each word begins a template window and a literal one
     for k in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         yield Benchmark([(r["item"], r["text"]) for r in own.collect()])
@@ -221,3 +275,20 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_W
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def ways(benchmark: DataFrame) -> dict[str, int]:
+    """Numbers of the benchmark's items (item, text) by how they are found: by `template` windows (and literal ones),
+    by `literal` windows only, as a `short` item within a text, as a `whole` document, or `never` (no word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
+        for batch in batches:
+            names = []
+            for text in batch.column(0).to_pylist():
+                tokens = np.array([x for w in (text or "").encode().split() if (x := known[w])], np.uint64)
+                n = len(tokens)
+                names.append("template" if windows(tokens).any() else "literal" if n >= WINDOW else "short" if n >= WITHIN else "whole" if n else "never")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["way"])
+
+    return {r["way"]: r["count"] for r in pick(benchmark, "text").mapInArrow(run, "way string").groupBy("way").count().collect()}

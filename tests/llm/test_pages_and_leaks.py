@@ -105,3 +105,16 @@ def test_part_of_an_item(spark):
     words = item.split()
     docs = [(1, "etwas " * 30 + " ".join(words[3:20]) + " noch etwas"), (2, "etwas " * 30 + " ".join(words[3:12]) + " noch etwas")]
     assert [r["id"] for r in held(spark, docs, [(5, item)])] == [1]
+
+
+def test_items_of_few_ordinary_words(spark):
+    """Verbatim copies of items that template windows cannot tell, and items in documents in capitals."""
+    items = ["Solve: 3x + 5 = 20, 2y - 7 = 9. Find X + Y.", "WHO WROTE THE FIRST EDITION OF THE ORIGIN OF SPECIES IN 1859?", "Who Wrote The Origin Of Species And In Which Year?", "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lena Max", "12 km 30 min 7", "What is love?", "Yes!", ITEM, "..."]
+    items = list(enumerate(items))
+    docs = [(i, f"some words before {t} and some behind") for i, t in items]
+    docs += [(100 + i, t.upper()) for i, t in items] + [(200, "Solve: 4x + 6 = 21, 3y - 8 = 10. Find A + B."), (201, "Anna Bob Carl"), (202, "13 km 30 min 7"), (203, "WHO WROTE THE FIRST EDITION OF THE BOOK OF KELLS IN 800?")]
+    got = held(spark, docs, items)
+    assert {(r["id"], r["item"]) for r in got} == {(i, i) for i in range(8) if i != 6} | {(100 + i, i) for i in range(8)}
+    assert all(r["matched"] == r["windows"] for r in got) and len(got) == 15
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in held(spark, docs, items, most_windows=40))
+    assert D.ways(spark.createDataFrame(items, "item long, text string")) == {"template": 1, "literal": 5, "short": 1, "whole": 1, "never": 1}
