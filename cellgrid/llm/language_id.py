@@ -3,7 +3,9 @@
 Each language gets a codeword; one binary classifier per bit tells the languages whose bit is set from the others, by
 the byte n-grams (1 to 4, with word edges) of the lower-cased text. A text is decoded to the language whose codeword
 has the least logistic loss against the bits' margins; where the runner-up is nearly as near, the text is flagged as
-ambiguous.
+ambiguous. A text of EVIDENCE n-grams or more whose least loss is above that of all labelled rows of the fit, or above
+that of no evidence at all, is in none of the languages: `keep_identified` rejects it. The one bit of
+two languages always fits one of them, so there the bound tells little.
 
 Null text, or a text without a letter: language `und`, score 0. An empty table gives an empty result; without any
 labelled row every text is `und`. Rows with equal ids are scored one by one; other columns are ignored.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +90,14 @@ class Model:
     code: np.ndarray
     #: For each n-gram its addition to every bit's margin.
     weights: np.ndarray
+    #: The least loss above which a text of enough evidence is in none of the languages.
+    bound: float = np.inf
 
 
-def fit(rows: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
+def fit(rows: DataFrame, most: int = SAMPLE_PER_LANGUAGE, bounded: bool = False) -> Model:
     """rows: (id, text, lang), all of them fit to learn from. Of each language about `most` rows, chosen by a hash of
-    the id, are used whole; what reaches the driver is a count for each language and n-gram."""
+    the id, are used whole; what reaches the driver is a count for each language and n-gram. `bounded` scores the same
+    rows once more to set the model's bound: their greatest least loss, but no more than that of margins of 0."""
     rows = pick(rows, "id", "text", "lang").filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     sizes = {k: v for k, v in sizes.items() if k != UNDETERMINED}
@@ -129,7 +134,20 @@ def fit(rows: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Model:
         one, other = profile[code[:, bit] > 0], profile[code[:, bit] < 0]
         if len(one) and len(other):
             weights[:, bit] = np.log(one.mean(axis=0)) - np.log(other.mean(axis=0))
-    return Model(languages, code, weights)
+    model = Model(languages, code, weights)
+    if not bounded or len(languages) < 2:  # one language has no other to be told from
+        return model
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordMargins(shared.value.weights)
+        for batch in batches:
+            if batch.num_rows:
+                losses = scored(shared.value, known, batch, 0, 1)[3]
+                yield pa.RecordBatch.from_arrays([pa.array([losses.max()])], ["loss"])
+
+    most_lost = chosen.mapInArrow(worst, "loss double").agg(F.max("loss")).first()[0] or 0.0
+    return replace(model, bound=min(most_lost, float(np.log(2))))
 
 
 class WordMargins(dict):
@@ -156,8 +174,8 @@ class WordMargins(dict):
             self.update(zip(fresh, range(at, at + len(fresh))))
 
 
-def decode(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, score and ambiguity from the margins' sums (last column: the number of n-grams)."""
+def decode(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, score, ambiguity and least loss from the margins' sums (last column: the number of n-grams)."""
     n = np.maximum(sums[:, -1:], 1)
     margins = sums[:, :-1] / n * np.minimum(n, EVIDENCE) / EVIDENCE * 8
     loss = np.logaddexp(0, -margins[:, None, :] * model.code[None, :, :]).mean(axis=2)
@@ -166,12 +184,12 @@ def decode(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     weight = np.exp(-(loss - least[:, None]) * model.code.shape[1] * 2)
     ranked = np.sort(loss, axis=1)
     close = ranked[:, 1] - ranked[:, 0] < AMBIGUOUS if loss.shape[1] > 1 else np.zeros(len(loss), bool)
-    return best, 1 / weight.sum(axis=1), close
+    return best, 1 / weight.sum(axis=1), close, least
 
 
-def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int, text_at: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and ambiguity of a batch's rows, from whole texts."""
-    langs, scores, unsure = [], [], []
+def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int, text_at: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, ambiguity and least loss (0 where the evidence is too little) of a batch's rows, from whole texts."""
+    langs, scores, unsure, lost = [], [], [], []
     for ids, texts in text_chunks(batch, id_at, text_at):
         docs = lowered(texts)
         known.learn({w for d in docs for w in d})
@@ -181,13 +199,14 @@ def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int,
                 sums[i] = known.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
         lettered = np.array([_LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts], bool) & (len(model.languages) > 0)
         if len(model.languages):
-            best, sure, close = decode(model, sums)
+            best, sure, close, least = decode(model, sums)
         else:
-            best, sure, close = np.zeros(len(ids), int), np.zeros(len(ids)), np.zeros(len(ids), bool)
+            best, sure, close, least = np.zeros(len(ids), int), np.zeros(len(ids)), np.zeros(len(ids), bool), np.zeros(len(ids))
         langs += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
         scores.append(np.where(lettered, sure, 0.0).astype(np.float64))
         unsure.append(np.where(lettered, close, True))
-    return langs, np.concatenate(scores), np.concatenate(unsure)
+        lost.append(np.where(sums[:, -1] >= EVIDENCE, least, 0.0).astype(np.float64))
+    return langs, np.concatenate(scores), np.concatenate(unsure), np.concatenate(lost)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,25 +218,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         known = WordMargins(model.weights)
         for batch in batches:
             if batch.num_rows:
-                langs, scores, unsure = scored(model, known, batch, 0, 1)
+                langs, scores, unsure, _ = scored(model, known, batch, 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
 
     return pick(docs, "id", "text").select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: rows with doc_id and text among their columns. Those that have a language, unchanged; the rest, texts
-    without a letter, are rejected. Short or mixed texts, though flagged by `identify`, have one and stay."""
+    """docs: rows with doc_id, text and, where there are labels, lang among their columns. Those that have a language, unchanged. Rejected are
+    texts without a letter, and of the rows without a label those whose least loss is above the model's bound. Short or
+    mixed texts, though flagged by `identify`, have a language and stay, as do labelled rows: their label says so."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("doc_id"), docs.columns.index("text")
+    lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = WordMargins(model.weights)
         for batch in batches:
             if batch.num_rows:
-                langs, _, _ = scored(model, known, batch, *at)
-                yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
+                langs, _, _, lost = scored(model, known, batch, *at)
+                labels = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
+                labelled = np.array([x not in (None, UNDETERMINED) for x in labels], bool)
+                yield batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (labelled | (lost <= model.bound))))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -61,3 +61,19 @@ def test_queries_run_on_the_smallest_tables(spark, name):
         assert rows > 0
     else:
         assert rows == n
+
+
+def test_the_decoder_rejects_what_is_no_language(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"en": "the of and to in that is was for on with his they at be this from have".split(), "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine".split(), "fr": "le la les et des un une du dans que qui pour pas sur au avec ce il sont par".split(), "es": "el los las que y en un por con no una su para es al lo como pero sus este".split()}
+    rows = [(10 * i + k, " ".join(rng.choices(words[lang], k=60)), lang, "s", 1) for i in range(40) for k, lang in enumerate(words)]
+    noise = [" ".join("".join(rng.choices("qxzjkvwyp", k=7)) for _ in range(60)) for _ in range(5)]
+    rows += [(1000 + k, x, None, "s", 1) for k, x in enumerate(noise)]
+    mixed = " ".join(rng.choices(words["en"] + words["de"], k=60))
+    good = [" ".join(rng.choices(words["en"], k=60)), "Hm, so?", mixed]
+    rows += [(2000, good[0], None, "s", 1), (2001, good[1], None, "s", 1), (2002, mixed, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()}
+    assert left == {r[0] for r in rows if not 1000 <= r[0] < 2000}
