@@ -187,9 +187,10 @@ def decode(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return best, 1 / weight.sum(axis=1), close, least
 
 
-def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int, text_at: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score, ambiguity and least loss (0 where the evidence is too little) of a batch's rows, from whole texts."""
-    langs, scores, unsure, lost = [], [], [], []
+def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int, text_at: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, ambiguity, least loss (0 where the evidence is too little) and whether there is a letter, of a
+    batch's rows, from whole texts."""
+    langs, scores, unsure, lost, letters = [], [], [], [], []
     for ids, texts in text_chunks(batch, id_at, text_at):
         docs = lowered(texts)
         known.learn({w for d in docs for w in d})
@@ -197,7 +198,8 @@ def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int,
         for i, words in enumerate(docs):
             if words:
                 sums[i] = known.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        lettered = np.array([_LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts], bool) & (len(model.languages) > 0)
+        letters.append(np.array([_LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts], bool))
+        lettered = letters[-1] & (len(model.languages) > 0)
         if len(model.languages):
             best, sure, close, least = decode(model, sums)
         else:
@@ -206,7 +208,7 @@ def scored(model: Model, known: WordMargins, batch: pa.RecordBatch, id_at: int,
         scores.append(np.where(lettered, sure, 0.0).astype(np.float64))
         unsure.append(np.where(lettered, close, True))
         lost.append(np.where(sums[:, -1] >= EVIDENCE, least, 0.0).astype(np.float64))
-    return langs, np.concatenate(scores), np.concatenate(unsure), np.concatenate(lost)
+    return langs, np.concatenate(scores), np.concatenate(unsure), np.concatenate(lost), np.concatenate(letters)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -218,7 +220,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         known = WordMargins(model.weights)
         for batch in batches:
             if batch.num_rows:
-                langs, scores, unsure, _ = scored(model, known, batch, 0, 1)
+                langs, scores, unsure, _, _ = scored(model, known, batch, 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
 
     return pick(docs, "id", "text").select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean")
@@ -227,7 +229,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs: rows with doc_id, text and, where there are labels, lang among their columns. Those that have a language, unchanged. Rejected are
     texts without a letter, and of the rows without a label those whose least loss is above the model's bound. Short or
-    mixed texts, though flagged by `identify`, have a language and stay, as do labelled rows: their label says so."""
+    mixed texts, though flagged by `identify`, have a language and stay, as do labelled rows: their label says so.
+    Without any labelled row to learn from, every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("doc_id"), docs.columns.index("text")
     lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
@@ -237,10 +240,10 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         known = WordMargins(model.weights)
         for batch in batches:
             if batch.num_rows:
-                langs, _, _, lost = scored(model, known, batch, *at)
+                _, _, _, lost, lettered = scored(model, known, batch, *at)
                 labels = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
                 labelled = np.array([x not in (None, UNDETERMINED) for x in labels], bool)
-                yield batch.filter(pa.array((np.array(langs) != UNDETERMINED) & (labelled | (lost <= model.bound))))
+                yield batch.filter(pa.array(lettered & (labelled | (lost <= model.bound))))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -77,3 +77,10 @@ def test_the_decoder_rejects_what_is_no_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()}
     assert left == {r[0] for r in rows if not 1000 <= r[0] < 2000}
+
+
+@pytest.mark.parametrize("label", [None, "und"])
+def test_without_labels_texts_with_a_letter_stay(spark, label):
+    rows = [(1, "Some clean words of text.", label, "s", 25), (2, "12 34 !!", label, "s", 8), (3, None, label, "s", 0), (4, "x", label, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()} == {1, 4}
