@@ -7,7 +7,8 @@ block's marginal probability, and blocks of one half or more are the page's text
 labelled pages: HTML in which `data-content="1"` or `"0"` on an element labels all below it. Where the caller gives
 none, `labelled_pages` composes a set from common layouts.
 
-Null or empty html: empty text. Unclosed tags, comments and quotes end as a browser ends them, or with the page.
+Null or empty html: empty text. Unclosed tags, comments and quotes end as a browser ends them, or with the page; a
+slash closes svg and math, whose elements may be nested. Formulas are text, drawings are not.
 Rows with equal ids are extracted one by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,12 +28,17 @@ from pyspark.sql import DataFrame
 from cellgrid.llm.common import pick
 
 # Element names of HTML.
-RAW = frozenset("script style textarea title noscript template svg math iframe object select canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object select canvas audio video noembed noframes xmp".split())
 VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption button label option".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption li dd dt button label option html head body".split()) | {"li", "dd", "dt"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
+#: Parts of math that repeat the formula in another notation.
+NOTES = frozenset("annotation annotation-xml".split())
+#: A slash in their tag closes these.
+FOREIGN = NOTES | {"svg"}
+
 #: Every page has these, so their state tells nothing: each of their children is the root of a tree.
 ROOTS = frozenset(("#page", "html", "body", "head"))
 
@@ -40,6 +46,8 @@ _TOKEN = re.compile(r"""<(?:!--(?P<comment>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/
 _BROKEN = re.compile(r"</?[a-zA-Z!?][^>]*+(>|$)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-zA-Z]+")
+#: Tags of HTML that end svg and math which were not closed.
+_LEAVES = re.compile(r"</math(?=[\s/>]|$)|</?(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var|article|section|main)(?=[\s/>]|$)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -77,6 +85,7 @@ def parse(page: str) -> list[Node]:
     text: list[str] = []
     linked = 0
     in_link = -1  # how deep the stack was when a link began
+    in_math = False
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -104,6 +113,21 @@ def parse(page: str) -> list[Node]:
             if tag in until:
                 return
 
+    def past(name: str) -> int:
+        """Where the element that began before `at` ends; svg may be nested. One without an end takes the rest of the
+        page, but svg and the notes of math end before the next tag of HTML."""
+        deep = 1
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)", re.I).finditer(page, at):
+            if m[1]:
+                deep -= 1
+            elif name == "svg" and (whole := _TOKEN.match(page, m.start())) and not whole["rest"].endswith("/"):
+                deep += 1
+            if not deep:
+                stop = page.find(">", m.end())
+                return n if stop < 0 else stop + 1
+        leaves = _LEAVES.search(page, at) if name in FOREIGN else None
+        return leaves.start() if leaves else n
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -133,6 +157,8 @@ def parse(page: str) -> list[Node]:
         if m["close"]:
             if name == "a":
                 in_link = -1
+            elif name == "math":
+                in_math = False
             elif name in BLOCK:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):
@@ -142,13 +168,12 @@ def parse(page: str) -> list[Node]:
                 if len(stack) < in_link:
                     in_link = -1
             continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
-            if end is None:
-                at = n
-            else:
-                stop = page.find(">", end.end())
-                at = n if stop < 0 else stop + 1
+        if name == "math":
+            in_math = not m["rest"].endswith("/")
+            continue
+        if name in RAW or in_math and name in NOTES:
+            if not (name in FOREIGN and m["rest"].endswith("/")):
+                at = past(name)
             continue
         if name in ("br", "wbr", "img"):
             say(" " if name == "br" else "")

@@ -118,3 +118,14 @@ def test_items_of_few_ordinary_words(spark):
     assert all(r["matched"] == r["windows"] for r in got) and len(got) == 15
     assert sorted(r["id"] for r in got) == sorted(r["id"] for r in held(spark, docs, items, most_windows=40))
     assert D.ways(spark.createDataFrame(items, "item long, text string")) == {"template": 1, "literal": 5, "short": 1, "whole": 1, "never": 1}
+
+
+def test_drawings_and_formulas(model):
+    tail = "<p>The second part has some more words.</p>"
+    for drawing in ('<svg width="1"/>', "<svg />", '<svg viewBox="0 0 1 1"><svg><path d="M0"/></svg><text>No</text></svg>', '<svg><svg/><text>No</text></svg>', "<math/>", "<svg>", '<svg><path d="M0">', "<script>var a = '<svg/>';</script>"):
+        page = f"<article><p>The first part has words.</p>{drawing}{tail}</article>"
+        assert model.extract(page) == "The first part has words.\nThe second part has some more words."
+    formula = "<math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='tex'>x+1</annotation></semantics></math>"
+    assert model.extract(f"<article><p>So we have {formula} in all.</p>{tail}</article>") == "So we have x+1 in all.\nThe second part has some more words."
+    open_note = "<math><mi>x</mi><annotation>y</math>"
+    assert model.extract(f"<article><p>So we have {open_note} in all.</p>{tail}</article>") == "So we have x in all.\nThe second part has some more words."
