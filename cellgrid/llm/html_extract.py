@@ -75,7 +75,7 @@ def _attributes(rest: str) -> tuple[tuple[str, ...], str | None]:
             words.append("hidden")
         elif name == "data-content":
             label = int(value == "1")
-    return tuple(dict.fromkeys(words))[:12], label
+    return tuple(dict.fromkeys(words)), label
 
 
 def parse(page: str) -> list[Node]:

@@ -129,3 +129,9 @@ def test_drawings_and_formulas(model):
     assert model.extract(f"<article><p>So we have {formula} in all.</p>{tail}</article>") == "So we have x+1 in all.\nThe second part has some more words."
     open_note = "<math><mi>x</mi><annotation>y</math>"
     assert model.extract(f"<article><p>So we have {open_note} in all.</p>{tail}</article>") == "So we have x in all.\nThe second part has some more words."
+
+
+def test_all_words_of_an_element_count(model):
+    many = " ".join(f"u{chr(97 + i)}" for i in range(20))
+    nodes = H.parse(f'<div class="{many} sidebar" id="cookie"><p>Words.</p></div>')
+    assert {"sidebar", "cookie"} <= set(nodes[1].words) and len(nodes[1].words) == 22
