@@ -1,12 +1,12 @@
 """Near-duplicate documents by MinHash with tensored tables.
 
-A document's set is its distinct word shingles. Two small collections of signatures are computed, each of PARTS
-signatures of three minhashes. A table is a pair, one signature of either collection, so PARTS² tables of six minhashes
-cost only 6 * PARTS minhashes instead of 6 * PARTS². At a similarity of 0.85 a pair misses all tables with a
-probability of about 2e-5; nearer pairs with less.
+A document's set is its distinct word shingles. Two small collections of signatures are computed, each of n
+signatures of three minhashes. A table is a pair, one signature of either collection, so n² tables of six minhashes
+cost only 6 * n minhashes instead of 6 * n². The threshold sets n (12 for 0.85, 16 for 0.80) so that a pair exactly at
+it misses all tables with a probability of MISSED at most; nearer pairs with less.
 
-Signatures that no other set has are dropped before tables are formed, so a document without relatives stays 24 small
-rows. Sets in a table are first compared with one leader, and linked sets become components. Then the sets that meet
+Signatures that no other set has are dropped before tables are formed, so a document without relatives stays 2 * n
+small rows. Sets in a table are first compared with one leader, and linked sets become components. Then the sets that meet
 members of other components in a table are compared with these too, except within the largest component: so no link
 between components is lost, while a table of many alike sets costs a line of comparisons and not a square. Every link
 is confirmed on the full sets.
@@ -31,6 +31,8 @@ from cellgrid.llm.components import components
 
 PARTS = 12
 PER_PART = 3
+#: The probability at most of missing a pair at the threshold.
+MISSED = 2.2e-5
 #: Sets of a block; two blocks meet in a task.
 BLOCK = 300
 
@@ -61,6 +63,12 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return value, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
+def parts_for(percent: int) -> int:
+    """Signatures of a collection, PARTS at least: a pair is missed if either collection has none in common."""
+    alike = (max(percent, 1) / 100) ** PER_PART
+    return PARTS if alike >= 1 else max(PARTS, int(np.ceil(np.log(MISSED / 2) / np.log1p(-alike))))
+
+
 def _factors(parts: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(31)
     n = 2 * parts * PER_PART
@@ -189,9 +197,10 @@ def _rest(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, par
     return ordered.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int = PARTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None) -> DataFrame:
     """docs: (id, text). Links documents with 100 * intersection >= percent * union of their sets. Returns (id,
     n_shingles, component_id, kept), a row for each document; component_id is the least id that links can reach."""
+    parts = parts or parts_for(int(percent))
     docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
     measured = cut(_measure(docs, words, parts))
     nodes = cut(measured.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("id", F.lit(int(NULL_ID)))).alias("id"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts")))

@@ -142,3 +142,10 @@ def test_pairs_at_the_threshold_are_found():
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     x, y = E.bucket_keys(a), E.bucket_keys(0.98 * a + np.sqrt(1 - 0.98**2) * b)
     assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).all()
+
+
+def test_the_threshold_sets_the_parts():
+    from cellgrid.llm import minhash_dedup as near
+
+    assert (near.parts_for(85), near.parts_for(80), near.parts_for(100)) == (12, 16, 12)
+    assert all(2 * (1 - (p / 100) ** near.PER_PART) ** near.parts_for(p) <= near.MISSED for p in range(50, 100))
