@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -79,6 +80,18 @@ def cut(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles behind tables that were cut; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def splittable(small: DataFrame) -> DataFrame:
+    """An aggregate that a table with hot keys is joined to. Spark splits a hot key's rows only where both sides of the
+    join come straight from an exchange, so the aggregate gets one of its own."""
+    return small.repartition(shuffle_partitions(small.sparkSession))
+
+
 def cut_in_place(df: DataFrame) -> DataFrame:
     """The same for rows whose partitions and order matter: a file for each partition."""
     shared_folder(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import cut
+from cellgrid.llm.common import cut, splittable
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,8 +13,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: (u, v) of any ordered type. Returns (node, component): the least node that each node can reach.
+def components(edges: DataFrame, name: str = "node") -> DataFrame:
+    """edges: (u, v) of any ordered type. Returns (name, component): the least node that each node can reach.
 
     Alternates two steps until nothing changes. In the large step every node ties its larger neighbours to its least
     neighbour, in the small step its smaller ones and itself. Both are a minimum by node, combined before the shuffle,
@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(splittable(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = large.join(splittable(low), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct())
         now = _state(edges)
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias(name), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias(name), F.col("v").alias("component")).distinct())
