@@ -55,14 +55,26 @@ def _bits(nside: int) -> int:
     return nside.bit_length() - 1
 
 
-def spread(c: str, bits: int) -> str:
-    """Bit i of a number at place 2i."""
-    return " | ".join(f"shiftleft({c} & {1 << i}L, {i})" for i in range(bits)) or "0L"
+def _halves(bits: int) -> list[tuple[int, int]]:
+    """For numbers of so many bits, the widths of the groups that move apart, widest first, and what they leave."""
+    widths = [w for w in (16, 8, 4, 2, 1) if w < bits]
+    return [(w, sum(((1 << w) - 1) << k for k in range(0, 64, 2 * w)) & ((1 << 63) - 1)) for w in widths]
 
 
-def compact(c: str, bits: int) -> str:
-    """Bit 2i of a number at place i."""
-    return " | ".join(f"shiftright({c} & {1 << 2 * i}L, {i})" for i in range(bits)) or "0L"
+def spread(df: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """Bit i of each of the columns at place 2i. Half of the bits move at once, so the generated code stays short."""
+    for width, mask in _halves(bits):
+        df = df.withColumns({c: F.expr(f"({c} | shiftleft({c}, {width})) & {mask}L") for c in names})
+    return df
+
+
+def compact(df: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """Bit 2i of each of the columns at place i; bits at odd places are lost."""
+    df = df.withColumns({c: F.expr(f"{c} & {0x5555555555555555 & (1 << 2 * bits) - 1}L") for c in names})
+    for width, _ in reversed(_halves(bits)):
+        mask = sum(((1 << 2 * width) - 1) << k for k in range(0, 64, 4 * width)) & ((1 << 63) - 1)
+        df = df.withColumns({c: F.expr(f"({c} | shiftright({c}, {width})) & {mask}L") for c in names})
+    return df
 
 
 def _drop(df: DataFrame, *names: str) -> DataFrame:
@@ -79,8 +91,8 @@ def with_cell(df: DataFrame, lon: str | Column, lat: str | Column, nside: int, o
     check_order(order)
     lon = F.col(lon) if isinstance(lon, str) else lon
     lat = F.col(lat) if isinstance(lat, str) else lat
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c.cast("double"))
-    df = df.withColumns({"_lon": finite(lon), "_lat": F.when(F.abs(lat) <= 90, finite(lat))})
+    finite = lambda c: c.cast("double") if known else F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c.cast("double"))
+    df = df.withColumns({"_lon": finite(lon), "_lat": finite(lat) if known else F.when(F.abs(lat) <= 90, finite(lat))})
     df = df.selectExpr("*", "cos(radians(90D - _lat)) AS _z", "pmod(_lon, 360D) / 90D AS _t0").selectExpr("*", "if(_t0 >= 4D, 0D, _t0) AS _t", "abs(_z) AS _za", f"{n}D * sqrt(3D * (1D - abs(_z))) AS _w")
     df = df.selectExpr(
         "*",
@@ -101,10 +113,9 @@ def with_cell(df: DataFrame, lon: str | Column, lat: str | Column, nside: int, o
         f"if(_belt, _jm & {n - 1}L, if(_z >= 0D, {n - 1}L - _km, _kp)) AS _x",
         f"if(_belt, {n - 1}L - (_jp & {n - 1}L), if(_z >= 0D, {n - 1}L - _kp, _km)) AS _y",
     )
-    own = f"_face * {n * n}L + ({spread('_x', _bits(n))}) + 2L * ({spread('_y', _bits(n))})" if order == "nested" else None
     helpers = ["_lon", "_lat", "_z", "_t0", "_t", "_za", "_w", "_belt", "_jp", "_jm", "_q", "_fp", "_fm", "_kp", "_km", "_face", "_x", "_y"]
-    if own:
-        df = df.withColumn("_id", F.expr(own))
+    if order == "nested":
+        df = spread(df, ["_x", "_y"], _bits(n)).withColumn("_id", F.expr(f"_face * {n * n}L + _x + 2L * _y"))
     else:
         df = _ring_from_face(df, n, "_id")
     cell = "coalesce(_id, -1L)" if known else "if(_lon IS NOT NULL AND _lat IS NOT NULL, _id, NULL)"
@@ -138,7 +149,7 @@ def with_face(df: DataFrame, cell: str, nside: int, order: str = "nested") -> Da
     check_order(order)
     if order == "nested":
         df = df.selectExpr("*", f"`{cell}` div {n * n} AS _face", f"`{cell}` % {n * n} AS _in")
-        return _drop(df.selectExpr("*", f"({compact('_in', _bits(n))}) AS _x", f"({compact('shiftright(_in, 1)', _bits(n))}) AS _y"), "_in")
+        return compact(df.withColumns({"_x": F.col("_in"), "_y": F.shiftright("_in", 1)}).drop("_in"), ["_x", "_y"], _bits(n))
     cap, all_ = 2 * n * (n - 1), npix_of(n)
     root = lambda c: f"cast(floor((1D + floor(sqrt(cast({c} AS double) + 0.5D))) / 2D) AS long)"
     df = df.selectExpr("*", f"CASE WHEN `{cell}` < {cap} THEN 0 WHEN `{cell}` < {all_ - cap} THEN 1 ELSE 2 END AS _zone")
@@ -166,7 +177,8 @@ def nested_to_ring(df: DataFrame, cell: str, nside: int, name: str) -> DataFrame
 
 def ring_to_nested(df: DataFrame, cell: str, nside: int, name: str) -> DataFrame:
     df = with_face(df, cell, nside, "ring")
-    return _drop(df.withColumn(name, F.expr(f"_face * {nside * nside}L + ({spread('_x', _bits(nside))}) + 2L * ({spread('_y', _bits(nside))})")), "_face", "_x", "_y")
+    df = spread(df, ["_x", "_y"], _bits(nside))
+    return _drop(df.withColumn(name, F.expr(f"_face * {nside * nside}L + _x + 2L * _y")), "_face", "_x", "_y")
 
 
 #: A cell's corners in units of half its side, in the order north, west, south, east.
@@ -201,6 +213,13 @@ def with_corner_degrees(df: DataFrame, convention: str = "0_360") -> DataFrame:
     return df.withColumns(new)
 
 
+def unwrapped(df: DataFrame) -> DataFrame:
+    """Corner longitudes of cells over the seam moved to one side, so that the polygon does not span the globe."""
+    lons = [f"lon_{k}" for k in range(4)]
+    wide = F.greatest(*lons) - F.least(*lons) > 180.0
+    return df.withColumn("_wide", wide).withColumns({c: F.when(F.col("_wide") & (F.col(c) < F.greatest(*lons) - 180.0), F.col(c) + 360.0).otherwise(F.col(c)) for c in lons}).drop("_wide")
+
+
 def sphere_angles(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """Adds theta and phi of unit vectors."""
     return df.withColumns({"theta": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(z)))), "phi": F.pmod(F.atan2(y, x), F.lit(6.283185307179586))})

@@ -48,3 +48,20 @@ def test_no_query_has_a_cross_join(spark):
     for name in ("overlap_report", "validate_sidecar_report", "raster_lookup", "viz_equalize", "geo_join_dense"):
         got = plan(registry.QUERIES[name](spark, SMALL))
         assert "CartesianProduct" not in got, name
+
+
+def method_size(df):
+    """The largest generated method, in bytes; the JVM interprets those of over 8000."""
+    seen = df._jdf.queryExecution().executedPlan()
+    text = df.sparkSession._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(seen)
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
+
+
+@pytest.mark.parametrize("nside", [1, 2, 8, 64, 1024, 8192, 1 << 29])
+@pytest.mark.parametrize("order", ["nested", "ring"])
+def test_assignment_is_compiled(spark, nside, order):
+    from cellgrid.operators import assign
+
+    obs = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("l_orderkey AS source_id", "l_extendedprice AS lon", "l_quantity AS lat")
+    assert method_size(assign.assign_points(obs, nside, order=order)) < 8000
+
