@@ -10,9 +10,10 @@ from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from cellgrid.functions.healpix import is_nside
-from cellgrid.operators import aggregate, assign, geo, quality
+from cellgrid.functions.healpix import is_nside, normal_lon
+from cellgrid.operators import aggregate, assign, geo, psf, quality
 from cellgrid.sources import metadata, observations
 from cellgrid.sources.metadata import GridMeta, Stage
 from cellgrid.streaming import state
@@ -51,7 +52,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--several", choices=("least", "drop"), default="least")
     s.add_argument("--output-dir")
     s.add_argument("--single-file", action="store_true")
-    s.add_argument("--overwrite", action="store_true")
+    s.add_argument("--no-bounds", action="store_true", help="keep points of any longitude")
+    for what in ("data", "cell"):
+        s.add_argument(f"--{what}-psf", choices=("none", "gaussian"), default="none")
+        s.add_argument(f"--{what}-psf-sigma", type=float, default=2.0, help="in degrees")
+    s.add_argument("--psf-combine", choices=sorted(psf.COMBINE), default="multiply")
+    s.add_argument("--no-psf-normalise", action="store_true", help="weights need not sum to one in a cell")
+    s.add_argument("-y", "--overwrite", action="store_true")
 
     s = sub.add_parser("stats", help="statistics of positions")
     s.add_argument("input")
@@ -74,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--output-dir")
     s.add_argument("--stop-on-error", action="store_true")
     s.add_argument("--dry-run", action="store_true")
-    s.add_argument("--overwrite", action="store_true")
+    s.add_argument("-y", "--overwrite", action="store_true")
 
     s = sub.add_parser("accumulate", help="add a batch to a state")
     s.add_argument("input")
@@ -95,7 +102,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--min-count", type=int, default=1)
     s.add_argument("--densify", action="store_true")
     s.add_argument("--geotiff-column")
-    s.add_argument("--overwrite", action="store_true")
+    s.add_argument("--crs", help="EPSG code or name for the GeoTIFF")
+    s.add_argument("-y", "--overwrite", action="store_true")
 
     s = sub.add_parser("geoparquet", help="a map with its cells' polygons")
     s.add_argument("input")
@@ -105,7 +113,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--lon-convention")
     s.add_argument("--dense", action="store_true")
     s.add_argument("--cache", choices=("use", "require", "off"), default="off")
-    s.add_argument("--overwrite", action="store_true")
+    s.add_argument("-y", "--overwrite", action="store_true")
 
     s = sub.add_parser("cache", help="the cache of grids")
     s.add_argument("action", choices=("list", "generate", "verify", "clean", "info", "config"))
@@ -116,15 +124,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _lonlat(a: argparse.Namespace, columns: list[str]) -> tuple[str, str]:
+    """The columns given, else those of a known name, else those whose names hold a known part."""
+    if a.lon and a.lat:
+        return a.lon, a.lat
+    try:
+        return observations.exact_lonlat(columns)
+    except ValueError:
+        lon, lat = observations.detect_lonlat(columns)
+        if lon is None or lat is None:
+            raise
+        return lon, lat
+
+
 def run_sidecar(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     obs = observations.read_observations(spark, a.input)
-    lon, lat = (a.lon, a.lat) if a.lon and a.lat else (None, None) if a.geometry else observations.exact_lonlat(obs.columns)
+    lon, lat = (None, None) if a.geometry else _lonlat(a, obs.columns)
+    spreads = {k: psf.spread_function(kind, sigma) for k, kind, sigma in (("data", a.data_psf, a.data_psf_sigma), ("cell", a.cell_psf, a.cell_psf_sigma)) if kind != "none"}
     made = []
     for nside in a.nside:
         if a.geometry:
-            side = assign.assign_footprints(obs.withColumn("vertices", geo.wkb_vertices(a.geometry)), nside, a.mode, convention=a.lon_convention, several=a.several)
+            side = assign.assign_footprints(obs.withColumn("vertices", geo.wkb_vertices(a.geometry)), nside, a.mode, convention=a.lon_convention, several=a.several, fix_antimeridian=True, combine=a.psf_combine, **spreads)
         else:
-            side = assign.assign_points(obs, nside, lon, lat, a.lon_convention)
+            centre = psf.pair_weight(F.lit(0.0), F.lit(0.0), combine=a.psf_combine, **spreads) if spreads else None
+            points = obs.withColumn(lon, normal_lon(observations.number(lon), a.lon_convention)) if a.no_bounds else obs
+            side = assign.assign_points(points, nside, lon, lat, a.lon_convention, weight=centre)
+        if spreads and not a.no_psf_normalise:
+            side = psf.normalised(side)
         meta = GridMeta(nside, mode=a.mode, lon_convention=a.lon_convention, file_type=Stage.SIDECAR, extra={"processing": {"input_file": str(a.input)}})
         path = metadata.sidecar_path(a.input, a.mode, nside, a.output_dir)
         observations.write_table(side, path, meta, "overwrite" if a.overwrite else "error", a.single_file)
@@ -134,7 +160,7 @@ def run_sidecar(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def run_stats(spark: SparkSession, a: argparse.Namespace) -> dict:
     obs = spark.read.parquet(a.input)
-    lon, lat = (a.lon, a.lat) if a.lon and a.lat else observations.exact_lonlat(obs.columns)
+    lon, lat = _lonlat(a, obs.columns)
     found = quality.geo_stats(obs, lon, lat, a.lon_convention).first().asDict()
     found["suggested_convention"] = quality.suggest_convention(found)
     if a.save:
@@ -164,7 +190,7 @@ def run_aggregate(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
             if a.densify:
                 got = aggregate.densify(got, row["nside"])
             meta = GridMeta(row["nside"], row["order"], mode=row["mode"], file_type=Stage.AGGREGATE, extra={"processing": {"input_file": str(a.input)}, "processing_params": {"aggs": a.aggs, "min_count": a.min_count, "filter": a.filter}})
-            observations.write_table(got, path, meta, "overwrite" if a.overwrite else "error")
+            observations.write_table(got.orderBy("healpix_id"), path, meta, "overwrite" if a.overwrite else "error")
             status["status"] = "done"
         except Exception as e:
             status["status"] = f"failed: {e}"
@@ -201,9 +227,9 @@ def run_finalize(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.densify:
         got = aggregate.densify(got, meta.nside)
     out = GridMeta(meta.nside, meta.order, mode=meta.mode, lon_convention=meta.lon_convention, file_type=Stage.FINALIZE)
-    observations.write_table(got, a.output, out, "overwrite" if a.overwrite else "error")
+    observations.write_table(got.orderBy("healpix_id"), a.output, out, "overwrite" if a.overwrite else "error")
     if a.geotiff_column:
-        geo.write_geotiff(spark.read.parquet(a.output), a.geotiff_column, f"{a.output}.tif", meta.nside, meta.order)
+        geo.write_geotiff(spark.read.parquet(a.output), a.geotiff_column, f"{a.output}.tif", meta.nside, meta.order, crs=a.crs)
     return a.output
 
 

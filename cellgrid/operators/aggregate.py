@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.healpix import npix_of, parent, with_cell
+from cellgrid.operators.quantiles import medians_and_mads
 from cellgrid.sources.observations import SENTINEL, cells, first_of_each, value
 
 log = logging.getLogger(__name__)
@@ -51,17 +52,44 @@ def check_aggregates(names: list[str] | tuple[str, ...]) -> None:
         raise ValueError(f"unknown aggregate {bad}; there are {sorted(known)}")
 
 
-def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] = DEFAULT, min_count: int = 1, key: str = "healpix_id", n_valid: bool = False) -> DataFrame:
+#: Rows of a cell up to which its values are sorted as one array.
+ARRAY_ROWS = 1 << 20
+
+
+def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] = DEFAULT, min_count: int = 1, key: str = "healpix_id", n_valid: bool = False, array_rows: int = ARRAY_ROWS) -> DataFrame:
     """One row a cell: {column}_{aggregate} and n_sources, the number of rows with or without a value. Cells of fewer
     than `min_count` rows keep their count but no values.
 
     One shuffle: mean, std, min and max are combined before it, and the robust ones are taken from one sorted array of
-    the cell's values in the same pass.
+    the cell's values in the same pass. Where robust ones are asked for, cells of more than `array_rows` rows, which the
+    rows' count by cell tells first, are reduced without gathering them, to the same values.
     """
     check_aggregates(aggs)
     if min_count < 1:
         log.warning("min_count %s hides no cell", min_count)
     rows = joined.filter(F.col(key).isNotNull()) if joined.schema[key].nullable else joined
+    robust = any(a in (*ROBUST, "median") for a in aggs)
+    crowded = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > array_rows).select(key) if robust else None
+    if crowded is None or crowded.isEmpty():
+        return _by_arrays(rows, columns, aggs, min_count, key, n_valid)
+    apart = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded = crowded.repartition(apart)
+    few = _by_arrays(rows.join(crowded, key, "left_anti"), columns, aggs, min_count, key, n_valid)
+    return few.unionByName(_by_ranks(rows.join(crowded, key, "left_semi"), columns, aggs, min_count, key, n_valid))
+
+
+def _by_ranks(rows: DataFrame, columns: list[str], aggs: tuple[str, ...], min_count: int, key: str, n_valid: bool) -> DataFrame:
+    """The same for cells of any number of rows."""
+    plain = [(c, a) for c in columns for a in aggs if a in AGGREGATES and a != "median"]
+    counts = [F.count(c).alias(f"{c}_n_valid") for c in columns] if n_valid else []
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_sources"), *[AGGREGATES[a](c).alias(f"{c}_{a}") for c, a in plain], *counts)
+    for c in columns:
+        middle = medians_and_mads(rows, [key], c).select(key, F.col("median").alias(f"_{c}_m"), F.col("mad").alias(f"_{c}_d"))
+        out = out.join(middle, key, "left")
+    return _shown(out, columns, aggs, min_count, key, n_valid)
+
+
+def _by_arrays(rows: DataFrame, columns: list[str], aggs: tuple[str, ...], min_count: int, key: str, n_valid: bool) -> DataFrame:
     robust = any(a in (*ROBUST, "median") for a in aggs)
     made = [F.count(F.lit(1)).alias("n_sources")]
     for c in columns:
@@ -74,6 +102,10 @@ def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] =
         out = out.withColumn(middle, _median(F.col(f"_{c}")))
         if any(a in ROBUST for a in aggs):
             out = out.withColumn(f"_{c}_d", _median(F.array_sort(F.transform(f"_{c}", _distance_from(middle)))))
+    return _shown(out, columns, aggs, min_count, key, n_valid)
+
+
+def _shown(out: DataFrame, columns: list[str], aggs: tuple[str, ...], min_count: int, key: str, n_valid: bool) -> DataFrame:
     exprs = []
     for c in columns:
         for a in aggs:
@@ -85,7 +117,7 @@ def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] =
 
 def aggregate_by_sidecar(obs: DataFrame, sidecar: DataFrame, columns: list[str], aggs: tuple[str, ...] | None = None, min_count: int = 1, source_id: str = "source_id", cell: str = "healpix_id", sentinel: float | None = SENTINEL, order: list[str] | None = None, require_rows: bool = True, n_valid: bool = False, unique: bool = False) -> DataFrame:
     """The map of `columns`. Every row of the sidecar counts, also without an observation (left join); of observations
-    with equal ids the first counts, in the order of `order`. unique: the ids are known to be unique, which saves a
+    with equal ids the first counts, in the order of the rows or of the columns `order`. unique: the ids are known to be unique, which saves a
     sort. ValueError for an unknown aggregate or an empty sidecar, KeyError for a missing column."""
     aggs = tuple(aggs or DEFAULT)
     check_aggregates(aggs)

@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.functions.healpix import check_convention, check_nside, check_order, npix_of, with_cell, with_corner_degrees, with_corners
+from cellgrid.functions.healpix import check_convention, check_nside, check_order, npix_of, unwrapped, with_cell, with_corner_degrees, with_corners
 from cellgrid.sources.metadata import GridMeta, Stage, read_meta, resolve_nside
 from cellgrid.sources.observations import cells
+from cellgrid.sources.places import place, stamp
 
 log = logging.getLogger(__name__)
 
@@ -54,20 +55,31 @@ def with_wkb(df: DataFrame, name: str = "geometry") -> DataFrame:
 
 
 def wkb_vertices(geometry: str = "geometry") -> Column:
-    """The vertices of WKB polygons, multipolygons and points, of all rings, as an array of (lon, lat)."""
+    """The vertices of WKB polygons, multipolygons and points, as an array of (lon, lat, ring), the ring's number within
+    the geometry (points: null). Null for a blob that is no WKB."""
 
-    @F.pandas_udf("array<struct<lon:double,lat:double>>")
+    @F.pandas_udf("array<struct<lon:double,lat:double,ring:int>>")
     def parse(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else read_wkb(bytes(b)))
+        return blobs.map(lambda b: None if b is None else sound_wkb(bytes(b)))
 
     return parse(F.col(geometry))
 
 
+def sound_wkb(blob: bytes) -> list[dict] | None:
+    """What `read_wkb` gives, or None for a blob that is cut off or something else."""
+    try:
+        return read_wkb(blob)
+    except (struct.error, IndexError, RecursionError):
+        return None
+
+
 def read_wkb(blob: bytes) -> list[dict]:
     """Vertices of a point, line, polygon or a collection of them; dimensions beyond two are skipped."""
     out: list[dict] = []
+    rings = 0
 
     def one(at: int) -> int:
+        nonlocal rings
         end = "<" if blob[at] == 1 else ">"
         (kind,) = struct.unpack_from(f"{end}I", blob, at + 1)
         at += 5
@@ -78,23 +90,29 @@ def read_wkb(blob: bytes) -> list[dict]:
         extra += (0, 1, 1, 2)[kind // 1000 % 4]
         kind %= 1000
 
-        def points(at: int, n: int) -> int:
-            for _ in range(n):
-                x, y = struct.unpack_from(f"{end}dd", blob, at)
-                out.append({"lon": x, "lat": y})
-                at += 8 * (2 + extra)
-            return at
+        def points(at: int, n: int, ring: int | None = None) -> int:
+            step = 8 * (2 + extra)
+            if at + n * step > len(blob):
+                raise IndexError(at)
+            for k in range(at, at + n * step, step):
+                x, y = struct.unpack_from(f"{end}dd", blob, k)
+                out.append({"lon": x, "lat": y, "ring": ring})
+            return at + n * step
 
         if kind == 1:
             return points(at, 1)
+        if not 2 <= kind <= 7:
+            raise IndexError(at)
         (n,) = struct.unpack_from(f"{end}I", blob, at)
         at += 4
         if kind == 2:
-            return points(at, n)
+            rings += 1
+            return points(at, n, rings - 1)
         for _ in range(n):
             if kind == 3:
                 (m,) = struct.unpack_from(f"{end}I", blob, at)
-                at = points(at + 4, m)
+                rings += 1
+                at = points(at + 4, m, rings - 1)
             else:
                 at = one(at)
         return at
@@ -110,13 +128,6 @@ def valid_box(vertices: str = "vertices") -> Column:
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda p: F.coalesce(p["lon"].between(-180.0, 360.0) & p["lat"].between(-90.0, 90.0), F.lit(False))), F.lit(False))
 
 
-def unwrapped(df: DataFrame) -> DataFrame:
-    """Corner longitudes of cells over the seam moved to one side, so that the polygon does not span the globe."""
-    lons = [f"lon_{k}" for k in range(4)]
-    wide = F.greatest(*lons) - F.least(*lons) > 180.0
-    return df.withColumn("_wide", wide).withColumns({c: F.when(F.col("_wide") & (F.col(c) < F.greatest(*lons) - 180.0), F.col(c) + 360.0).otherwise(F.col(c)) for c in lons}).drop("_wide")
-
-
 def grid_angles(ids: DataFrame, nside: int, order: str = "nested") -> DataFrame:
     """(healpix_id, theta_0..3, phi_0..3)"""
     return with_corners(ids.select(F.col("healpix_id").cast("long").alias("healpix_id")), "healpix_id", nside, order).select("healpix_id", *THETA_PHI)
@@ -160,10 +171,10 @@ def with_geometry(cell_map: DataFrame, nside: int, order: str = "nested", conven
 
 
 def to_geoparquet(cell_map: DataFrame, path: str | Path, nside: int | None = None, meta: GridMeta | None = None, order: str | None = None, convention: str | None = None, dense: bool = False, overwrite: bool = False, source: str = "", **kw) -> Path:
-    """A Parquet folder with WKB polygons, and the `geo` description beside it as JSON and on the geometry column."""
+    """A GeoParquet folder with WKB polygons: the `geo` description is in the footer of each of its files."""
     if meta and meta.file_type not in (Stage.AGGREGATE, Stage.FINALIZE):
         raise ValueError(f"a map is needed, not a file of stage {meta.file_type.value}")
-    path = Path(path)
+    path = place(path)
     if path.exists() and not overwrite:
         raise FileExistsError(path)
     nside = resolve_nside(nside, meta, None, source or path.name)
@@ -171,15 +182,14 @@ def to_geoparquet(cell_map: DataFrame, path: str | Path, nside: int | None = Non
     convention = convention or (meta.lon_convention if meta else "0_360")
     geo = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Polygon"], "crs": None}}}
     out = with_geometry(cell_map, nside, order, convention, dense, **kw)
-    out = out.withColumn("geometry", F.col("geometry").alias("geometry", metadata={"geo": geo}))
     out.write.mode("overwrite" if overwrite else "error").parquet(str(path))
-    path.with_name(f"{path.name}.geo.json").write_text(json.dumps(geo))
+    stamp(path, {"geo": json.dumps(geo)})
     return path
 
 
 def check_map_input(path: str | Path) -> GridMeta:
     """The metadata of a map file; ValueError for other files and stages."""
-    path = Path(path)
+    path = place(path)
     if path.suffix != ".parquet":
         raise ValueError(f"{path} is not a Parquet file")
     meta = read_meta(path)
@@ -199,13 +209,13 @@ def config_dir(given: str | None = None, app: str = "cellgrid") -> Path:
 def cache_dir(given: str | None = None, app: str = "cellgrid") -> Path:
     """From the caller, else CELLGRID_CACHE, the settings file, XDG_CACHE_HOME or the home folder."""
     if not given and not os.environ.get("CELLGRID_CACHE") and (set_ := load_settings().get("cache_dir")):
-        return Path(set_).expanduser()
+        return place(set_).expanduser()
     return _folder(given, "CELLGRID_CACHE", "XDG_CACHE_HOME", ".cache", app)
 
 
 def _folder(given: str | None, own: str, xdg: str, home: str, app: str) -> Path:
     if given or os.environ.get(own):
-        return Path(given or os.environ[own]).expanduser()
+        return place(given or os.environ[own]).expanduser()
     base = os.environ.get(xdg)
     return (Path(base) if base and Path(base).is_absolute() else Path.home() / home) / app
 
@@ -318,9 +328,18 @@ def raster(cell_map: DataFrame, column: str, nside: int, order: str = "nested",
     return located.join(values, "healpix_id", "left").select("row", "col", "lon", "lat", "value")
 
 
-def write_geotiff(cell_map: DataFrame, column: str, path: str | Path, nside: int, order: str = "nested", width: int = 1440, height: int = 720, bits: int = 32) -> Path:
+def epsg(crs: str | int | None) -> tuple[int, bytes]:
+    """The code of a coordinate system (32767: of its own kind) and its description, ended as the format wants it."""
+    text = str(crs or "").strip()
+    number = text.upper().removeprefix("EPSG:")
+    if number.isdigit() and 0 < int(number) < 32767:
+        return int(number), b""
+    return 32767, f"{text}|".encode("ascii", "replace") if text else b""
+
+
+def write_geotiff(cell_map: DataFrame, column: str, path: str | Path, nside: int, order: str = "nested", width: int = 1440, height: int = 720, bits: int = 32, crs: str | int | None = None) -> Path:
     """The raster as an uncompressed GeoTIFF of 32- or 64-bit floats in degrees. The image, of a fixed size, is
-    gathered on the driver."""
+    gathered on the driver. crs: an EPSG code of a geographic system, or a name that is written as its description."""
     import numpy as np
 
     image = np.full((height, width), np.nan, f"<f{bits // 8}")
@@ -328,11 +347,13 @@ def write_geotiff(cell_map: DataFrame, column: str, path: str | Path, nside: int
     image[rows["row"].to_numpy(), rows["col"].to_numpy()] = rows["value"].to_numpy()
     pixel = struct.pack("<3d", 360 / max(width - 1, 1), 180 / max(height - 1, 1), 0)
     corner = struct.pack("<6d", 0, 0, 0, -180, 90, 0)
-    keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 2, 2048, 0, 1, 32767)
+    code, label = epsg(crs)
+    described = [(2049, 34737, len(label), 0)] if label else []
+    keys = struct.pack("<4H", 1, 1, 0, 3 + len(described)) + b"".join(struct.pack("<4H", *k) for k in [(1024, 0, 1, 2), (1025, 0, 1, 2), (2048, 0, 1, code), *described])
     nodata = b"nan\0"
     # The tags and types of the TIFF format.
     short, long_, double, ascii_ = 3, 4, 12, 2
-    entries = [(256, long_, 1, width), (257, long_, 1, height), (258, short, 1, bits), (259, short, 1, 1), (262, short, 1, 1), (273, long_, 1, "image"), (277, short, 1, 1), (278, long_, 1, height), (279, long_, 1, image.nbytes), (339, short, 1, 3), (33550, double, 3, pixel), (33922, double, 6, corner), (34735, short, 16, keys), (42113, ascii_, 4, nodata)]
+    entries = [(256, long_, 1, width), (257, long_, 1, height), (258, short, 1, bits), (259, short, 1, 1), (262, short, 1, 1), (273, long_, 1, "image"), (277, short, 1, 1), (278, long_, 1, height), (279, long_, 1, image.nbytes), (339, short, 1, 3), (33550, double, 3, pixel), (33922, double, 6, corner), (34735, short, len(keys) // 2, keys), *([(34737, ascii_, len(label) + 1, label + b"\0")] if label else []), (42113, ascii_, 4, nodata)]
     base = 8 + 2 + 12 * len(entries) + 4
     blobs, where = b"", {}
     for tag, _, _, v in entries:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Spread = Callable[[Column, Column], Column]
@@ -45,9 +45,13 @@ def pair_weight(dx: Column, dy: Column, data: Spread | None = None, cell: Spread
 
 
 def normalised(sidecar: DataFrame, by: str = "cell") -> DataFrame:
-    """Weights that sum to one within each cell, or each source."""
+    """Weights that sum to one within each cell, or each source; rows without a key have no weight. The sums are combined
+    before they are shuffled and then joined, so that a crowded cell is never gathered in a task; they pass an exchange of
+    their own, as only then Spark splits the rows of such a cell in the join."""
     key = {"cell": "healpix_id", "source": "source_id"}[by]
-    return sidecar.withColumn("weight", F.try_divide("weight", F.sum("weight").over(Window.partitionBy(key))))
+    sums = sidecar.groupBy(key).agg(F.sum("weight").alias("_sum"))
+    apart = int(sidecar.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sidecar.join(sums.repartition(apart), key, "left").withColumn("weight", F.try_divide("weight", "_sum")).select(*sidecar.columns)
 
 
 def weighted(sidecar: DataFrame, sources: DataFrame, cells: DataFrame, data: Spread | None = None, cell: Spread | None = None, combine: str = "multiply", normalise: bool = True) -> DataFrame:

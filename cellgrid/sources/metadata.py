@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from cellgrid.functions.healpix import check_convention, check_nside, check_order, npix_of, nside_of
+from cellgrid.sources.places import Remote, place
 
 
 class Stage(str, Enum):
@@ -64,12 +65,13 @@ class GridMeta:
 
     @classmethod
     def from_dict(cls, d: dict) -> GridMeta:
-        """From the nested or a flat form; unknown keys stay in `extra`."""
-        grid = d.get("healpix", d)
+        """From the nested form, the same below `sidecar_metadata`, or a flat one; unknown keys stay in `extra`."""
+        below = d.get("sidecar_metadata") or {}
+        grid = below.get("healpix") or d.get("healpix") or d
         if "nside" not in grid:
             raise ValueError("metadata holds no nside")
-        coordinates = d.get("coordinates") or {}
-        convention = coordinates.get("lon_convention") or (d.get("sidecar_metadata") or {}).get("lon_convention") or grid.get("lon_convention") or "0_360"
+        coordinates = below.get("coordinates") or d.get("coordinates") or {}
+        convention = coordinates.get("lon_convention") or below.get("lon_convention") or d.get("lon_convention") or grid.get("lon_convention") or "0_360"
         kind = (d.get("processing") or {}).get("stage") or d.get("file_type") or grid.get("file_type") or Stage.AGGREGATE
         extra = {k: v for k, v in d.items() if k not in ("healpix", "nside", "order", "npix", "mode", "lon_convention", "file_type")}
         return cls(int(grid["nside"]), grid.get("order", "nested"), grid.get("npix"), grid.get("mode"), convention, kind, extra)
@@ -89,7 +91,7 @@ def _plain(x):
         return [_plain(v) for v in x]
     if isinstance(x, Enum):
         return x.value
-    if isinstance(x, Path):
+    if isinstance(x, (Path, Remote)):
         return str(x)
     if isinstance(x, (datetime, date)):
         return x.isoformat()
@@ -100,7 +102,7 @@ def _plain(x):
 
 def companion(path: str | Path) -> Path:
     """The JSON file beside a data file or folder."""
-    path = Path(path)
+    path = place(path)
     return path.with_name(f"{path.name.removesuffix('.parquet')}.meta.json")
 
 
@@ -109,8 +111,8 @@ def write_json(record: GridMeta | dict, path: str | Path, validate: bool = True)
     d = _plain(record.to_dict() if isinstance(record, GridMeta) else record)
     if validate:
         GridMeta.from_dict(d)
-    Path(path).write_text(json.dumps(d, indent=2, sort_keys=True))
-    return Path(path)
+    place(path).write_text(json.dumps(d, indent=2, sort_keys=True))
+    return place(path)
 
 
 def read_meta(path: str | Path, df: DataFrame | None = None) -> GridMeta:
@@ -144,8 +146,8 @@ def check_sidecar_source(sidecar: str | Path, observations: str | Path, required
             raise ValueError(f"{sidecar} has no metadata")
         return True
     made_from = (json.loads(beside.read_text()).get("processing") or {}).get("input_file")
-    if made_from is not None and Path(made_from).name != Path(observations).name:
-        raise ValueError(f"{sidecar} was made from {Path(made_from).name}, not {Path(observations).name}")
+    if made_from is not None and place(made_from).name != place(observations).name:
+        raise ValueError(f"{sidecar} was made from {place(made_from).name}, not {place(observations).name}")
     return True
 
 
@@ -160,7 +162,8 @@ def check_compatible(state: GridMeta, sidecar: GridMeta) -> list[str]:
 
 # --- file names ------------------------------------------------------------------------------------------------------
 
-_NSIDE = re.compile(r"(?:^|[._-])nside[=_-]?(\d+)")
+# The forms in which a file name tells its nside, in any case.
+_NSIDE = re.compile(r"(?:^|[._-])nside[=_-]?(\d+)", re.IGNORECASE)
 
 
 def nside_in_name(name: str) -> int | None:
@@ -180,19 +183,19 @@ def name_fields(name: str) -> dict[str, str]:
 
 
 def sidecar_path(observations: str | Path, mode: str, nside: int, folder: str | Path | None = None) -> Path:
-    path = Path(observations)
-    return (Path(folder) if folder else path.parent) / f"{path.name.removesuffix('.parquet')}.cell-healpix_assignment-{mode}_nside-{nside}_order-nested.parquet"
+    path = place(observations)
+    return (place(folder) if folder else path.parent) / f"{path.name.removesuffix('.parquet')}.cell-healpix_assignment-{mode}_nside-{nside}_order-nested.parquet"
 
 
 def aggregate_path(observations: str | Path, sidecar: str | Path, folder: str | Path | None = None, dense: bool = False) -> Path:
-    path, side = Path(observations), Path(sidecar)
+    path, side = place(observations), place(sidecar)
     stem = path.name.removesuffix(".parquet")
     suffix = side.name.removesuffix(".parquet").removeprefix(f"{stem}.")
-    return (Path(folder) if folder else path.parent) / f"{stem}-aggregated{'-densified' if dense else ''}.{suffix}.parquet"
+    return (place(folder) if folder else path.parent) / f"{stem}-aggregated{'-densified' if dense else ''}.{suffix}.parquet"
 
 
 def stats_path(observations: str | Path) -> Path:
-    path = Path(observations)
+    path = place(observations)
     return path.with_name(f"{path.name.removesuffix('.parquet')}.geo_stats.json")
 
 

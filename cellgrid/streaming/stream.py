@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,9 +18,11 @@ from cellgrid.streaming.state import long_values, merged, partial
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """A new folder for a query's checkpoints, in the one that the session names in spark.checkpoint.dir; only a
-    session that names none, as in tests, gets one of this machine."""
+    """A new folder for a query's files, in the one that the session names in spark.checkpoint.dir; only a local session
+    that names none, as in tests, gets one of this machine."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     return f"{named or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
 
 

@@ -41,6 +41,47 @@ def test_min_count_missing_values_and_duplicates(spark):
     assert got["v_mean"] == 20 and got["n_sources"] == 4 and got["v_n_valid"] == 2
     obs, side = frames(spark, [0, 0, 1, 2], [(0, 1), (1, 1), (2, 2)], v=[10.0, 15.0, 20.0, 30.0], k=[1.0, 2.0, 3.0, 4.0])
     assert by_cell(A.aggregate_by_sidecar(obs, side, ["v"], ["mean"], order=["k"]))[1]["v_mean"] == 15
+    obs, side = frames(spark, [0, 0, 1, 2], [(0, 1), (1, 1), (2, 2)], v=[15.0, 10.0, 20.0, 30.0])
+    assert by_cell(A.aggregate_by_sidecar(obs, side, ["v"], ["mean"]))[1]["v_mean"] == 17.5
+
+
+def test_first_in_the_order_of_the_files(spark, tmp_path):
+    from cellgrid.sources import observations as O
+
+    for name, rows in (("b", [(0, 1.0), (5, 2.0)]), ("a", [(0, 15.0), (0, 10.0), (1, 20.0)])):
+        spark.createDataFrame(rows, "source_id long, v double").coalesce(1).write.parquet(str(tmp_path / name))
+    read = spark.read.parquet(str(tmp_path / "b"), str(tmp_path / "a"))
+    got = {r["source_id"]: r["v"] for r in O.first_of_each(read.select("source_id", "v")).collect()}
+    assert got == {0: 15.0, 1: 20.0, 5: 2.0}
+    assert {r["v"] for r in O.first_of_each(read.filter("v < 12")).collect()} == {10.0, 2.0}
+
+
+@pytest.mark.parametrize("rows", [0, 3, 10**6])
+def test_crowded_cells_have_the_same_values(spark, rows):
+    """One cell holds most rows, many of them equal; with any bound of the arrays the map is the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(1 if k % 9 else k % 5, float(v) if k % 11 else None, float(k % 7)) for k, v in enumerate(rng.normal(size=900) ** 3)] + [(1, 2.5, 2.5)] * 300
+    joined = spark.createDataFrame(data, "healpix_id long, a double, b double")
+    aggs = ("mean", "median", "std", "min", "max", "mad", "robust_std")
+    got = by_cell(A.reduce_cells(joined, ["a", "b"], aggs, 2, n_valid=True, array_rows=rows))
+    for cell in {r[0] for r in data}:
+        own = [r for r in data if r[0] == cell]
+        assert got[cell]["n_sources"] == len(own)
+        for k, c in ((1, "a"), (2, "b")):
+            v = np.array([r[k] for r in own if r[k] is not None])
+            mad = np.median(np.abs(v - np.median(v)))
+            want = {"mean": v.mean(), "median": np.median(v), "std": v.std(), "min": v.min(), "max": v.max(), "mad": mad, "robust_std": 1.4826 * mad, "n_valid": len(v)}
+            assert all(abs(got[cell][f"{c}_{name}"] - x) < 1e-9 for name, x in want.items())
+
+
+def test_median_of_a_large_group(spark):
+    from cellgrid.operators import quantiles
+
+    values = spark.range(200_001).selectExpr("0L AS g", "cast(pmod(id * 7919, 200001) AS double) AS v").unionByName(spark.range(100_000).selectExpr("1L AS g", "cast(id div 60000 AS double) AS v"))
+    got = {r["g"]: (r["median"], r["mad"]) for r in quantiles.medians_and_mads(values, ["g"]).collect()}
+    assert got == {0: (100_000.0, 50_000.0), 1: (0.0, 0.0)}
 
 
 def test_sentinel(spark):

@@ -48,6 +48,26 @@ def test_antimeridian(spark):
     obs = footprints(spark, [(0, [(179.0, 0.0), (-179.0, 2.0), (179.0, 0.0)]), (1, square(10, 10))])
     got = {r["source_id"]: [(p["lon"], p["lat"]) for p in r["v"]] for r in obs.select("source_id", S.repair_antimeridian().alias("v")).collect()}
     assert (180.0, 1.0) in got[0] and (-180.0, 1.0) in got[0] and got[1] == square(10, 10)
+    rings = [{"lon": x, "lat": 0.0, "ring": k} for x, k in ((170.0, 0), (171.0, 0), (170.0, 0), (-170.0, 1), (-171.0, 1), (-170.0, 1))]
+    apart = spark.createDataFrame([(0, rings)], "source_id long, vertices array<struct<lon: double, lat: double, ring: int>>")
+    assert [p["lon"] for p in apart.select(S.repair_antimeridian(rings=True).alias("v")).first()["v"]] == [r["lon"] for r in rings]
+
+
+def test_footprint_weights(spark):
+    obs = footprints(spark, [(0, square(45, 45, 8)), (1, square(45.2, 45.2, 0.01))])
+    plain = {(r["source_id"], r["healpix_id"]) for r in S.assign_footprints(obs, 16).collect()}
+    got = {(r["source_id"], r["healpix_id"]): r["weight"] for r in S.assign_footprints(obs, 16, data=psf.gaussian(5.0)).collect()}
+    assert set(got) == plain and all(0 < w < 1 for w in got.values()) and len(set(got.values())) > 2
+    twice = S.assign_footprints(obs, 16, data=psf.gaussian(5.0), cell=psf.gaussian(5.0), combine="sum").collect()
+    assert all(abs(r["weight"] - 2 * got[r["source_id"], r["healpix_id"]]) < 1e-12 for r in twice)
+    strict = {r["source_id"]: r["weight"] for r in S.assign_footprints(obs, 16, "strict", data=psf.gaussian(5.0)).collect()}
+    assert strict[0] == 1.0 and strict[1] == got[next(k for k in got if k[0] == 1)]
+
+
+def test_centroids(spark):
+    obs = footprints(spark, [(0, [(0, 0), (4, 0), (4, 2), (0, 2)]), (1, [(1, 1), (3, 3)]), (2, [(5, 6)])])
+    got = {r["source_id"]: (r["c"]["lon"], r["c"]["lat"]) for r in obs.select("source_id", S.centroid(F.col("vertices")).alias("c")).collect()}
+    assert got == {0: (2.0, 1.0), 1: (2.0, 2.0), 2: (5.0, 6.0)}
 
 
 def test_weights(spark):

@@ -1,11 +1,13 @@
 import json
 import struct
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cellgrid.functions.healpix import RANGES
 from cellgrid.operators import display, geo
+from cellgrid.sources import places
 from cellgrid.sources.metadata import GridMeta
 from cellgrid.sources.observations import cells
 
@@ -23,12 +25,15 @@ def test_wkb(spark):
     assert len(rows) == 48
     for r in rows:
         ring = geo.read_wkb(bytes(r["geometry"]))
-        assert ring == [{"lon": r[f"lon_{k % 4}"], "lat": r[f"lat_{k % 4}"]} for k in range(5)]
+        assert ring == [{"lon": r[f"lon_{k % 4}"], "lat": r[f"lat_{k % 4}"], "ring": 0} for k in range(5)]
         lons = [p["lon"] for p in ring]
         assert max(lons) - min(lons) <= 180
-    box = spark.createDataFrame([(struct.pack("<BI2d", 1, 1, 5.0, 6.0),), (None,)], "geometry binary")
-    got = box.select(geo.wkb_vertices().alias("v")).collect()
-    assert [(p["lon"], p["lat"]) for p in got[0]["v"]] == [(5.0, 6.0)] and got[1]["v"] is None
+    rings = struct.pack("<BII", 1, 3, 2) + 2 * (struct.pack("<I", 3) + struct.pack("<6d", 1, 2, 3, 4, 1, 2))
+    blobs = [struct.pack("<BI2d", 1, 1, 5.0, 6.0), None, b"", rings, rings[:-9], b"no geometry", struct.pack("<BII", 1, 3, 1 << 31)]
+    got = [r["v"] for r in spark.createDataFrame([(b,) for b in blobs], "geometry binary").select(geo.wkb_vertices().alias("v")).collect()]
+    assert [(p["lon"], p["lat"], p["ring"]) for p in got[0]] == [(5.0, 6.0, None)]
+    assert got[1] is None and got[2] == [] and got[4:] == [None, None, None]
+    assert [(p["lon"], p["ring"]) for p in got[3]] == [(1.0, 0), (3.0, 0), (1.0, 0), (1.0, 1), (3.0, 1), (1.0, 1)]
 
 
 def test_double_bits(spark):
@@ -83,7 +88,12 @@ def test_geoparquet(spark, tmp_path):
     path = geo.to_geoparquet(m, tmp_path / "m.parquet", 2)
     got = spark.read.parquet(str(path))
     assert got.count() == 2 and got.columns == ["healpix_id", "v", "geometry"]
-    assert json.loads((tmp_path / "m.parquet.geo.json").read_text())["primary_column"] == "geometry"
+    assert json.loads(pq.read_schema(next(path.glob("*.parquet"))).metadata[b"geo"])["primary_column"] == "geometry"
+    shapes, description = places.read_geoparquet(spark, path)
+    assert description["columns"]["geometry"]["encoding"] == "WKB" and shapes.filter("size(vertices) = 5").count() == 2
+    m.write.parquet(str(tmp_path / "plain.parquet"))
+    with pytest.raises(ValueError):
+        places.read_geoparquet(spark, tmp_path / "plain.parquet")
     with pytest.raises(FileExistsError):
         geo.to_geoparquet(m, path, 2)
     assert spark.read.parquet(str(geo.to_geoparquet(m, path, 2, dense=True, overwrite=True))).count() == 48
@@ -104,6 +114,10 @@ def test_raster_and_tiff(spark, tmp_path):
     assert first == got.filter("row = 0 AND col = 0").first()["value"]
     with pytest.raises(KeyError):
         geo.raster(m, "x", 2)
+    assert geo.epsg("EPSG:4326") == geo.epsg(4326) == (4326, b"") and geo.epsg(None) == (32767, b"") and geo.epsg("Moon 2000") == (32767, b"Moon 2000|")
+    named = geo.write_geotiff(m, "v", tmp_path / "n.tif", 2, width=8, height=5, bits=64, crs="Moon 2000").read_bytes()
+    assert b"Moon 2000|" in named and struct.unpack_from("<d", named, len(named) - 320)[0] == first
+    assert struct.pack("<4H", 2048, 0, 1, 4326) in geo.write_geotiff(m, "v", tmp_path / "e.tif", 2, width=8, height=5, crs=4326).read_bytes()
 
 
 def test_display(spark):

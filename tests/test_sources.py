@@ -11,6 +11,7 @@ from cellgrid.sources import observations as O
 def test_filter_text():
     assert O.filter_text("b != '3' & a == 2") == "b != '3'  AND  a = 2"
     assert O.filter_text('x in [1, 2] and s == "q==r"') == "x in (1, 2) and s = 'q==r'"
+    assert O.filter_text("a[0] > 3 & b not in ['x', 'y[0]'] & c[1] in [m[2], 4]") == "a[0] > 3  AND  b not in ('x', 'y[0]')  AND  c[1] in (m[2], 4)"
 
 
 def test_detect():
