@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 #: Line items as observations with made-up positions, by integers so that both engines agree.
-ALL = """SELECT l_orderkey * 8 + l_linenumber AS source_id,
+_PLACED = """l_orderkey * 8 + l_linenumber AS source_id,
   ((l_orderkey * 7919 + l_linenumber * 104729) % 360000) / 1000e0 + 0.00037e0 AS lon,
   ((l_partkey * 15485863 + l_linenumber * 32452843) % 180000) / 1000e0 - 90e0 + 0.00029e0 AS lat,
   l_extendedprice AS v, l_quantity AS w, l_returnflag AS flag FROM lineitem"""
+ALL = f"SELECT {_PLACED}"
 
-OBS = f"SELECT * FROM ({ALL}) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY lat, v, w, flag) = 1"
+#: Of rows with equal ids the first in the file.
+OBS = f"SELECT * EXCLUDE (place) FROM (SELECT row_number() OVER () AS place, {_PLACED}) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY place) = 1"
 
 
 def micro(c: str, name: str | None = None) -> str:

@@ -56,12 +56,9 @@ def placed(items: DataFrame) -> DataFrame:
     )
 
 
-ORDER = ["lat", "v", "w", "flag"]
-
-
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each source."""
-    return observations.first_of_each(all_rows(spark, sf_dir), "source_id", ORDER)
+    """The first row of each source, in the order of the file."""
+    return observations.first_of_each(all_rows(spark, sf_dir))
 
 
 def sidecar(obs: DataFrame, nside: int = NSIDE) -> DataFrame:
@@ -78,11 +75,10 @@ CELLS_ALL = sql.cells(sql.ALL, NSIDE)
 # --- sources and filters -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_rows, min(row_id) AS least, max(row_id) AS greatest, count(DISTINCT row_id) AS n_ids FROM (SELECT row_number() OVER () - 1 AS row_id FROM lineitem)")
+@query("SELECT row_number() OVER () - 1 AS source_id, l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def row_ids(spark, sf_dir):
-    """Global row numbers of a file without an id column."""
-    got = observations.read_observations(spark, f"{sf_dir}/lineitem.parquet", ["l_extendedprice"])
-    return got.agg(F.count(F.lit(1)).alias("n_rows"), F.min("source_id").alias("least"), F.max("source_id").alias("greatest"), F.countDistinct("source_id").alias("n_ids"))
+    """Global row numbers of a file without an id column, with what each row holds."""
+    return observations.read_observations(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query(f"SELECT source_id, {sql.micro('v')} FROM ({sql.OBS}) WHERE flag = 'R' AND w > 25 AND flag IN ('R', 'A')")
@@ -124,16 +120,15 @@ def drop_report(spark, sf_dir):
     return assign.drop_report(moved, convention="minus_plus180").select("total", "dropped")
 
 
-BOX = "SELECT source_id, unnest([0, 1, 2, 3]) AS k, lon AS lon0, lat AS lat0 FROM ({src}) WHERE lon BETWEEN 3 AND 357 AND lat BETWEEN -87 AND 87"
+BOX = "SELECT source_id, unnest([0, 1, 2, 3]) AS k, lon AS lon0, lat AS lat0 FROM ({src}) WHERE lon - 1.3e0 >= 0 AND lon + 1.3e0 <= 360 AND lat - 1.1e0 >= -90 AND lat + 1.1e0 <= 90"
 BOX_POINTS = "SELECT source_id, lon0 + CASE WHEN k IN (0, 3) THEN -1.3e0 ELSE 1.3e0 END AS lon, lat0 + CASE WHEN k < 2 THEN -1.1e0 ELSE 1.1e0 END AS lat FROM ({box})"
 BOX_CELLS = f"SELECT DISTINCT source_id, healpix_id FROM ({sql.cells(BOX_POINTS.format(box=BOX.format(src=sql.OBS)), NSIDE)})"
 
 
 def boxes(spark, sf_dir):
-    """A footprint of four vertices around each observation away from the edges."""
+    """A footprint of four vertices around each observation; those over the seam or a pole are out of bounds."""
     vertex = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
-    box = rows(spark, sf_dir).filter("lon BETWEEN 3 AND 357 AND lat BETWEEN -87 AND 87")
-    return box.select("source_id", "v", F.array(vertex(-1.3, -1.1), vertex(1.3, -1.1), vertex(1.3, 1.1), vertex(-1.3, 1.1)).alias("vertices"))
+    return rows(spark, sf_dir).select("source_id", "v", F.array(vertex(-1.3, -1.1), vertex(1.3, -1.1), vertex(1.3, 1.1), vertex(-1.3, 1.1)).alias("vertices"))
 
 
 @query(BOX_CELLS)
@@ -196,8 +191,7 @@ def agg_robust(spark, sf_dir):
 @query(sql.stats(sql.cells(sql.OBS, NSIDE), ["v"]))
 def agg_by_sidecar(spark, sf_dir):
     everything = all_rows(spark, sf_dir)
-    first = observations.first_of_each(everything, "source_id", ORDER)
-    return stats_micro(aggregate.aggregate_by_sidecar(everything, sidecar(first), ["v"], AGGS, order=ORDER), ["v"])
+    return stats_micro(aggregate.aggregate_by_sidecar(everything, sidecar(observations.first_of_each(everything)), ["v"], AGGS), ["v"])
 
 
 @query(sql.stats(CELLS_ALL, ["v"], least=5))
@@ -224,21 +218,24 @@ def overlap_report(spark, sf_dir):
     return aggregate.overlap(obs.filter("flag <> 'N'"), sidecar(obs)).select("sidecar_ids", "common", "missing")
 
 
-MEANS8 = f"SELECT healpix_id, avg(v) AS v_mean, count(*) AS n_sources FROM ({sql.cells(sql.ALL, 8)}) WHERE lat > 0 GROUP BY healpix_id"
+#: Fine enough that cells are empty at any of the tables' sizes but the largest.
+FINE = 64
+FINE_CELLS = healpix.npix_of(FINE)
+MEANS = f"SELECT healpix_id, avg(v) AS v_mean, count(*) AS n_sources FROM ({sql.cells(sql.ALL, FINE)}) GROUP BY healpix_id"
 
 
-def north_map(spark, sf_dir):
-    return aggregate.aggregate_points(all_rows(spark, sf_dir).filter("lat > 0"), 8, ["v"], ("mean",))
+def mean_map(spark, sf_dir):
+    return aggregate.aggregate_points(all_rows(spark, sf_dir), FINE, ["v"], ("mean",))
 
 
-@query(f"SELECT r.range AS healpix_id, {sql.micro('v_mean')}, n_sources FROM range(768) r LEFT JOIN ({MEANS8}) m ON m.healpix_id = r.range")
+@query(f"SELECT r.range AS healpix_id, {sql.micro('v_mean')}, n_sources FROM range({FINE_CELLS}) r LEFT JOIN ({MEANS}) m ON m.healpix_id = r.range")
 def densify(spark, sf_dir):
-    return aggregate.densify(north_map(spark, sf_dir), 8).select("healpix_id", micro("v_mean"), "n_sources")
+    return aggregate.densify(mean_map(spark, sf_dir), FINE).select("healpix_id", micro("v_mean"), "n_sources")
 
 
-@query(f"SELECT r.range AS healpix_id, {sql.micro('CASE WHEN m.healpix_id IS NULL THEN -1e0 ELSE v_mean END', 'v_mean')}, CASE WHEN m.healpix_id IS NULL THEN -1 ELSE n_sources END AS n_sources FROM range(768) r LEFT JOIN ({MEANS8}) m ON m.healpix_id = r.range")
+@query(f"SELECT r.range AS healpix_id, {sql.micro('CASE WHEN m.healpix_id IS NULL THEN -1e0 ELSE v_mean END', 'v_mean')}, CASE WHEN m.healpix_id IS NULL THEN -1 ELSE n_sources END AS n_sources FROM range({FINE_CELLS}) r LEFT JOIN ({MEANS}) m ON m.healpix_id = r.range")
 def densify_fill(spark, sf_dir):
-    return aggregate.densify(north_map(spark, sf_dir), 8, fill=-1).select("healpix_id", micro("v_mean"), "n_sources")
+    return aggregate.densify(mean_map(spark, sf_dir), FINE, fill=-1).select("healpix_id", micro("v_mean"), "n_sources")
 
 
 @query(f"SELECT healpix_id >> 4 AS healpix_id, count(v) AS n, {sql.micro('sum(v) / count(v)', 'mean')}, {sql.micro('min(v)', 'least')}, {sql.micro('max(v)', 'greatest')} FROM ({CELLS_ALL}) GROUP BY 1")
@@ -283,18 +280,21 @@ def accumulate_3_batches(spark, sf_dir):
     return held.select("healpix_id", "n", micro(state.mean_of(), "mean"), micro("min", "least"), micro("max", "greatest"))
 
 
-@query(f"SELECT healpix_id, v_n, CASE WHEN v_n >= 2 THEN {sql.micro('v_mean', 'x').rpartition(' AS ')[0]} END AS v_mean, CASE WHEN v_n >= 2 THEN {sql.micro('v_min', 'x').rpartition(' AS ')[0]} END AS v_min, CASE WHEN v_n >= 2 THEN {sql.micro('v_max', 'x').rpartition(' AS ')[0]} END AS v_max, CASE WHEN v_n >= 2 THEN CAST(floor(v_std + 0.377e0) AS BIGINT) END AS v_std FROM ({STATE})")
+@query(f"SELECT healpix_id, v_n, CASE WHEN v_n >= 2 THEN {sql.micro('v_mean', 'x').rpartition(' AS ')[0]} END AS v_mean, CASE WHEN v_n >= 2 THEN {sql.micro('v_min', 'x').rpartition(' AS ')[0]} END AS v_min, CASE WHEN v_n >= 2 THEN {sql.micro('v_max', 'x').rpartition(' AS ')[0]} END AS v_max, CASE WHEN v_n >= 2 THEN CAST(floor(v_std * 1e2 + 0.377e0) AS BIGINT) END AS v_std FROM ({STATE})")
 def finalize_stats(spark, sf_dir):
     got = state.finalize(three_batches(spark, sf_dir), ["v"], min_count=2)
-    return got.select("healpix_id", "v_n", micro("v_mean"), micro("v_min"), micro("v_max"), F.floor(F.col("v_std") + 0.377).cast("long").alias("v_std"))
+    return got.select("healpix_id", "v_n", micro("v_mean"), micro("v_min"), micro("v_max"), F.floor(F.col("v_std") * 1e2 + 0.377).cast("long").alias("v_std"))
 
 
-@query()
+@query(f"SELECT healpix_id, count(v) AS v_n, {', '.join(sql.micro(f'CASE WHEN count(v) <= 200 THEN quantile_disc(v, {p / 100}) END', f'v_p{p}') for p in (25, 50, 75))} FROM ({SIDE}) JOIN ({sql.OBS}) USING (source_id) GROUP BY healpix_id")
 def finalize_percentiles_kll(spark, sf_dir):
-    return state.finalize(three_batches(spark, sf_dir, sketches=True), ["v"], [25, 50, 75])
+    """Percentiles of merged sketches, shown for cells of up to 200 values, where they are exact; `percentile_ranks` checks
+    the others by their ranks."""
+    got = state.finalize(three_batches(spark, sf_dir, sketches=True), ["v"], [25, 50, 75])
+    return got.select("healpix_id", "v_n", *[micro(F.when(F.col("v_n") <= 200, F.col(f"v_p{p}")), f"v_p{p}") for p in (25, 50, 75)])
 
 
-@query(f"SELECT count(*) AS cells, sum(CASE WHEN a.n <> b.n THEN 1 ELSE 0 END) AS differ FROM (SELECT healpix_id, count(*) AS n FROM ({CELLS_ALL}) GROUP BY 1) a JOIN (SELECT healpix_id, count(*) AS n FROM ({CELLS_ALL}) GROUP BY 1) b USING (healpix_id)")
+@query(f"SELECT count(*) AS cells, sum(CASE WHEN a.n <> b.n THEN 1 ELSE 0 END) AS differ FROM (SELECT healpix_id, count(*) AS n FROM ({CELLS_ALL}) GROUP BY 1) a JOIN (SELECT healpix_id, sum(n) AS n FROM (SELECT healpix_id, source_id % 3 AS batch, count(*) AS n FROM ({CELLS_ALL}) GROUP BY 1, 2) GROUP BY 1) b USING (healpix_id)")
 def state_vs_batch(spark, sf_dir):
     obs = all_rows(spark, sf_dir)
     cells = healpix.with_cell(obs, "lon", "lat", NSIDE, known=True)
@@ -368,36 +368,46 @@ def cell_corners(spark, sf_dir):
     return corner_table(spark, 16).select("healpix_id", *[micro(c) for c in CORNER_COLUMNS])
 
 
-@query(f"SELECT healpix_id, {sql.micro('v_mean')}, n_sources, {sql.micro('lon_0')}, {sql.micro('lat_0')} FROM ({MEANS8}) JOIN ({sql.corners(8)}) USING (healpix_id)")
+@query(f"SELECT healpix_id, {sql.micro('v_mean')}, n_sources, {sql.micro('lon_0')}, {sql.micro('lat_0')} FROM ({MEANS}) JOIN ({sql.corners(FINE)}) USING (healpix_id)")
 def geo_join_sparse(spark, sf_dir):
-    got = corner_table(spark, 8).join(north_map(spark, sf_dir), "healpix_id")
+    got = corner_table(spark, FINE).join(mean_map(spark, sf_dir), "healpix_id")
     return got.select("healpix_id", micro("v_mean"), "n_sources", micro("lon_0"), micro("lat_0"))
 
 
-@query("SELECT range AS healpix_id, 93 AS n_bytes FROM range(768)")
+#: A cell's corners, on one side of the seam; the ring ends where it starts.
+UNWRAPPED = ", ".join(f"CASE WHEN greatest(lon_0, lon_1, lon_2, lon_3) - least(lon_0, lon_1, lon_2, lon_3) > 180 AND lon_{k} < greatest(lon_0, lon_1, lon_2, lon_3) - 180 THEN lon_{k} + 360 ELSE lon_{k} END AS x_{k}, lat_{k} AS y_{k}" for k in range(4))
+RINGS = f"SELECT healpix_id, {UNWRAPPED} FROM ({sql.corners(FINE)})"
+
+
+def ring_columns(shapes: DataFrame) -> DataFrame:
+    """x_0..3 and y_0..3 of WKB polygons, read back, and the number of their vertices."""
+    v = shapes.withColumn("v", geo.wkb_vertices("geometry"))
+    corners = [micro(F.element_at("v", k + 1)[a], f"{b}_{k}") for k in range(4) for a, b in (("lon", "x"), ("lat", "y"))]
+    return v.select("healpix_id", "v_mean", *corners, F.size("v").alias("n_vertices"))
+
+
+@query(f"SELECT healpix_id, {sql.micro('v_mean')}, {', '.join(sql.micro(f'{a}_{k}') for k in range(4) for a in 'xy')}, 5 AS n_vertices FROM ({RINGS}) LEFT JOIN ({MEANS}) USING (healpix_id)")
 def geo_join_dense(spark, sf_dir):
-    got = geo.with_geometry(north_map(spark, sf_dir), 8, dense=True)
-    return got.select("healpix_id", F.octet_length("geometry").alias("n_bytes"))
+    """All cells' polygons, read back from WKB, with the map where it has a value."""
+    got = ring_columns(geo.with_geometry(mean_map(spark, sf_dir), FINE, dense=True))
+    return got.withColumn("v_mean", micro("v_mean"))
 
 
 RASTER = "SELECT CAST(range // 72 AS INT) AS row, CAST(range % 72 AS INT) AS col, -180e0 + 360e0 * (range % 72) / 71e0 AS x, 90e0 - 180e0 * (range // 72) / 35e0 AS lat FROM range(2592)"
 
 
-@query(f"SELECT row, col, {sql.micro('v_mean', 'value')} FROM ({sql.cells(f'SELECT row, col, CASE WHEN x < 0 THEN x + 360e0 ELSE x END AS lon, lat FROM ({RASTER})', 8)}) LEFT JOIN ({MEANS8}) USING (healpix_id)")
+@query(f"SELECT row, col, {sql.micro('v_mean', 'value')} FROM ({sql.cells(f'SELECT row, col, CASE WHEN x < 0 THEN x + 360e0 ELSE x END AS lon, lat FROM ({RASTER})', FINE)}) LEFT JOIN ({MEANS}) USING (healpix_id)")
 def raster_lookup(spark, sf_dir):
-    return geo.raster(north_map(spark, sf_dir), "v_mean", 8, width=72, height=36).select("row", "col", micro("value"))
+    return geo.raster(mean_map(spark, sf_dir), "v_mean", FINE, width=72, height=36).select("row", "col", micro("value"))
 
 
 # --- display -----------------------------------------------------------------------------------------------------------
 
-CLIP = f"SELECT healpix_id, greatest(least(v_mean, (SELECT quantile_cont(v_mean, 0.95) FROM ({MEANS8}))), (SELECT quantile_cont(v_mean, 0.05) FROM ({MEANS8}))) AS display FROM ({MEANS8})"
+CLIP = f"SELECT healpix_id, greatest(least(v_mean, (SELECT quantile_cont(v_mean, 0.95) FROM ({MEANS}))), (SELECT quantile_cont(v_mean, 0.05) FROM ({MEANS}))) AS display FROM ({MEANS})"
 
 
 @query(f"SELECT healpix_id, {sql.micro('display')} FROM ({CLIP})")
 def viz_clip(spark, sf_dir):
-    return display.clipped(north_map(spark, sf_dir), "v_mean", 5.0).select("healpix_id", micro("display"))
-
+    return display.clipped(mean_map(spark, sf_dir), "v_mean", 5.0).select("healpix_id", micro("display"))
 
-@query()
-def viz_equalize(spark, sf_dir):
-    return display.equalised(north_map(spark, sf_dir), "v_mean").select("healpix_id", "display")
+from cellgrid.plans import more  # noqa: E402, F401  registers its queries here
