@@ -1,14 +1,16 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A tolerant parser turns a page into a tree of block elements whose leaves are blocks of text. Every node is content or
-not. A node's own potential comes from its tag, its class and id words, and for leaves from length, links and marks;
+not. A node's own potential comes from its tag, its class and id words and how much text, links and marks are below it;
 parent and child share a potential that favours equal states. Sum-product messages, upward and then downward, give each
 block's marginal probability, and blocks of one half or more are the page's text. Both potentials are fitted on
 labelled pages: HTML in which `data-content="1"` or `"0"` on an element labels all below it. Where the caller gives
 none, `labelled_pages` composes a set from common layouts.
 
 Null or empty html: empty text. Unclosed tags, comments and quotes end as a browser ends them, or with the page; a
-slash closes svg and math, whose elements may be nested. Formulas are text, drawings are not.
+slash closes svg and math, whose elements may be nested. Formulas are text, drawings are not; noscript is an element as
+others. The parser's work grows in proportion with the page, whatever is nested or left open in it: in a page of many tags
+that never end, quotes that hide a `>` stop counting once the search for ends has cost SEARCHES times the page.
 Rows with equal ids are extracted one by one; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,6 +20,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +31,9 @@ from pyspark.sql import DataFrame
 from cellgrid.llm.common import pick
 
 # Element names of HTML.
-RAW = frozenset("script style textarea title noscript template svg iframe object select canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style textarea title template svg iframe object select canvas audio video noembed noframes xmp".split())
 VOID = frozenset("br img input hr meta link area base col embed source track wbr param".split())
-BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption button label option".split())
+BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul caption button label option".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption li dd dt button label option html head body".split()) | {"li", "dd", "dt"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -43,6 +46,8 @@ FOREIGN = NOTES | {"svg"}
 ROOTS = frozenset(("#page", "html", "body", "head"))
 
 _TOKEN = re.compile(r"""<(?:!--(?P<comment>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+>)""")
+#: The same without regard to quotes.
+_PLAIN = re.compile(r"<(?:!--(?P<comment>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>|[!?/][^>]*+>)")
 _BROKEN = re.compile(r"</?[a-zA-Z!?][^>]*+(>|$)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-zA-Z]+")
@@ -51,6 +56,10 @@ _LEAVES = re.compile(r"</math(?=[\s/>]|$)|</?(?:b|big|blockquote|body|br|center|
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: How often a page may be searched, in all, for the ends of tags that have none.
+SEARCHES = 16
+
+
 @dataclass(slots=True)
 class Node:
     parent: int
@@ -60,7 +69,68 @@ class Node:
     text: str = ""
     linked: int = 0
     label: int | None = None
-    inside: bool = False
+    #: What is below it: characters, those in links, marks, and blocks of text.
+    size: int = 0
+    links: int = 0
+    marks: int = 0
+    blocks: int = 0
+
+
+class Open:
+    """The open elements, from the page inward, and where those of each name are."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes = nodes
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        self.places.setdefault(self.nodes[node].tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def innermost(self, names) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def close(self, names, until=()) -> None:
+        """Closes the innermost element of one of the names, with all in it, unless one of `until` lies between."""
+        at = self.innermost(names)
+        if at and at > self.innermost(until):
+            for node in reversed(self.stack[at:]):
+                self.places[self.nodes[node].tag].pop()
+            del self.stack[at:]
+
+
+class Ends:
+    """Where elements that are skipped as a whole end, from one pass over the page for each name."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[str, tuple[dict[int, int], list[int]]] = {}
+
+    def after(self, name: str, tag_end: int) -> int | None:
+        """Where the element ends whose tag ends at `tag_end`; svg may be nested. None if it has no end."""
+        if name not in self.known:
+            self.known[name] = self._pass(name)
+        paired, closes = self.known[name]
+        if name == "svg":
+            return paired.get(tag_end)
+        k = bisect_left(closes, tag_end)
+        return self._past(closes[k]) if k < len(closes) else None
+
+    def _past(self, close: int) -> int:
+        stop = self.page.find(">", close + 2)
+        return len(self.page) if stop < 0 else stop + 1
+
+    def _pass(self, name: str) -> tuple[dict[int, int], list[int]]:
+        paired, closes, open_ = {}, [], []
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)", re.I).finditer(self.page):
+            if m[1]:
+                closes.append(m.start())
+                if open_:
+                    paired[open_.pop()] = self._past(m.start())
+            elif name == "svg" and (whole := _TOKEN.match(self.page, m.start())) and not whole["rest"].endswith("/"):
+                open_.append(whole.end())
+        return paired, closes
 
 
 def _attributes(rest: str) -> tuple[tuple[str, ...], str | None]:
@@ -81,8 +151,11 @@ def _attributes(rest: str) -> tuple[tuple[str, ...], str | None]:
 def parse(page: str) -> list[Node]:
     """Nodes in page order, a parent before its children; leaves have the tag `#text`."""
     nodes = [Node(-1, "#page")]
-    stack = [0]
+    opened = Open(nodes)
+    stack = opened.stack
+    ends = Ends(page)
     text: list[str] = []
+    searched = 0
     linked = 0
     in_link = -1  # how deep the stack was when a link began
     in_math = False
@@ -104,27 +177,12 @@ def parse(page: str) -> list[Node]:
             if in_link >= 0:
                 linked += len(s)
 
-    def close(names: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in until:
-                return
-
     def past(name: str) -> int:
-        """Where the element that began before `at` ends; svg may be nested. One without an end takes the rest of the
-        page, but svg and the notes of math end before the next tag of HTML."""
-        deep = 1
-        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)", re.I).finditer(page, at):
-            if m[1]:
-                deep -= 1
-            elif name == "svg" and (whole := _TOKEN.match(page, m.start())) and not whole["rest"].endswith("/"):
-                deep += 1
-            if not deep:
-                stop = page.find(">", m.end())
-                return n if stop < 0 else stop + 1
+        """Where the element that began before `at` ends. One without an end takes the rest of the page, but svg and the
+        notes of math end before the next tag of HTML."""
+        end = ends.after(name, at)
+        if end is not None:
+            return end
         leaves = _LEAVES.search(page, at) if name in FOREIGN else None
         return leaves.start() if leaves else n
 
@@ -134,9 +192,10 @@ def parse(page: str) -> list[Node]:
             say(page[at:])
             break
         say(page[at:lt])
-        m = _TOKEN.match(page, lt)
+        m = (_TOKEN if searched <= SEARCHES * n else _PLAIN).match(page, lt)
         if m is None:
             m = _BROKEN.match(page, lt)
+            searched += n - lt if m is not None else 0
             if m is None:
                 say("<")
                 at = lt + 1
@@ -161,10 +220,7 @@ def parse(page: str) -> list[Node]:
                 in_math = False
             elif name in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == name:
-                        del stack[k:]
-                        break
+                opened.close((name,))
                 if len(stack) < in_link:
                     in_link = -1
             continue
@@ -185,30 +241,50 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         if name in ENDS_P:
-            close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "main", "aside", "form", "body"})
+            opened.close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "main", "aside", "form", "body"})
         if name in IMPLIED:
-            close(*IMPLIED[name])
-        if name == "hr" or name in ("html", "head", "body") and any(nodes[k].tag == name for k in stack):
+            opened.close(*IMPLIED[name])
+        if name == "hr" or name in ("html", "head", "body") and opened.places.get(name):
             continue
         if name == "body":
-            close({"head"}, set())
+            opened.close({"head"})
         words, label = _attributes(m["rest"])
         nodes.append(Node(stack[-1], name, words, label=nodes[stack[-1]].label if label is None else label))
-        stack.append(len(nodes) - 1)
+        opened.push(len(nodes) - 1)
     flush()
+    return measured(nodes)
+
+
+def measured(nodes: list[Node]) -> list[Node]:
+    """Counts what is below each node."""
+    for x in reversed(nodes):
+        if x.tag == "#text":
+            x.size, x.links, x.marks, x.blocks = len(x.text), x.linked, sum(map(x.text.count, ".!?,;")), 1
+        if x.parent >= 0:
+            up = nodes[x.parent]
+            up.size += x.size
+            up.links += x.links
+            up.marks += x.marks
+            up.blocks += x.blocks
     return nodes
 
 
 def node_features(node: Node, nodes: list[Node]) -> list[str]:
+    size = node.size
     if node.tag != "#text":
-        return [f"t:{node.tag}", *(f"w:{w}" for w in node.words)]
-    size = len(node.text)
-    marks = sum(map(node.text.count, ".!?,;"))
+        return [
+            f"t:{node.tag}",
+            *(f"w:{w}" for w in node.words),
+            f"L:{min(7, int(math.log2(size + 1)) // 2)}",
+            f"K:{min(4, node.links * 4 // max(size, 1))}",
+            f"M:{min(4, node.marks * 100 // max(size, 1))}",
+            f"B:{min(4, int(math.log2(node.blocks + 1)))}",
+        ]
     return [
         "leaf",
         f"l:{min(7, int(math.log2(size + 1)))}",
-        f"k:{min(4, node.linked * 4 // max(size, 1))}",
-        f"m:{min(3, marks)}",
+        f"k:{min(4, node.links * 4 // max(size, 1))}",
+        f"m:{min(3, node.marks)}",
         f"in:{nodes[node.parent].tag}",
         *(["copyright"] if "©" in node.text else []),
         *(["bars"] if node.text.count("|") + node.text.count("»") + node.text.count("·") > 1 else []),
@@ -316,8 +392,9 @@ CHROME_WORDS = {
 CONTENT_WORDS = "content article post entry story body main text maincontent articlebody postcontent page single prose hentry blog".split()
 
 
-def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
-    """Pages of random words in common layouts, each part labelled."""
+def labelled_pages(n: int = 800, seed: int = 11, unknown: float = 0.25) -> list[str]:
+    """Pages of random words in common layouts, each part labelled. unknown: the share of elements whose class words are
+    made up, so that a model also learns to tell content by its shape."""
     rng = random.Random(seed)
     syllables = [c + v for c in "bcdfglmnprstv" for v in "aeiou"] + "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
@@ -346,6 +423,8 @@ def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
         attrs = ""
         if words and rng.random() < 0.85:
             chosen = rng.sample(words, rng.randint(1, min(2, len(words)))) + ([word()] if rng.random() < 0.3 else [])
+            if rng.random() < unknown:  # a site's own words, which tell nothing
+                chosen = [word() for _ in chosen]
             attrs = f' {rng.choice(["class", "class", "id"])}="{rng.choice([" ", "-", "_"]).join(chosen)}"'
         return f'<{tag}{attrs} data-content="{label}">{inner}</{tag}>'
 
