@@ -3,9 +3,10 @@
 Documents are tokenised whole, ended with a separator id and cut into pieces only where they are longer than a
 sequence. The histogram of piece lengths (at most `capacity` numbers, whatever the corpus) is all that the driver sees:
 there a configuration linear program (a variable for each way to fill a sequence) is solved by multiplicative weights.
-Each round prices the lengths by how little of their demand is covered yet and finds the dearest filling by a knapsack
-dynamic program. The solution is rounded down to whole sequences; the few pieces left are placed by best fit, longest
-first. Pieces then take the slots of their length by a gapless number, without any group being gathered.
+Each round prices the lengths by how little of their demand is covered yet and finds the dearest fillings by bounded
+knapsack dynamic programs. Their amounts are rounded down to whole sequences; the pieces left are placed by best fit,
+longest first. `plan` tells the share that the program placed and the lower bound. Pieces then take the slots of their
+length by a gapless number, without any group being gathered.
 
 Null text: as empty, a piece that is the separator only. Null ids stay null; rows with equal ids are packed one by one;
 an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 from cellgrid.llm.common import cut, local_ranks, numbered_offsets, pick, text_chunks, words_of
 
 CAPACITY = 2048
-ROUNDS = 400
-#: How sharply the price of a length falls with its covered share, and the share of a filling's demand that is taken.
-SHARPNESS, STEP = 4.0, 0.5
+ROUNDS = 24
+#: Knapsacks of a round, and the share of the tokens that is left to best fit.
+KNAPSACKS, REST = 8, 0.04
+#: How the price of a length falls as it is covered, how much more a long one costs, and how prices differ by knapsack.
+FALL, LONG, NOISE = 0.1, 0.05, 0.01
+#: Of lengths up to this share of a sequence, half is kept back for the gaps that best fit finds.
+SHORT = 0.1
 
 
 #: A word of Latin letters that have one code point each, with marks after it: its letters and its marks are tokenised apart.
@@ -204,64 +210,132 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
 Filling = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
 
-def dearest(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, capacity: int) -> Filling:
-    """The knapsack: the filling of the highest price, with no more of a length than is left."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        best[c], choice[c] = best[c - 1], -1
-        if n:
-            value = best[c - lengths[:n]] + prices[:n]
-            k = int(value.argmax())
-            if value[k] > best[c]:
-                best[c], choice[c] = value[k], k
-    taken: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        k = choice[c]
-        if k < 0:
-            c -= 1
-            continue
-        taken[int(k)] += 1
-        c -= int(lengths[k])
-    return tuple(sorted(((int(lengths[k]), int(min(m, left[k]))) for k, m in taken.items() if left[k] > 0), reverse=True))
+def _parts(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts 1, 2, 4, ... and a rest of each number, so that all up to it are sums of some; and which numbers have them."""
+    rest, size = numbers.copy(), 1
+    while (full := rest >= size).any():
+        yield size, full
+        rest = np.where(full, rest - size, rest)
+        done = (numbers < 4 * size - 1) & (rest > 0)
+        for n in np.unique(rest[done]).tolist():
+            yield n, done & (rest == n)
+        rest = np.where(done, 0, rest)
+        size *= 2
+
+
+class Knapsacks:
+    """Bounded knapsacks of one capacity: for each row of `left` and each capacity up to the given one, the dearest
+    filling with no more of a length than the row has. prices: of each length, by row."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, capacity: int):
+        self.lengths = lengths
+        best = np.zeros((len(left), capacity + 1))
+        self.steps: list[tuple[int, int, np.ndarray]] = []  # a length, how many of it at once, and where that was better
+        most = np.minimum(left, capacity // lengths)
+        for k, x in enumerate(lengths.tolist()):
+            for n, have in _parts(most[:, k]):
+                value = best[:, : capacity + 1 - n * x] + (prices[:, k] * n)[:, None]
+                better = (value > best[:, n * x :] + 1e-9) & have[:, None]
+                np.copyto(best[:, n * x :], value, where=better)
+                self.steps.append((k, n, np.packbits(better, axis=1)))
+
+    def fillings(self, row: int, rooms: np.ndarray) -> np.ndarray:
+        """[room, length]: the dearest filling of each of some capacities in a row's knapsack."""
+        taken = np.zeros((len(rooms), len(self.lengths)), np.int16)
+        at = rooms.copy()
+        for k, n, better in reversed(self.steps):
+            place = at - n * int(self.lengths[k])
+            own = np.maximum(place, 0)
+            hit = (place >= 0) & (better[row, own >> 3] >> (7 - (own & 7)).astype(np.uint8) & 1).astype(bool)
+            if hit.any():
+                taken[hit, k] += n
+                at[hit] = place[hit]
+        return taken
+
+
+class Plan(NamedTuple):
+    """Fillings and how many sequences have each; the share of the tokens that the program placed, and the least number
+    of sequences that any plan needs."""
+
+    fillings: dict[Filling, int]
+    placed: float
+    bound: int
+
+
+def plan(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    """The configuration program, covering the demand exactly.
+
+    A round deals what is left evenly to KNAPSACKS knapsacks and solves them for the current prices. From each, every
+    length, longest first, gets the dearest filling of the room beside it, and that filling as many sequences as the
+    knapsack's share still allows: a whole number. Only sequences without a free place count, or, where a round finds
+    none, those as full as the fullest it finds. Prices begin as the lengths, the program's own prices where a plan
+    without waste exists, a little more for long ones, which fit less often; they fall with the share of a length that
+    is covered. The rounds end when all but REST of the tokens are placed. What is left, and the fillings made last if
+    they waste what best fit would not, is placed by best fit.
+    """
+    total = sum(x * n for x, n in demand.items())
+    bound = -(-total // capacity)
+    made: list[tuple[Filling, int]] = [(((capacity, 1),), demand[capacity])] if demand.get(capacity) else []
+    lengths = np.array(sorted((x for x in demand if x < capacity and demand[x]), reverse=True), np.int64)
+    need = np.array([demand[int(x)] for x in lengths], np.int64)
+    kept_back = np.where(lengths <= SHORT * capacity, need // 2, 0)
+    left = need - kept_back
+    level = capacity
+    rng = np.random.default_rng(1)
+    for _ in range(rounds if len(lengths) else 0):
+        open_ = int((left * lengths).sum())
+        if open_ <= REST * total:
+            break
+        some = np.flatnonzero(left)
+        groups = max(1, min(KNAPSACKS, open_ // (32 * capacity)))
+        share, more = np.divmod(left[some], groups)
+        dealt = share + (rng.random((groups, len(some))).argsort(axis=0) < more)
+        prices = lengths[some] * (1 + LONG * lengths[some] / capacity) * np.exp(-FALL * (1 - left[some] / need[some])) * rng.uniform(1, 1 + NOISE, dealt.shape)
+        solved = Knapsacks(lengths[some], prices, dealt, capacity)
+        before, fullest = int(left.sum()), 0
+        for row, had in enumerate(dealt):
+            anchors = np.flatnonzero(had)
+            rooms = capacity - lengths[some[anchors]]
+            for k, own in zip(anchors.tolist(), solved.fillings(row, rooms)):
+                own[k] += 1
+                used = np.flatnonzero(own)
+                n = int((had[used] // own[used]).min())
+                size = int(lengths[some[used]] @ own[used])
+                if n and size < level:
+                    fullest = max(fullest, size)
+                elif n:
+                    made.append((tuple(zip(lengths[some[used]].tolist(), own[used].tolist())), n))
+                    had[used] -= n * own[used]
+                    left[some[used]] -= n * own[used]
+        if int(left.sum()) == before:
+            if not fullest:
+                break
+            level = fullest
+    return _rounded(made, demand, capacity, total, bound)
+
+
+def _rounded(made: list[tuple[Filling, int]], demand: dict[int, int], capacity: int, total: int, bound: int) -> Plan:
+    """The longest beginning of the fillings that, with best fit for the rest, needs the fewest sequences."""
+    best: Plan | None = None
+    for kept in dict.fromkeys(len(made) * k // 16 for k in range(16, -1, -1)):
+        left, fillings = dict(demand), defaultdict(int)
+        for filling, n in made[:kept]:
+            fillings[filling] += n
+            for x, m in filling:
+                left[x] -= m * n
+        rest = sum(x * n for x, n in left.items())
+        for filling, n in best_fit(left, capacity).items():
+            fillings[filling] += n
+        if best is None or sum(fillings.values()) < sum(best.fillings.values()):
+            best = Plan(dict(fillings), 1 - rest / total if total else 0.0, bound)
+        if sum(best.fillings.values()) == bound:
+            break
+    return best
 
 
 def solve(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[Filling, int]:
     """Fillings and how many sequences have each, covering the demand exactly."""
-    lengths = np.array(sorted(demand), np.int64)
-    need = np.array([demand[int(x)] for x in lengths], np.float64)
-    used: dict[Filling, float] = defaultdict(float)
-    covered = np.zeros(len(lengths))
-    at = {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds if len(lengths) else 0):
-        short = np.maximum(need - covered, 0)
-        if short.sum() < 1:
-            break
-        prices = np.where(short >= 1, lengths * np.exp(-SHARPNESS * covered / need), 0.0)
-        filling = dearest(lengths, prices, np.floor(short), capacity)
-        if not filling:
-            break
-        amount = min(short[at[x]] / m for x, m in filling)
-        amount = max(1.0, amount * STEP) if amount >= 1 else 0.0
-        if not amount:
-            break
-        used[filling] += amount
-        for x, m in filling:
-            covered[at[x]] += m * amount
-    left = {int(x): int(n) for x, n in zip(lengths, need)}
-    plan: dict[Filling, int] = defaultdict(int)
-    for filling, amount in sorted(used.items(), key=lambda x: -x[1]):  # rounding: whole sequences, and only full ones
-        whole = min([int(amount), *(left[x] // m for x, m in filling)])
-        if whole > 0 and capacity - sum(x * m for x, m in filling) <= capacity // 256:
-            plan[filling] += whole
-            for x, m in filling:
-                left[x] -= m * whole
-    for filling, n in best_fit(left, capacity).items():
-        plan[filling] += n
-    alone = best_fit(dict(demand), capacity)  # of few pieces, rounding may cost a sequence that best fit alone saves
-    return dict(min(plan, alone, key=lambda p: sum(p.values())))
+    return plan(demand, capacity, rounds).fillings
 
 
 def best_fit(left: dict[int, int], capacity: int) -> dict[Filling, int]:

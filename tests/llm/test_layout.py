@@ -63,6 +63,65 @@ def test_plans_cover_the_demand(seed):
     assert sum(plan.values()) <= 1.12 * sum(x * n for x, n in demand.items()) / 2048 + 1 or seed
 
 
+def fewest(demand, capacity):
+    """The least number of sequences, by search over all fillings."""
+    from functools import lru_cache
+
+    lengths = sorted(demand, reverse=True)
+
+    def fillings(left, k, room):
+        if k == len(lengths):
+            yield ()
+            return
+        for m in range(min(left[k], room // lengths[k]), -1, -1):
+            for rest in fillings(left, k + 1, room - m * lengths[k]):
+                yield (m, *rest)
+
+    @lru_cache(None)
+    def search(left):
+        if not any(left):
+            return 0
+        k = next(i for i, n in enumerate(left) if n)
+        return 1 + min(search(tuple(a - b for a, b in zip(left, f))) for f in fillings(left, 0, capacity) if f[k])
+
+    return search(tuple(demand[x] for x in lengths))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_small_plans_against_brute_force(seed):
+    rng = random.Random(seed)
+    demand = {x: rng.randint(1, 4) for x in rng.sample(range(1, 13), 4)}
+    plan = P.plan(demand, 12)
+    best = fewest(demand, 12)
+    assert plan.bound <= best <= sum(plan.fillings.values()) <= best
+
+
+def test_knapsacks_against_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([9, 7, 5, 2, 1])
+    left = rng.integers(0, 4, (6, 5))
+    prices = lengths * rng.uniform(0.8, 1.2, (6, 5))
+    solved = P.Knapsacks(lengths, prices, left, 20)
+    for row in range(6):
+        got = solved.fillings(row, np.arange(21))
+        for room in range(21):
+            best = max(sum(p * m for p, m in zip(prices[row], f)) for f in itertools.product(*[range(n + 1) for n in left[row]]) if np.dot(f, lengths) <= room)
+            assert (got[room] <= left[row]).all() and got[room] @ lengths <= room and abs(got[room] @ prices[row] - best) < 1e-6
+
+
+def test_the_program_places_most_tokens():
+    rng = np.random.default_rng(4)
+    lengths = np.clip(np.exp(rng.normal(6, 0.9, 20_000)).astype(int) + 1, 1, 2048)
+    demand = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    plan = P.plan(demand)
+    alone = sum(P.best_fit(dict(demand), 2048).values())
+    assert plan.placed > 0.5 and sum(plan.fillings.values()) <= min(alone, plan.bound + 1)
+    alike = P.plan({700: 1000, 900: 10})
+    assert sum(alike.fillings.values()) == 505 and alike.placed > 0.5
+
+
 def test_shards(spark):
     rng = random.Random(1)
     rows = [(i, "x" * rng.randint(0, 400), rng.choice(["en", None, "fr"]), rng.choice(["s", "t"])) for i in range(3000)]
