@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -51,11 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; only a session that
-    names none, as in tests, gets one of this machine."""
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; only a local session
+    that names none, as in tests, gets one of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cellgrid-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -98,19 +101,28 @@ def cut_in_place(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a relation's size; only the number of buckets depends on it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 1 << 30
+#: Rows of a few integers that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def bucket_count(df: DataFrame, each: int = 16 << 20, least: int = 256) -> int:
-    """Buckets of about `each` bytes of input; more data means more buckets, not larger ones."""
-    return max(least, -(-input_bytes(df) // each))
+def few(df: DataFrame) -> DataFrame:
+    """A table that was cut, as the small side of a join: broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The bytes of all texts, counted."""
+    return df.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def bucket_count(size: int, each: int, least: int = 256) -> int:
+    """Buckets of about `each` bytes of text; more data means more buckets, not larger ones."""
+    return max(least, -(-size // each))
+
+
+def shuffle_partitions(spark: SparkSession, size: int = 0, each: int = 1 << 30) -> int:
+    """The session's number of partitions, or more if `size` bytes of text need more of `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
@@ -237,9 +249,9 @@ def by_key(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.
         yield int(key[s]), [a[s:e] for a in arrays]
 
 
-def block_of(id_col: str, blocks: int):
-    """The block of each id, by a hash (null: as NULL_ID)."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), F.lit(blocks)).cast("long")
+def block_of(id_col: str, text_col: str, blocks: int):
+    """The block of each row, by a hash of id and text, so that rows of one id, or without any, share no block."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(blocks)).cast("long")
 
 
 def grouped_runs(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

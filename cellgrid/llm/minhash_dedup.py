@@ -14,7 +14,7 @@ minhash) and the sets' sizes tell which can be linked at all; a linked pair fail
 Every link is confirmed on the full sets.
 
 Only the texts of sets that meet another in a table are read again. Their ids are broadcast if there are at most
-BROADCAST_ROWS of them, and joined by a shuffle if there are more.
+`common.BROADCAST_ROWS` of them, and joined by a shuffle if there are more.
 
 Equal sets are one node. Null texts and texts without words have empty sets, link with nothing and are their own
 component. Rows with equal ids are separate documents; a null id is larger than every id. An empty table gives an empty
@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, blobs, cut, grouped_runs, mix, pick, release, remix, shuffle_partitions, splittable, text_chunks, words_of
+from cellgrid.llm.common import NULL_ID, blobs, cut, few, grouped_runs, mix, pick, release, remix, shuffle_partitions, splittable, text_chunks, words_of
 from cellgrid.llm.components import components
 
 PARTS = 12
@@ -44,8 +44,6 @@ MISSED = 2.2e-5
 SKETCH_MISSED = 1e-6
 #: Sets of a block, and shingles of all its sets, about; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 300, 1 << 17
-#: Rows of a few integers that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +151,6 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node binary, set binary")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A table that was cut, as the small side of a join: broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """rows: (num, sig). Those whose signature another set has, with the number of sets that have it."""
     several = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -330,8 +323,8 @@ def _labelled(docs: DataFrame, words: int, percent: int, parts: int) -> DataFram
     first = cut(_alike(cut(met), members, percent, sketch))
     release(spark)
     wanted = cut(nodes.join(members.select("num"), "num").select("num", "node", "id"))
-    texts = docs.select("id", "text").join(_few(wanted.select(F.col("id").alias("wanted")).distinct()), F.coalesce("id", F.lit(int(NULL_ID))) == F.col("wanted"), "left_semi")
-    found = _sets(texts, words).join(_few(wanted.select("num", "node")), "node").groupBy("num").agg(F.first("set").alias("set"))
+    texts = docs.select("id", "text").join(few(wanted.select(F.col("id").alias("wanted")).distinct()), F.coalesce("id", F.lit(int(NULL_ID))) == F.col("wanted"), "left_semi")
+    found = _sets(texts, words).join(few(wanted.select("num", "node")), "node").groupBy("num").agg(F.first("set").alias("set"))
     sets = cut(found, 5_000)
     release(spark)
     links = cut(_compared(first, sets, percent))
@@ -367,7 +360,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     least id, unchanged; of several with that id, one. Documents with an empty set stay, but for rows of the same id and
     text, of which one stays.
 
-    The rows that go are known by id and two hashes of the text. They are broadcast if there are at most BROADCAST_ROWS,
+    The rows that go are known by id and two hashes of the text. They are broadcast if there are at most `common.BROADCAST_ROWS`,
     so that texts stay where they are; with more, texts are joined to them by a shuffle.
     """
     names = docs.columns
@@ -381,5 +374,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     gone = got.filter(~_is_kept()).select(F.coalesce("id", F.lit(int(NULL_ID))).alias("id"), "_a", "_b", F.lit(False).alias("_again"))
     marks = cut(gone.unionByName(again).distinct().withColumnRenamed("id", "_id"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), **hashes})
-    marked = keyed.join(_few(marks), ["_id", "_a", "_b"], "left")
+    marked = keyed.join(few(marks), ["_id", "_a", "_b"], "left")
     return marked.filter("_again is null").select(*names).unionByName(marked.filter("_again").dropDuplicates(["_id", "_a", "_b"]).select(*names))

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_chunks, widen
+from cellgrid.llm.common import block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_bytes, text_chunks, widen
 
 WINDOW = 13
 ROUNDS = 2
-#: Input of a block of documents and of a bucket of anchors, in bytes.
-BLOCK_BYTES = 8 << 20
+#: Text of a block of documents and of a bucket of anchors, in bytes.
+BLOCK_BYTES = 16 << 20
 
 
 class Powers:
@@ -153,6 +153,10 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
     return a, b
 
 
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def _packed(key: np.ndarray, block: int | None, *arrays: np.ndarray) -> Iterator[tuple]:
     """A row for each key, with the block that sends it: hashes as bytes, ids narrowed."""
     for k, slices in by_key(key, *arrays):
@@ -190,8 +194,8 @@ def _blocks(parts: list[pa.RecordBatch]) -> np.ndarray:
     return np.repeat(np.array(blobs(parts, 1), np.int64), [len(x) // 8 for x in blobs(parts, 2)])
 
 
-def _by_bucket(df: DataFrame) -> DataFrame:
-    return df.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key")
+def _by_bucket(df: DataFrame, partitions: int) -> DataFrame:
+    return df.repartition(partitions, "key").sortWithinPartitions("key")
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -222,7 +226,7 @@ def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.groupBy("block").applyInArrow(run, _schema(2))
 
 
-def _shared_anchors(sent: DataFrame) -> DataFrame:
+def _shared_anchors(sent: DataFrame, partitions: int) -> DataFrame:
     """(key, block, a0): the anchors of a block that more than one document has; key is the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +240,7 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
             if shared.any():
                 yield _rows(list(_packed(block[shared], None, names[shared])), 1)
 
-    return _by_bucket(sent).mapInArrow(run, _schema(1))
+    return _by_bucket(sent, partitions).mapInArrow(run, _schema(1))
 
 
 def _send_windows(docs: DataFrame, shared: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -263,9 +267,9 @@ def _send_windows(docs: DataFrame, shared: DataFrame, window: int, buckets: int)
     return docs.groupBy("block").cogroup(shared.groupBy("key")).applyInArrow(run, _schema(4))
 
 
-def _later_windows(sent: DataFrame) -> DataFrame:
-    """(key, block, a0, a1): a block's windows that start in a document with a smaller id than one of the block's, with
-    the least id of all; key is the block."""
+def _later_windows(sent: DataFrame, partitions: int) -> DataFrame:
+    """(key, block, a0, a1, a2): a block's windows that start in a document with a smaller id than one of the block's, one
+    hash and half of the other, with the least id of all; key is the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped_runs(batches):
@@ -277,26 +281,32 @@ def _later_windows(sent: DataFrame) -> DataFrame:
             least = np.repeat(np.minimum.reduceat(low, edge), np.diff(np.append(edge, len(a))))
             later = high > least
             if later.any():
-                yield _rows(list(_packed(block[later], None, a[later], least[later])), 2)
+                yield _rows(list(_packed(block[later], None, a[later], _half(b[later]), least[later])), 3)
 
-    return _by_bucket(sent).mapInArrow(run, _schema(2))
+    return _by_bucket(sent, partitions).mapInArrow(run, _schema(3))
 
 
 def _stays(table: pa.Table, right: pa.Table, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Of a block's documents: texts, which words are covered, where each text's words begin, and how many it loses."""
-    names, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names, halves, least = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if right.num_rows:
-        names, least = _u64(right.column("a0").to_pylist()), _ids(right.column("a1").to_pylist())
-        order = np.argsort(names)
-        names, least = names[order], least[order]
+        names, halves, least = _u64(right.column("a0").to_pylist()), np.frombuffer(b"".join(right.column("a1").to_pylist()), "<u4"), _ids(right.column("a2").to_pylist())
+        order = np.lexsort((halves, names))
+        names, halves, least = names[order], halves[order], least[order]
+    twins = len(names) > 1 and (names[1:] == names[:-1]).any()  # different windows with one hash
     for ids, texts in _texts(table):
         flat, breaks = joined_words(texts)
         starts, owner = starts_of_windows(breaks, window)
         gone = np.zeros(len(flat) + 1, np.int64)
         if len(starts) and len(names):
-            a, _ = window_hashes(flat, starts, window)
+            a, b = window_hashes(flat, starts, window)
             at = np.minimum(np.searchsorted(names, a), len(names) - 1)
-            removed = starts[(names[at] == a) & (least[at] < ids[owner])]
+            half = _half(b)
+            if twins:
+                for _ in range(int(np.unique(names, return_counts=True)[1].max()) - 1):
+                    after = np.minimum(at + 1, len(names) - 1)
+                    at = np.where((names[at] == a) & (halves[at] != half) & (names[after] == a), after, at)
+            removed = starts[(names[at] == a) & (halves[at] == half) & (least[at] < ids[owner])]
             gone[removed] += 1
             gone[removed + window] -= 1
         covered = np.cumsum(gone)[:-1] > 0
@@ -308,19 +318,21 @@ def _kept(text: bytes, covered: np.ndarray) -> str:
     return b" ".join(compress(text.split(), (~covered).tolist())).decode("utf-8", "replace")
 
 
-def _later(docs: DataFrame, window: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+def _later(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The documents with their blocks, and what `_later_windows` found. All stages take the same rows by the same
     blocks, so Spark deals the documents out once."""
-    blocked = docs.withColumn("block", block_of("id", blocks))
-    shared = _shared_anchors(_send_anchors(blocked, window, blocks))
-    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks))
+    size = text_bytes(docs)
+    blocks, partitions = bucket_count(size, BLOCK_BYTES), shuffle_partitions(docs.sparkSession, size)
+    blocked = docs.withColumn("block", block_of("id", "text", blocks))
+    shared = _shared_anchors(_send_anchors(blocked, window, blocks), partitions)
+    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks), partitions)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: (id, text). Removes every word covered by a window of `window` words that also starts in a document with a
     smaller id. Returns (id, n_words, n_removed, text), a row for each document."""
     docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
-    blocked, later = _later(docs, window, bucket_count(docs, BLOCK_BYTES))
+    blocked, later = _later(docs, window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n_words, n_removed, kept = [], [], []
@@ -338,7 +350,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     loses nothing stays as it is, others become their kept words joined by one space, with n_chars to match."""
     names = docs.columns
     rows = docs.withColumnRenamed("doc_id", "id")
-    blocked, later = _later(rows, window, bucket_count(docs, BLOCK_BYTES))
+    blocked, later = _later(rows, window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         old_text, old_size = left.column("text").to_pylist(), left.column("n_chars").to_pylist()
