@@ -1,19 +1,27 @@
 """Benchmark decontamination by template windows.
 
 Words become template tokens: numbers, units and capitalised words (names, or the start of a sentence) become typed
-placeholders, all others are lower-cased and stripped of marks. Windows of five tokens are joined by hash between
-documents and benchmark items. A document holds an item if at least 0.8 of the item's windows, or windows over at
-least 13 tokens in a row, are found in it, and the placeholders agree: one value of the item must stand for one value
-of the document throughout, so a question with other numbers or names is caught while text of the same shape is not.
+placeholders, all others are lower-cased and stripped of marks. Numbers in a row are one placeholder, as are names in a
+row ("Anna Maria", "one thousand"), unless a mark stands between them; a word that is a unit only sometimes (`a`, `s`,
+`second`) is one behind a number. Characters of scripts without spaces are words of their own. Windows of five tokens are
+joined by hash between documents and benchmark items. A document holds an item if at least 0.8 of the item's windows, or
+windows over at least 13 tokens in a row, are found in it, and the placeholders agree: one value of the item must stand
+for one value of the document throughout, so a question with other numbers or names is caught while text of the same
+shape is not.
 
 Template windows of fewer than three ordinary words do not count. What they cannot tell (arithmetic, titles, lists of
 names, documents in capitals) is found exactly: the same shares of an item's windows of case-folded literal words, with
 no demand on the words. An item shorter than a window is found as a whole, and one of one or two words only as the whole
-document, since within a text it cannot be told from ordinary words. `ways` counts the items by the way they take.
+document, since within a text it cannot be told from ordinary words. `ways` counts the items by the way they take. Names
+in small letters are ordinary words: a question that is re-parameterised by these is not found.
 
-Null texts, and items without a word, hold and match nothing. The benchmark's windows, template and literal, reach the
-workers in parts of at most MOST_WINDOWS, so a large benchmark takes several passes instead of more memory. Rows with
-equal ids are judged one by one, as are null ids; items with equal ids are separate items; other columns are ignored.
+The benchmark stays distributed. The documents' tasks get a bitmap of its windows' hashes, of at most 2^MOST_BITS bits;
+windows that fall on a set bit are joined to the benchmark's windows (broadcast if there are at most BROADCAST_ROWS of
+these, else by a shuffle), and each pair of a document and an item is judged on its own.
+
+Null texts, and items without a word, hold and match nothing. Documents are told apart by id and text, so repeated rows
+of one id and text give one row per item; null ids stay null; items with equal ids are separate items; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +29,16 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import pick, remix, text_chunks
+from cellgrid.llm.common import NULL_ID, cut, few, grouped_runs, pick, remix, shuffle_partitions, text_chunks
 
 WINDOW = 5
 SHARE = 0.8
@@ -38,31 +47,60 @@ LITERALS = 3
 #: Items of fewer words match whole documents only.
 WITHIN = 3
 AGREE = 0.8
-MOST_WINDOWS = 1_000_000
+#: Bits of the bitmap: at least 16 for a window, within these powers of two.
+LEAST_BITS, MOST_BITS = 16, 27
 
 NUMBER, UNIT, NAME = 1, 2, 3
-KIND = 7
-# Units of measure and currency.
-UNITS = frozenset("mm cm m km inch inches in. ft foot feet yard yards mile miles mg g kg ton tons tonne tonnes lb lbs oz pound pounds ounce ounces ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kph km/h m/s hz khz mhz ghz kb mb gb tb w kw mw kwh j kj cal kcal v a ohm pa kpa bar k c f °c °f % percent dollar dollars euro euros cent cents usd eur gbp € $ £".split())
+#: Kinds that the neighbours decide: a unit behind a number, a number before a number word, and number words.
+MAYBE_UNIT, MAYBE_NUMBER, NUMBER_WORD = 4, 5, 6
+KIND, STOP, LOW = 7, 8, 31
+# Units of measure and currency, and those that are other words too.
+UNITS = frozenset("mm cm km inch inches ft feet yards mile miles mg kg tons tonne tonnes lb lbs oz pounds ounce ounces ml cl liter liters litre litres gallon gallons sec minutes hr hours days weeks months years mph kph km/h m/s hz khz mhz ghz kb mb gb tb kw mw kwh kj cal kcal ohm pa kpa °c °f % percent dollar dollars euro euros cent cents usd eur gbp € $ £".split())
+MAYBE_UNITS = frozenset("m in in. foot yard g ton pound l s second seconds min minute h hour day week month year w j v a bar k c f".split())
 _NUMBER = re.compile(r"[+\-−]?[$€£]?\d[\d.,:/\-]*(?:%|st|nd|rd|th|[a-z°€$£]{1,3})?$", re.I)
-# Number words.
+# Number words, and words that belong to one that follows.
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-_EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*_|&#"
+BEFORE_NUMBER_WORDS = frozenset(("one", "an"))
+_EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*_|&#。、，！？；：「」『』（）"
+_STOPS = tuple(".,;:!?")
+#: Scripts that set no spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_DENSE = re.compile(r"[฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿]")
+#: First bytes of those characters, and of few others.
+_DENSE_BYTES = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef]")
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """The words of a text, and the characters of scripts without spaces."""
+    if _DENSE_BYTES.search(text):
+        text = _DENSE.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
+    return text.split()
+
+
+def plain(word: bytes) -> str:
+    return word.decode("utf-8", "replace").strip(_EDGE).lower()
 
 
 def token(word: bytes) -> int:
-    """A hash of the case-folded word with its kind, a placeholder or 0, in the low bits; 0 for marks only."""
-    plain = word.decode("utf-8", "replace").strip(_EDGE)
-    if not plain:
+    """A hash of the case-folded word with its kind and whether a mark ends it in the low bits; 0 for marks only."""
+    text = word.decode("utf-8", "replace")
+    bare = text.strip(_EDGE)
+    if not bare:
         return 0
-    low = plain.lower()
-    if _NUMBER.match(plain) or low in NUMBER_WORDS:
+    low = bare.lower()
+    if low in NUMBER_WORDS:
+        kind = NUMBER_WORD
+    elif _NUMBER.match(bare):
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT
+    elif low in MAYBE_UNITS:
+        kind = MAYBE_UNIT
+    elif low in BEFORE_NUMBER_WORDS:
+        kind = MAYBE_NUMBER
     else:
-        kind = NAME if plain[0].isupper() else 0
-    return xxhash.xxh3_64_intdigest(low.encode()) & ~KIND | 8 | kind
+        kind = NAME if bare[0].isupper() else 0
+    stop = STOP if text.rstrip("\"'»”’)]}").endswith(_STOPS) else 0
+    return xxhash.xxh3_64_intdigest(low.encode()) & ~LOW | 16 | stop | kind
 
 
 class Tokens(dict):
@@ -78,217 +116,294 @@ class Tokens(dict):
         return got
 
 
-def _hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+class Template(NamedTuple):
+    """Template tokens of some texts in a row."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    owner: np.ndarray
+    #: The first word of each token, and the word after it.
+    first: np.ndarray
+    last: np.ndarray
+
+
+def template(tokens: np.ndarray, owner: np.ndarray) -> Template:
+    """Of the words' tokens: kinds decided by neighbours, numbers and names in a row made one."""
+    n = len(tokens)
+    kind = (tokens & np.uint64(KIND)).astype(np.int8)
+    if not n:
+        return Template(tokens, kind, owner, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    stop = (tokens & np.uint64(STOP)) > 0
+    linked = np.concatenate(([False], (owner[1:] == owner[:-1]) & ~stop[:-1]))  # to the word before
+    before_word = np.concatenate((linked[1:] & (kind[1:] == NUMBER_WORD), [False]))
+    # `a` is a number only before a number word, a unit only behind a number
+    one = xxhash.xxh3_64_intdigest(b"a") & ~LOW
+    article = (tokens & ~np.uint64(LOW)) == np.uint64(one)
+    kind = np.where((kind == NUMBER_WORD) | before_word & ((kind == MAYBE_NUMBER) | article), NUMBER, kind)
+    kind = np.where(kind == MAYBE_NUMBER, 0, kind)
+    behind = np.concatenate(([False], linked[1:] & (kind[:-1] == NUMBER)))
+    kind = np.where(kind == MAYBE_UNIT, np.where(behind, UNIT, 0), kind)
+    joins = linked & np.concatenate(([False], (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME))))
+    first = np.flatnonzero(~joins)
+    kinds = kind[first]
+    hashes = np.where(kinds > 0, kinds.astype(np.uint64), tokens[first] & ~np.uint64(LOW))
+    return Template(hashes, kinds, owner[first], first, np.append(first[1:], n))
+
+
+def _hashes(tokens: np.ndarray, size: int, code: int) -> np.ndarray:
     n = max(len(tokens) - size + 1, 0)
     h = np.zeros(n, np.uint64)
     mixed = remix(tokens)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[k : k + n]
-    return remix(h) | np.uint64(1)
+    return remix(h ^ np.uint64(0xA0761D6478BD642F * (code + 1) & (1 << 64) - 1)) | np.uint64(1)
 
 
-def windows(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each template window of the tokens; 0 where it has too few ordinary words."""
-    n = max(len(tokens) - WINDOW + 1, 0)
-    kind = tokens & np.uint64(KIND)
-    ordinary = kind == 0
+def template_windows(t: Template) -> np.ndarray:
+    """A hash of each window of template tokens; 0 where it has too few ordinary words or is over two texts."""
+    n = max(len(t.hashes) - WINDOW + 1, 0)
+    ordinary = t.kinds == 0
     literals = np.zeros(n, np.int8)
     for k in range(WINDOW):
         literals += ordinary[k : k + n]
-    return np.where(literals >= LITERALS, _hashes(np.where(ordinary, tokens, kind), WINDOW), np.uint64(0))
-
-
-def literal_windows(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """A hash of each window of `size` case-folded words."""
-    return _hashes(tokens & ~np.uint64(KIND), size)
-
-
-class Spots:
-    """Where the windows of items are, by their hash."""
-
-    BITS = 22
-
-    def __init__(self, size: int):
-        self.size = size
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.count, self.rank = {}, {}
-        self.maybe = np.zeros(1 << self.BITS, bool)
-
-    def add(self, item: int, found: np.ndarray) -> None:
-        """found: the hash of each of the item's windows, 0 where it does not count."""
-        places = np.flatnonzero(found).tolist()
-        for p in places:
-            self.at[int(found[p])].append((item, p))
-        self.maybe[found[places] >> np.uint64(64 - self.BITS)] = True
-        self.rank[item] = {p: k for k, p in enumerate(places)}
-        self.count[item] = len(places)
-
-    def hits(self, found: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """The places of windows that some item has, none of them over two documents."""
-        n = len(found)
-        if not n or not self.at:
-            return np.zeros(0, np.int64)
-        hit = np.flatnonzero(self.maybe[found >> np.uint64(64 - self.BITS)] & (found != 0) & (owner[:n] == owner[self.size - 1 :]))
-        return hit[[h in self.at for h in found[hit].tolist()]] if len(hit) else hit
-
-
-class Benchmark:
-    """A part of the benchmark, ready for lookup."""
-
-    def __init__(self, items: list[tuple[int | None, str]]):
-        known = Tokens()
-        self.ids, self.words = [], []
-        self.template, self.literal = Spots(WINDOW), Spots(WINDOW)
-        self.short: dict[int, Spots] = {}  # items shorter than a window, by their number of words
-        for item, text in items:
-            words = [w for w in (text or "").encode().split() if known[w]]
-            if not words:
-                continue
-            tokens = np.array([known[w] for w in words], np.uint64)
-            k = len(self.ids)
-            if (found := windows(tokens)).any():
-                self.template.add(k, found)
-            if len(words) < WINDOW and len(words) not in self.short:
-                self.short[len(words)] = Spots(len(words))
-            (self.literal if len(words) >= WINDOW else self.short[len(words)]).add(k, literal_windows(tokens, min(len(words), WINDOW)))
-            self.ids.append(item)
-            self.words.append(words)
-
-    def judge(self, spots: Spots, words: list[bytes], places: np.ndarray, hashes: np.ndarray, known: Tokens) -> dict[int, tuple]:
-        """words: the document's, without marks only; places, hashes: of its windows that are in the benchmark. The
-        items that the document holds, by their place in this part."""
-        pairs = defaultdict(list)
-        for q, h in zip(places.tolist(), hashes.tolist()):
-            for item, p in spots.at.get(h, ()):
-                pairs[item].append((p, q))
-        found = {}
-        for item, met in pairs.items():
-            lines = Counter(q - p for p, q in met)
-            best: dict[int, int] = {}
-            for p, q in met:
-                if p not in best or lines[q - p] > lines[best[p] - p]:
-                    best[p] = q
-            changed = False
-            if spots is self.template:
-                slots: dict[tuple[int, bytes], Counter] = defaultdict(Counter)
-                seen = set()
-                for p, q in best.items():
-                    for k in range(WINDOW):
-                        kind = known[self.words[item][p + k]] & KIND
-                        if kind and (p + k, q + k) not in seen:
-                            seen.add((p + k, q + k))
-                            slots[kind, self.words[item][p + k].strip(_EDGE.encode()).lower()][words[q + k].strip(_EDGE.encode()).lower()] += 1
-                total = sum(sum(c.values()) for c in slots.values())
-                leads = {key: max(c.items(), key=lambda x: (x[1], x[0])) for key, c in slots.items()}
-                owner: dict[tuple[int, bytes], int] = {}
-                for (kind, _), (value, n) in leads.items():  # one document value for one item value
-                    owner[kind, value] = max(owner.get((kind, value), 0), n)
-                agree = sum(owner.values())
-                if total and agree < AGREE * total:
+    counts = (literals >= LITERALS) & (t.owner[:n] == t.owner[WINDOW - 1 :])
+    return np.where(counts, _hashes(t.hashes, WINDOW, 0), np.uint64(0))
+
+
+def literal_windows(tokens: np.ndarray, owner: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """A hash of each window of `size` case-folded words; 0 where it is over two texts."""
+    n = max(len(tokens) - size + 1, 0)
+    return np.where(owner[:n] == owner[size - 1 :], _hashes(tokens & ~np.uint64(LOW), size, size), np.uint64(0))
+
+
+def slots(words: list[bytes], t: Template, at: int, base: int = 0) -> str:
+    """The values of the placeholders of a window, in their order. base: the text's first word in `t`."""
+    parts = [" ".join(plain(w) for w in words[t.first[k] - base : t.last[k] - base]) for k in range(at, at + WINDOW) if t.kinds[k]]
+    return "\x1f".join(parts)
+
+
+# --- the benchmark's windows -----------------------------------------------------------------------------------------
+
+_ITEM = "key long, item long, code int, size int, total int, hash long, p int, rank int, kinds string, own string"
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """A row for each window that counts of each item; code: 0 for template windows, else the size of literal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = Tokens(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                count += 1
+                words = [w for w in words_in((text or "").encode()) if known[w]]
+                if not words:
                     continue
-                changed = any(value != (v.strip()) for (_, v), (value, _) in leads.items())
-            span = 0
-            begun = before = None
-            for p in sorted(best):  # in a row: no window of the item that counts is missing in between
-                if before is None or spots.rank[item][p] != spots.rank[item][before] + 1 or best[p] - p != best[before] - before:
-                    begun = p
-                before = p
-                span = max(span, p - begun + spots.size)
-            if len(best) < SHARE * spots.count[item] and span < RUN:
-                continue
-            found[item] = (self.ids[item], len(best), spots.count[item], span, changed, min(best.values()), max(best.values()) + spots.size)
-        return found
-
-
-def found_in(batch: pa.RecordBatch, id_at: int, text_at: int, bench: Benchmark, known: Tokens) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of a batch that hold items, with what `Benchmark.judge` says of them: of the template windows, and of
-    the literal ones for the items that those do not find."""
-    at = 0
-    for ids, texts in text_chunks(batch, id_at, text_at):
-        docs = [t.split() for t in texts]
-        flat = np.fromiter((known[w] for d in docs for w in d), np.uint64, sum(map(len, docs)))
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        real = flat != 0
-        owner, tokens = owner[real], flat[real]
-        first = np.searchsorted(owner, np.arange(len(docs) + 1))
-        items: dict[int, dict[int, tuple]] = defaultdict(dict)
-        for spots in (bench.template, bench.literal, *bench.short.values()):
-            if not spots.at:
-                continue
-            found = windows(tokens) if spots is bench.template else literal_windows(tokens, spots.size)
-            hit = spots.hits(found, owner)
-            if spots.size < WITHIN:
-                hit = hit[np.diff(first)[owner[hit]] == spots.size]
-            for i in np.unique(owner[hit]).tolist():
-                own = hit[owner[hit] == i]
-                words = [w for w in docs[i] if known[w]]
-                items[i] = bench.judge(spots, words, own - first[i], found[own], known) | items[i]
-        for i in sorted(items):
-            if items[i]:
-                yield at + i, list(items[i].values())
-        at += len(ids)
-
-
-def _parts(benchmark: DataFrame, most_windows: int) -> Iterator[Benchmark]:
-    """The benchmark, dealt by a hash of the items into parts of about the bound at most."""
+                tokens = np.array([known[w] for w in words], np.uint64)
+                owner = np.zeros(len(words), np.int64)
+                t = template(tokens, owner)
+                found = template_windows(t)
+                places = np.flatnonzero(found).tolist()
+                for rank, p in enumerate(places):
+                    kinds = "".join(str(k) for k in t.kinds[p : p + WINDOW])
+                    rows.append((count, item, 0, WINDOW, len(places), int(found[p].view(np.int64)), p, rank, kinds, slots(words, t, p)))
+                size = min(len(words), WINDOW)
+                found = literal_windows(tokens, owner, size)
+                rows += [(count, item, size, size, len(found), int(h), p, p, "", "") for p, h in enumerate(found.view(np.int64))]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            columns = zip(*rows) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in _ITEM.split(", ")])
+
     items = pick(benchmark, "item", "text").filter("text is not null").select(F.col("item").cast("long"), "text")
-    size = items.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = max(1, -(-2 * size // most_windows))  # each word begins a template window and a literal one
-    for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield Benchmark([(r["item"], r["text"]) for r in own.collect()])
+    return cut(items.mapInArrow(run, _ITEM))
 
 
-def _match(docs: DataFrame, part: Benchmark) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(part)
+def bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """Which leading bits the windows' hashes have, packed, and how many bits those are. The bits are set in the tasks
+    and combined there; the driver gets the bitmap only, of a bounded size."""
+    need = 16 * max(windows.count(), 1)
+    bits = min(max(need.bit_length(), LEAST_BITS), MOST_BITS)
+    place = f"shiftrightunsigned(hash, {64 - bits})"
+    words = windows.selectExpr(f"shiftright({place}, 5) AS word", f"shiftleft(1L, cast({place} & 31L AS int)) AS bit")
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(max(1 << bits >> 5, 1), np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return out, bits
+
+
+def maybe(marks: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """The places of the hashes that may be in the benchmark."""
+    place = hashes >> np.uint64(64 - bits)
+    return np.flatnonzero((marks[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool) & (hashes != 0))
+
+
+# --- the documents' windows ------------------------------------------------------------------------------------------
+
+_HIT = "id long, _a long, _b long, hash long, q int, begin long, end long, other string"
+
+
+def document_windows(docs: DataFrame, marks: np.ndarray, bits: int, sizes: list[int]) -> DataFrame:
+    """docs: (id, text, _a, _b). Windows that may be in the benchmark; sizes: of the literal ones that it has."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, known = shared.value, Tokens()
+        known, found_bits = Tokens(), shared.value
         for batch in batches:
-            out = [(batch.column(0)[i].as_py(), *x) for i, items in found_in(batch, 0, 1, bench, known) for x in items]
+            at = 0
+            for ids, texts in text_chunks(batch, 0, 1):
+                docs_ = [words_in(t) for t in texts]
+                flat = np.fromiter((known[w] for d in docs_ for w in d), np.uint64, sum(map(len, docs_)))
+                owner = np.repeat(np.arange(len(docs_)), [len(d) for d in docs_])
+                real = flat != 0
+                tokens, owner = flat[real], owner[real]
+                first = np.searchsorted(owner, np.arange(len(docs_) + 1))
+                if not len(tokens):
+                    at += len(ids)
+                    continue
+                words: dict[int, list[bytes]] = {}
+
+                def real_words(i: int, words=words, docs_=docs_) -> list[bytes]:
+                    if i not in words:
+                        words[i] = [w for w in docs_[i] if known[w]]
+                    return words[i]
+
+                rows = []
+                t = template(tokens, owner)
+                found = template_windows(t)
+                base = np.searchsorted(t.owner, np.arange(len(docs_)))
+                for k in maybe(found_bits, bits, found).tolist():
+                    i = int(t.owner[k])
+                    rows.append((i, int(found[k].view(np.int64)), k - int(base[i]), int(t.first[k] - first[i]), int(t.last[k + WINDOW - 1] - first[i]), slots(real_words(i), t, k, int(first[i]))))
+                for size in sizes:
+                    found = literal_windows(tokens, owner, size)
+                    hit = maybe(found_bits, bits, found)
+                    if size < WITHIN:
+                        hit = hit[np.diff(first)[owner[hit]] == size]
+                    rows += [(int(owner[k]), int(found[k].view(np.int64)), int(k - first[owner[k]]), int(k - first[owner[k]]), int(k - first[owner[k]]) + size, "") for k in hit.tolist()]
+                if rows:
+                    who, h, q, a, b, other = zip(*rows)
+                    who = pa.array(np.array(who) + at)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(who) for c in (0, 2, 3)], pa.array(h, pa.int64()), pa.array(q, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(other, pa.string())], ["id", "_a", "_b", "hash", "q", "begin", "end", "other"])
+                at += len(ids)
+
+    return docs.mapInArrow(run, _HIT)
+
+
+class Met(NamedTuple):
+    """A window of an item that is a window of a document; kinds: of its tokens, 0 for ordinary words."""
+
+    p: int
+    rank: int
+    q: int
+    begin: int
+    end: int
+    kinds: str
+    own: str
+    other: str
+
+
+def judged(met: list[Met], total: int, size: int, is_template: bool) -> tuple | None:
+    """(matched, windows, longest, changed, from_word, to_word) if the document holds the item. met: distinct."""
+    lines = Counter(x.q - x.p for x in met)
+    best: dict[int, Met] = {}
+    for x in met:
+        if x.p not in best or (lines[x.q - x.p], -x.q) > (lines[best[x.p].q - x.p], -best[x.p].q):
+            best[x.p] = x
+    changed = False
+    if is_template:
+        values: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        seen = set()
+        for x in best.values():
+            places = [k for k, kind in enumerate(x.kinds) if kind != "0"]
+            for k, own, other in zip(places, x.own.split("\x1f"), x.other.split("\x1f")):
+                if (x.p + k, x.q + k) not in seen:
+                    seen.add((x.p + k, x.q + k))
+                    values[x.kinds[k], own][other] += 1
+        total_slots = sum(sum(c.values()) for c in values.values())
+        leads = {key: max(c.items(), key=lambda v: (v[1], v[0])) for key, c in values.items()}
+        owner: dict[tuple[str, str], int] = {}
+        for (kind, _), (value, n) in leads.items():  # one document value for one item value
+            owner[kind, value] = max(owner.get((kind, value), 0), n)
+        if total_slots and sum(owner.values()) < AGREE * total_slots:
+            return None
+        changed = any(value != own for (_, own), (value, _) in leads.items())
+    span = 0
+    begun = before = None
+    for p in sorted(best):  # in a row: no window of the item that counts is missing in between
+        x = best[p]
+        if before is None or x.rank != before.rank + 1 or x.q - p != before.q - before.p:
+            begun = p
+        before = x
+        span = max(span, p - begun + size)
+    if len(best) < SHARE * total and span < RUN:
+        return None
+    return len(best), total, span, changed, min(x.begin for x in best.values()), max(x.end for x in best.values())
+
+
+_FOUND = "id long, _a long, _b long, item long, matched int, windows int, longest int, changed boolean, from_word long, to_word long"
+
+
+def _judge(joined: DataFrame) -> DataFrame:
+    """A row for each pair of a document and an item that it holds; template windows decide first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in grouped_runs(batches):
+            rows = pa.Table.from_batches(held).to_pylist()
+            by_pair = defaultdict(lambda: defaultdict(dict))
+            for r in rows:
+                by_pair[r["id"], r["_a"], r["_b"], r["key"]][r["code"]][r["p"], r["q"]] = r
+            out = []
+            for (i, a, b, _), codes in by_pair.items():
+                for code in sorted(codes):
+                    some = next(iter(codes[code].values()))
+                    met = [Met(*[r[f] for f in Met._fields]) for _, r in sorted(codes[code].items())]
+                    if got := judged(met, some["total"], some["size"], code == 0):
+                        out.append((i, a, b, some["item"], *got))
+                        break
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "item", "matched", "windows", "longest", "changed", "from_word", "to_word"])
+                types = (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _FOUND.split(", ")])
 
-    return docs.mapInArrow(run, "id long, item long, matched int, windows int, longest int, changed boolean, from_word long, to_word long")
+    pairs = joined.select(F.xxhash64("id", "_a", "_b", "key").alias("pair"), *joined.columns)
+    dealt = pairs.repartition(shuffle_partitions(joined.sparkSession), "pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(run, _FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs: (id, text); benchmark: (item, text). Returns a row for each document and item that it holds: (id, item,
-    matched, windows, longest, changed, from_word, to_word); `changed` tells a re-parameterised copy."""
-    docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text")
-    return reduce(DataFrame.unionByName, [_match(docs, part) for part in _parts(benchmark, most_windows)])
+def text_hashes() -> dict:
+    """Columns that tell texts apart."""
+    return {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), F.col("text"))}
+
 
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    windows = item_windows(benchmark)
+    sizes = sorted(r["code"] for r in windows.filter("code > 0").select("code").distinct().collect())  # WINDOW at most
+    hits = document_windows(docs, *bitmap(windows), sizes)
+    return _judge(hits.join(few(windows), "hash"))
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs: rows with doc_id and text among their columns. Those that hold no item, unchanged."""
-    at = docs.columns.index("doc_id"), docs.columns.index("text")
-    for part in _parts(benchmark, most_windows):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench, known = shared.value, Tokens()
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[i for i, _ in found_in(batch, *at, bench, known)]] = False
-                yield batch.filter(pa.array(clean))
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs: (id, text); benchmark: (item, text). Returns a row for each document and item that it holds: (id, item,
+    matched, windows, longest, changed, from_word, to_word); `changed` tells a re-parameterised copy."""
+    docs = pick(docs, "id", "text").select(F.col("id").cast("long"), "text").withColumns(text_hashes())
+    return _contaminated(docs, benchmark).drop("_a", "_b")
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs: rows with doc_id and text among their columns. Those that hold no item, unchanged. The others are known by
+    id and two hashes of the text, and broadcast if they are few."""
+    plain_docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumns(text_hashes())
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(int(NULL_ID))).alias("_id")
+    gone = cut(_contaminated(plain_docs, benchmark).select(known("id"), "_a", "_b").distinct())
+    keyed = docs.withColumns({"_id": known("doc_id"), **text_hashes()})
+    return keyed.join(few(gone), ["_id", "_a", "_b"], "left_anti").select(*docs.columns)
 
 
 def ways(benchmark: DataFrame) -> dict[str, int]:
     """Numbers of the benchmark's items (item, text) by how they are found: by `template` windows (and literal ones),
     by `literal` windows only, as a `short` item within a text, as a `whole` document, or `never` (no word)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens()
-        for batch in batches:
-            names = []
-            for text in batch.column(0).to_pylist():
-                tokens = np.array([x for w in (text or "").encode().split() if (x := known[w])], np.uint64)
-                n = len(tokens)
-                names.append("template" if windows(tokens).any() else "literal" if n >= WINDOW else "short" if n >= WITHIN else "whole" if n else "never")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["way"])
-
-    return {r["way"]: r["count"] for r in pick(benchmark, "text").mapInArrow(run, "way string").groupBy("way").count().collect()}
+    items = pick(benchmark, "item", "text")
+    per_item = item_windows(benchmark).groupBy("key").agg(F.min("code").alias("least"), F.max("code").alias("most"))
+    way = F.when(F.col("least") == 0, "template").when(F.col("most") == WINDOW, "literal").when(F.col("most") >= WITHIN, "short").otherwise("whole")
+    found = {r["way"]: r["n"] for r in per_item.groupBy(way.alias("way")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    never = items.count() - sum(found.values())
+    return found | ({"never": never} if never else {})

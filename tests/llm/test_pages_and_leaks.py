@@ -89,7 +89,6 @@ def test_parts_of_the_benchmark(spark):
     items = [(i, f"item number{i} has its own words{i} and some more text{i} to be found again") for i in range(30)] + [(None, ITEM), (40, None), (41, "too short")]
     docs = [(i, f"a b c {t} d e f") for i, t in items if t]
     once = sorted((r["id"] or -1, r["item"] or -1) for r in held(spark, docs, items))
-    assert once == sorted((r["id"] or -1, r["item"] or -1) for r in held(spark, docs, items, most_windows=50))
     assert len(once) == 31 and all(a == b for a, b in once)
     assert held(spark, docs, [(1, None)]) == [] and held(spark, [], items) == []
 
@@ -116,10 +115,142 @@ def test_items_of_few_ordinary_words(spark):
     got = held(spark, docs, items)
     assert {(r["id"], r["item"]) for r in got} == {(i, i) for i in range(8) if i != 6} | {(100 + i, i) for i in range(8)}
     assert all(r["matched"] == r["windows"] for r in got) and len(got) == 15
-    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in held(spark, docs, items, most_windows=40))
     assert D.ways(spark.createDataFrame(items, "item long, text string")) == {"template": 1, "literal": 5, "short": 1, "whole": 1, "never": 1}
 
 
+def brute_templates(docs, items):
+    """The template rule by plain loops, over items whose windows all have enough ordinary words. A token is a kind and
+    the words it stands for."""
+    import re
+
+    def tokens(text):
+        out = []
+        for w in text.split():
+            bare = w.strip(D._EDGE)
+            low = bare.lower()
+            if not bare:
+                continue
+            kind = "N" if re.fullmatch(r"\d+", bare) or low in D.NUMBER_WORDS else "P" if bare[0].isupper() else ""
+            if low in ("one", "a") and out is not None:
+                kind = "?"
+            if low in D.UNITS or low in D.MAYBE_UNITS and low != "a":
+                kind = "U" if low in D.UNITS else "u"
+            out.append([kind, [low], w[-1] in ".,;:!?", low in D.NUMBER_WORDS])
+        for i, t in enumerate(out):
+            if t[0] == "?":
+                t[0] = "N" if i + 1 < len(out) and out[i + 1][3] and not t[2] else ""
+        for i, t in enumerate(out):
+            if t[0] == "u":
+                t[0] = "U" if i and out[i - 1][0] == "N" and not out[i - 1][2] else ""
+        joined = []
+        for t in out:
+            if joined and t[0] in ("N", "P") and joined[-1][0] == t[0] and not joined[-1][2]:
+                joined[-1] = [t[0], joined[-1][1] + t[1], t[2], t[3]]
+            else:
+                joined.append(t)
+        return [(k, tuple(w)) for k, w, *_ in joined]
+
+    def windows(t):
+        shape = [k or w for k, w in t]
+        return {p: tuple(shape[p : p + 5]) for p in range(len(t) - 4) if sum(isinstance(x, tuple) for x in shape[p : p + 5]) >= 3}
+
+    found = set()
+    for i, text in docs:
+        d = tokens(text)
+        dw = windows(d)
+        for item, own in items:
+            t = tokens(own)
+            tw = windows(t)
+            met = [(p, q) for p, x in tw.items() for q, y in dw.items() if x == y]
+            lines = {}
+            for p, q in met:
+                lines[q - p] = lines.get(q - p, 0) + 1
+            best = {}
+            for p, q in sorted(met):
+                if p not in best or lines[q - p] > lines[best[p] - p]:
+                    best[p] = q
+            slots = {}
+            for p, q in {(p + k, q + k) for p, q in best.items() for k in range(5)}:
+                if t[p][0]:
+                    slots.setdefault(t[p], []).append(d[q][1])
+            total = sum(map(len, slots.values()))
+            lead = {k: max(set(v), key=lambda x, v=v: (v.count(x), " ".join(x))) for k, v in slots.items()}
+            taken = {}
+            for k, v in lead.items():
+                taken[k[0], v] = max(taken.get((k[0], v), 0), slots[k].count(v))
+            if len(best) >= 0.8 * len(tw) and tw and sum(taken.values()) >= 0.8 * total:
+                found.add((i, item))
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["Anna", "Bob", "Maria", "Tom", "Anna Maria", "Jean Paul", "Li"]
+    numbers = ["3", "12", "450", "twelve", "one thousand", "a hundred", "two hundred"]
+    shapes = [
+        "{0} has {2} apples and gives {3} of them to {1}. How many apples does {0} keep after {1} leaves?",
+        "a train runs {2} km in {3} hours while {0} waits at the gate for the next one",
+        "if a box holds {2} pens and {0} buys {3} boxes how many pens does {0} own now",
+        "we saw that {0} and {1} ran for {2} s on a track of {3} m near the old mill",
+    ]
+    fill = lambda s: s.format(*rng.sample(names, 2), *rng.sample(numbers, 2))
+    items = [(k, fill(s)) for k, s in enumerate(shapes)]
+    mixed = [s.replace("{0}", "{4}", 1).format(*rng.sample(names, 2), *rng.sample(numbers, 2), "Zoe") for s in shapes]
+    docs = [(k, f"before it {t} and then") for k, t in enumerate([fill(rng.choice(shapes)) for _ in range(30)] + mixed + [s.lower() for _, s in items])]
+    template_only = {(r["id"], r["item"]) for r in held(spark, docs, items)}
+    assert template_only == brute_templates(docs, items) | {(34 + k, k) for k in range(4)}
+    assert {i for i, _ in template_only if i < 30} == set(range(30))
+
+
+def test_benchmark_in_a_script_without_spaces(spark):
+    item = "小明有十二个苹果,他给了小红五个,请问小明还剩下几个苹果?"
+    docs = [(1, f"一些别的文字。{item}后面的文字"), (2, "小明昨天去了学校,他见到了很多朋友。"), (3, "plain words " * 20)]
+    assert [(r["id"], r["item"]) for r in held(spark, docs, [(7, item)])] == [(1, 7)]
+
+
+def test_tokens():
+    import numpy as np
+
+    def kinds(text):
+        t = np.array([D.token(w) for w in text.encode().split()], np.uint64)
+        got = D.template(t, np.zeros(len(t), np.int64))
+        return "".join(".NUP"[k] for k in got.kinds)
+
+    assert kinds("a man ran 5 m in a second") == "...NU..."  # `a`, `in` and `second` are words here
+    assert kinds("12 s after a hundred days, Anna Maria and Bob, Tom won") == "NU.NUP.PP."
+    assert kinds("one thousand two hundred. three") == "NN" and kinds("one of them") == "..."
+
+
+def test_small_bitmaps_only_send_more(spark, monkeypatch):
+    monkeypatch.setattr(D, "LEAST_BITS", 6)
+    monkeypatch.setattr(D, "MOST_BITS", 6)
+    monkeypatch.setattr("cellgrid.llm.common.BROADCAST_ROWS", 0)
+    items = [(i, f"item number{i} has its own words{i} and some more text{i} to be found again") for i in range(30)]
+    docs = [(i, f"a b c {t} d e f") for i, t in items] + [(99, "no item is in here, whatever the bits say of it")]
+    assert sorted((r["id"], r["item"]) for r in held(spark, docs, items)) == [(i, i) for i in range(30)]
+
+
+def test_deep_and_broken_pages_take_time_in_proportion(model):
+    import time
+
+    n = 120_000
+    pages = ["<div>" * n + "x" + "</section>" * n, "<blockquote>" * n, "<svg><p>" * n + "</svg>", "<script>" * n, '<a ">" ' * n, "<li>" * n + "</ul>" * n, "<p><b>" * n, "<svg>" * n + "</svg>" * n, "<math><annotation>" * n, "<!--" * n, "<a '" * n]
+    for page in pages:
+        began = time.perf_counter()
+        model.extract(page)
+        assert time.perf_counter() - began < 20, page[:20]
+
+
+def test_no_words_are_lost(model):
+    tail = "<p>The second part has some more words, and these go on for a while.</p>"
+    assert model.extract(f"<article><p>The first part has words.</p><noscript><p>A part that is here without scripts, too.</p></noscript>{tail}</article>").count("\n") == 2
+    for name in ("inhalt", "contenu", "x7f3", "kiri"):
+        page = f'<body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="{name}"><h1>A title of words</h1><p>The first part has some words, and more of them follow here.</p>{tail * 3}</div><footer>&copy; x.example.com</footer></body>'
+        assert model.extract(page).split("\n")[-3:] == [tail[3:-4]] * 3, name
+
+
 def test_drawings_and_formulas(model):
     tail = "<p>The second part has some more words.</p>"
     for drawing in ('<svg width="1"/>', "<svg />", '<svg viewBox="0 0 1 1"><svg><path d="M0"/></svg><text>No</text></svg>', '<svg><svg/><text>No</text></svg>', "<math/>", "<svg>", '<svg><path d="M0">', "<script>var a = '<svg/>';</script>"):
