@@ -6,7 +6,6 @@ import configparser
 import json
 import logging
 import os
-import shutil
 import struct
 from pathlib import Path
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions.healpix import check_convention, check_nside, check_order, npix_of, unwrapped, with_cell, with_corner_degrees, with_corners
 from cellgrid.sources.metadata import GridMeta, Stage, read_meta, resolve_nside
 from cellgrid.sources.observations import cells
-from cellgrid.sources.places import place, stamp
+from cellgrid.sources.places import place, remove, size, stamp
 
 log = logging.getLogger(__name__)
 
@@ -289,7 +288,7 @@ def manage_cache(spark: SparkSession, action: str, nsides: list[int] | None = No
         return [{"cache_dir": str(root), "config_dir": str(config_dir()), **load_settings()}]
     if action in ("list", "info"):
         found = sorted(root.glob("nside_*_spherical.parquet")) if root.exists() else []
-        return [{"name": p.name, "bytes": sum(f.stat().st_size for f in p.rglob("*") if f.is_file()) if p.is_dir() else p.stat().st_size} for p in found]
+        return [{"name": p.name, "bytes": size(p)} for p in found]
     if action not in ("generate", "verify", "clean"):
         raise ValueError(f"unknown action {action!r}")
     done = []
@@ -306,7 +305,7 @@ def manage_cache(spark: SparkSession, action: str, nsides: list[int] | None = No
         else:
             there = path.exists()
             if there:
-                shutil.rmtree(path) if path.is_dir() else path.unlink()
+                remove(path)
             done.append({"nside": n, "removed": there})
     return done
 

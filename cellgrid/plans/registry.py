@@ -6,7 +6,6 @@ differ in a sum's last bit.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,7 @@ from cellgrid.functions import healpix
 from cellgrid.operators import aggregate, assign, display, geo, psf, quality
 from cellgrid.plans import oracle as sql
 from cellgrid.sources import observations
+from cellgrid.sources.metadata import GridMeta
 from cellgrid.streaming import state, stream
 
 NSIDE = 32
@@ -266,11 +266,17 @@ STATE = f"SELECT healpix_id, count(v) AS v_n, sum(v) / count(v) AS v_mean, CASE
 
 
 def three_batches(spark, sf_dir, sketches: bool = False) -> DataFrame:
-    obs = rows(spark, sf_dir)
+    """The state after three batches; each batch takes the saved state of the one before."""
+    folder = stream.checkpoint_folder(spark)
+    obs = rows(spark, sf_dir).select("source_id", "lon", "lat", "v")
+    obs.write.parquet(f"{folder}/observations")
+    obs = spark.read.parquet(f"{folder}/observations")
     side = sidecar(obs)
     held = None
     for k in range(3):
-        held = state.accumulate(obs.filter(F.pmod("source_id", F.lit(3)) == k), side, ["v"], held, sketches, check_unique=False)
+        after = state.accumulate(obs.filter(F.pmod("source_id", F.lit(3)) == k), side, ["v"], held, sketches, check_unique=False)
+        state.save_state(after, f"{folder}/state_{k}.parquet", GridMeta(NSIDE))
+        held, _ = state.load_state(spark, f"{folder}/state_{k}.parquet")
     return held
 
 
@@ -307,13 +313,12 @@ def state_vs_batch(spark, sf_dir):
 
 @query(f"SELECT healpix_id, count(v) AS n, {sql.micro('sum(v) / count(v)', 'mean')}, {sql.micro('min(v)', 'least')}, {sql.micro('max(v)', 'greatest')} FROM ({CELLS_ALL}) GROUP BY 1")
 def stream_state(spark, sf_dir):
-    """The state of a file stream, run until nothing is left; the result is as large as the grid at most."""
+    """The state of a file stream, run until nothing is left; each batch leaves a version of it."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     items = stream.read_stream(spark, f"{sf_dir}/lineitem*.parquet", schema)
-    name = f"stream_state_{uuid.uuid4().hex}"
-    held = stream.streaming_state(placed(items), NSIDE, ["v"], sketches=False)
-    stream.run_to_table(held, name, stream.checkpoint_folder(spark)).awaitTermination()
-    return spark.table(name).select("healpix_id", "n", micro(F.col("sum") / F.col("n"), "mean"), micro("min", "least"), micro("max", "greatest"))
+    folder = stream.checkpoint_folder(spark)
+    stream.run_versions(placed(items), f"{folder}/states", NSIDE, ["v"], f"{folder}/progress", sketches=False).awaitTermination()
+    return spark.read.parquet(str(stream.latest_version(f"{folder}/states"))).select("healpix_id", "n", micro(F.col("sum") / F.col("n"), "mean"), micro("min", "least"), micro("max", "greatest"))
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------

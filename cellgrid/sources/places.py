@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,25 @@ def place(path) -> Path | Remote:
     return Remote(text) if "://" in text else Path(path)
 
 
+def size(path: Path | Remote) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    if isinstance(path, Remote):
+        system, at = path._system()
+        return system.getContentSummary(at).getLength()
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file()) if path.is_dir() else path.stat().st_size
+
+
+def remove(path: Path | Remote) -> None:
+    """Deletes a file, or a folder with all below it."""
+    if isinstance(path, Remote):
+        system, at = path._system()
+        system.delete(at, True)
+    elif path.is_dir():
+        shutil.rmtree(path)
+    else:
+        path.unlink()
+
+
 def _spark() -> SparkSession:
     spark = SparkSession.getActiveSession()
     if spark is None:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cellgrid.functions.healpix import with_cell
 from cellgrid.operators.assign import in_bounds
 from cellgrid.sources.observations import number
+from cellgrid.sources.places import place
 from cellgrid.streaming.state import long_values, merged, partial
 
 
@@ -64,5 +65,5 @@ def windowed_state(stream: DataFrame, time: str, length: str, late: str, nside:
 
 
 def latest_version(folder: str | Path) -> Path | None:
-    found = sorted(Path(folder).glob("state_v*"))
+    found = sorted(place(folder).glob("state_v*"))
     return found[-1] if found else None

@@ -111,3 +111,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("geoparquet", out, tmp_path / "geo.parquet") == 0
     assert run("geoparquet", tmp_path / "obs.parquet", tmp_path / "geo2.parquet") == 2
     assert "Traceback" not in capsys.readouterr().err
+
+
+def test_remote_paths(spark, tmp_path):
+    """Metadata, listings, footers and caches on a file system that only Spark opens."""
+    from cellgrid.operators import assign, geo
+    from cellgrid.sources import places
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    root = "viewfs://store/in"
+    obs = spark.createDataFrame([(k, k * 7.0 % 360, k * 3.0 % 90) for k in range(50)], "source_id long, lon double, lat double")
+    obs.write.parquet(f"{root}/obs.parquet")
+    for nside in (4, 8):
+        path = M.sidecar_path(f"{root}/obs.parquet", "fuzzy", nside)
+        assert str(path).startswith(f"{root}/obs.cell-healpix")
+        O.write_table(assign.assign_points(obs, nside), path, M.GridMeta(nside, mode="fuzzy", file_type="sidecar"))
+    found = O.list_sidecars(f"{root}/obs.parquet", spark=spark)
+    assert [(r["nside"], r["rows"]) for r in found] == [(4, 50), (8, 50)]
+    assert str(O.find_sidecar(f"{root}/obs.parquet", 8)) == found[1]["path"]
+    geo.manage_cache(spark, "generate", [2], folder=f"{root}/cache")
+    assert geo.cell_polygons(spark, 2, cache="require", cache_dir=f"{root}/cache").count() == 48
+    assert geo.manage_cache(spark, "list", folder=f"{root}/cache")[0]["bytes"] > 0
+    assert geo.manage_cache(spark, "clean", [2], folder=f"{root}/cache") == [{"nside": 2, "removed": True}]
+    out = geo.to_geoparquet(spark.createDataFrame([(1, 2.0)], "healpix_id long, v double"), f"{root}/map.parquet", 2)
+    assert places.read_geoparquet(spark, out)[0].count() == 1 and places.footer(places.part_files(out)[0])["columns"] == ["healpix_id", "v", "geometry"]
+    assert places.place("file:///a/b").as_posix() == "/a/b" and places.place("s3a://b/c.parquet").with_name("d") == places.Remote("s3a://b/d")
+    assert "rows in" in O.file_text(f"{root}/obs.parquet")
+
+
+def test_command_line_weights(spark, tmp_path, capsys):
+    path = str(tmp_path / "obs.parquet")
+    spark.createDataFrame([(k, k * 7.0 - 180, k * 3.0 % 90) for k in range(50)], "source_id long, center_longitude double, center_latitude double").write.parquet(path)
+    assert cli.main(["sidecar", path, "--nside", "4", "--no-bounds", "--data-psf", "gaussian", "--cell-psf", "gaussian", "--psf-combine", "sum", "-y"], spark) == 0
+    side = spark.read.parquet(json.loads(capsys.readouterr().out)[0])
+    sums = {round(r["s"], 9) for r in side.groupBy("healpix_id").agg({"weight": "sum"}).toDF("c", "s").collect()}
+    assert side.count() == 50 and sums == {1.0}
+    assert cli.main(["sidecar", path, "--nside", "4", "--no-bounds", "--data-psf", "gaussian", "--cell-psf", "gaussian", "--psf-combine", "sum", "--no-psf-normalise", "-y"], spark) == 0
+    assert {r["weight"] for r in spark.read.parquet(json.loads(capsys.readouterr().out)[0]).collect()} == {2.0}
+
+
+def test_samples(spark):
+    rows = spark.range(1000).selectExpr("id % 100 AS k")
+    some = O.sample(rows, 0.3, key="k")
+    n = {r["k"]: r["count"] for r in some.groupBy("k").count().collect()}
+    assert 10 < len(n) < 55 and set(n.values()) == {10} and 200 < O.sample(rows, 0.3, seed=1).count() < 400
+    with pytest.raises(ValueError):
+        O.sample(rows, 1.5)
