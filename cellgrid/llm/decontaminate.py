@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import NULL_ID, cut, few, grouped_runs, pick, remix, shuffle_partitions, text_chunks
+from cellgrid.llm.common import NULL_ID, cut, few, grouped_runs, pick, remix, shuffle_partitions, text_chunks, words_of
 
 WINDOW = 5
 SHARE = 0.8
@@ -47,8 +47,8 @@ LITERALS = 3
 #: Items of fewer words match whole documents only.
 WITHIN = 3
 AGREE = 0.8
-#: Bits of the bitmap: at least 16 for a window, within these powers of two.
-LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of the bitmap: at least 256 for a window, within these powers of two.
+LEAST_BITS, MOST_BITS = 24, 27
 
 NUMBER, UNIT, NAME = 1, 2, 3
 #: Kinds that the neighbours decide: a unit behind a number, a number before a number word, and number words.
@@ -69,19 +69,33 @@ _DENSE = re.compile(r"[฀-໿က-႟ក-៿々-ヿ㐀-䶿一-鿿豈-﫿]")
 _DENSE_BYTES = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef]")
 
 
-def words_in(text: bytes) -> list[bytes]:
-    """The words of a text, and the characters of scripts without spaces."""
+def spaced(text: bytes) -> bytes:
+    """The text with spaces around the characters of scripts without spaces."""
     if _DENSE_BYTES.search(text):
         text = _DENSE.sub(r" \g<0> ", text.decode("utf-8", "replace")).encode()
-    return text.split()
+    return text
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """The words of a text that are not marks only."""
+    return [w for w in spaced(text).split() if token(w)]
 
 
 def plain(word: bytes) -> str:
     return word.decode("utf-8", "replace").strip(_EDGE).lower()
 
 
+#: Kinds of words by themselves, as bytes.
+_KINDS = {w.encode(): kind for words, kind in ((MAYBE_UNITS, MAYBE_UNIT), (UNITS, UNIT), (NUMBER_WORDS, NUMBER_WORD), (BEFORE_NUMBER_WORDS, MAYBE_NUMBER)) for w in words}
+
+
 def token(word: bytes) -> int:
     """A hash of the case-folded word with its kind and whether a mark ends it in the low bits; 0 for marks only."""
+    bare = word.rstrip(b".,;:!?")
+    if bare.isalpha():  # the common case: ASCII letters and marks behind them
+        low = bare.lower()
+        kind = _KINDS.get(low) or (0 if bare[0] > 90 else NAME)
+        return xxhash.xxh3_64_intdigest(low) & ~LOW | 16 | (STOP if len(bare) < len(word) else 0) | kind
     text = word.decode("utf-8", "replace")
     bare = text.strip(_EDGE)
     if not bare:
@@ -103,17 +117,27 @@ def token(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(low.encode()) & ~LOW | 16 | stop | kind
 
 
-class Tokens(dict):
-    """Tokens of words, remembered; bounded."""
+class Tokens:
+    """Tokens of texts' words; those of the words met last are remembered by hash, in tables of a fixed size."""
 
-    def __init__(self, most: int = 300_000):
-        self.most = most
+    def __init__(self, bits: int = 20):
+        self.bits = bits
+        self.tag, self.value = np.zeros((2, 1 << bits), np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        got = self[word] = token(word)
-        return got
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' tokens in a row, but for marks, and the text of each."""
+        words = words_of([spaced(t) for t in texts])
+        place = (words.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.value[place]
+        new = np.flatnonzero(self.tag[place] != words.hashes)
+        if len(new):
+            fresh, first, which = np.unique(words.hashes[new], return_index=True, return_inverse=True)
+            got = np.fromiter((token(words.word(i)) for i in new[first].tolist()), np.uint64, len(fresh))
+            out[new] = got[which]
+            self.tag[place[new[first]]], self.value[place[new[first]]] = fresh, got
+        owner = np.repeat(np.arange(len(texts)), words.counts)
+        real = out != 0
+        return out[real], owner[real]
 
 
 class Template(NamedTuple):
@@ -191,15 +215,15 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """A row for each window that counts of each item; code: 0 for template windows, else the size of literal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = Tokens(), TaskContext.get().partitionId() << 33
+        count = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 count += 1
-                words = [w for w in words_in((text or "").encode()) if known[w]]
+                words = words_in((text or "").encode())
                 if not words:
                     continue
-                tokens = np.array([known[w] for w in words], np.uint64)
+                tokens = np.array([token(w) for w in words], np.uint64)
                 owner = np.zeros(len(words), np.int64)
                 t = template(tokens, owner)
                 found = template_windows(t)
@@ -221,7 +245,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
     """Which leading bits the windows' hashes have, packed, and how many bits those are. The bits are set in the tasks
     and combined there; the driver gets the bitmap only, of a bounded size."""
-    need = 16 * max(windows.count(), 1)
+    need = 256 * max(windows.count(), 1)
     bits = min(max(need.bit_length(), LEAST_BITS), MOST_BITS)
     place = f"shiftrightunsigned(hash, {64 - bits})"
     words = windows.selectExpr(f"shiftright({place}, 5) AS word", f"shiftleft(1L, cast({place} & 31L AS int)) AS bit")
@@ -251,29 +275,25 @@ def document_windows(docs: DataFrame, marks: np.ndarray, bits: int, sizes: list[
         for batch in batches:
             at = 0
             for ids, texts in text_chunks(batch, 0, 1):
-                docs_ = [words_in(t) for t in texts]
-                flat = np.fromiter((known[w] for d in docs_ for w in d), np.uint64, sum(map(len, docs_)))
-                owner = np.repeat(np.arange(len(docs_)), [len(d) for d in docs_])
-                real = flat != 0
-                tokens, owner = flat[real], owner[real]
-                first = np.searchsorted(owner, np.arange(len(docs_) + 1))
+                tokens, owner = known(texts)
+                first = np.searchsorted(owner, np.arange(len(texts) + 1))
                 if not len(tokens):
                     at += len(ids)
                     continue
                 words: dict[int, list[bytes]] = {}
 
-                def real_words(i: int, words=words, docs_=docs_) -> list[bytes]:
+                def own_words(i: int, words=words, texts=texts) -> list[bytes]:
                     if i not in words:
-                        words[i] = [w for w in docs_[i] if known[w]]
+                        words[i] = words_in(texts[i])
                     return words[i]
 
                 rows = []
                 t = template(tokens, owner)
                 found = template_windows(t)
-                base = np.searchsorted(t.owner, np.arange(len(docs_)))
+                base = np.searchsorted(t.owner, np.arange(len(texts)))
                 for k in maybe(found_bits, bits, found).tolist():
                     i = int(t.owner[k])
-                    rows.append((i, int(found[k].view(np.int64)), k - int(base[i]), int(t.first[k] - first[i]), int(t.last[k + WINDOW - 1] - first[i]), slots(real_words(i), t, k, int(first[i]))))
+                    rows.append((i, int(found[k].view(np.int64)), k - int(base[i]), int(t.first[k] - first[i]), int(t.last[k + WINDOW - 1] - first[i]), slots(own_words(i), t, k, int(first[i]))))
                 for size in sizes:
                     found = literal_windows(tokens, owner, size)
                     hit = maybe(found_bits, bits, found)
