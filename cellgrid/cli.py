@@ -65,14 +65,21 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--lon")
     s.add_argument("--lat")
     s.add_argument("--lon-convention")
+    s.add_argument("--geometry", help="WKB column; of the centres of its first footprints")
+    s.add_argument("--sample-size", type=int, default=10_000, help="how many of those")
     s.add_argument("--save", action="store_true")
 
+    s = sub.add_parser("schema", help="columns, what the footers tell, and the first rows")
+    s.add_argument("input")
+    s.add_argument("--rows", type=int, default=0)
+
     s = sub.add_parser("aggregate", help="reduce observations per cell")
     s.add_argument("input")
     s.add_argument("--columns", type=_names, required=True)
     s.add_argument("--aggs", type=_names, default=list(aggregate.DEFAULT))
     s.add_argument("--sidecar-index", default="all", help="all, or numbers of the listing")
     s.add_argument("--list", action="store_true")
+    s.add_argument("--stats", action="store_true", help="with --list: rows and cells of each sidecar")
     s.add_argument("--filter")
     s.add_argument("--min-count", type=int, default=1)
     s.add_argument("--sentinel", type=float, default=observations.SENTINEL)
@@ -160,16 +167,24 @@ def run_sidecar(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def run_stats(spark: SparkSession, a: argparse.Namespace) -> dict:
     obs = spark.read.parquet(a.input)
-    lon, lat = _lonlat(a, obs.columns)
-    found = quality.geo_stats(obs, lon, lat, a.lon_convention).first().asDict()
+    if a.geometry:
+        found = quality.footprint_stats(obs.withColumn("vertices", geo.wkb_vertices(a.geometry)), a.sample_size).first().asDict()
+    else:
+        found = quality.geo_stats(obs, *_lonlat(a, obs.columns), a.lon_convention).first().asDict()
     found["suggested_convention"] = quality.suggest_convention(found)
     if a.save:
         metadata.stats_path(a.input).write_text(json.dumps(found, indent=2))
     return found
 
 
+def run_schema(spark: SparkSession, a: argparse.Namespace) -> dict:
+    df = spark.read.parquet(a.input)
+    rows = [r.asDict(recursive=True) for r in observations.head(df, a.rows).collect()] if a.rows else []
+    return {"columns": observations.schema_text(df).splitlines(), "files": observations.file_text(a.input).splitlines(), "rows": rows}
+
+
 def run_aggregate(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
-    found = observations.list_sidecars(a.input, a.sidecar_dir)
+    found = observations.list_sidecars(a.input, a.sidecar_dir, spark if a.list and a.stats else None)
     if a.list:
         return found
     chosen = list(range(len(found))) if a.sidecar_index == "all" else [int(x) for x in a.sidecar_index.split(",")]
@@ -243,7 +258,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, format="%(levelname)s %(message)s")
     spark = spark or session()
-    run = {"sidecar": run_sidecar, "stats": run_stats, "aggregate": run_aggregate, "accumulate": run_accumulate, "finalize": run_finalize, "geoparquet": run_geoparquet, "cache": lambda s, a: geo.manage_cache(s, a.action, a.nside, a.order, a.cache_dir, a.force)}[a.command]
+    run = {"sidecar": run_sidecar, "stats": run_stats, "schema": run_schema, "aggregate": run_aggregate, "accumulate": run_accumulate, "finalize": run_finalize, "geoparquet": run_geoparquet, "cache": lambda s, a: geo.manage_cache(s, a.action, a.nside, a.order, a.cache_dir, a.force)}[a.command]
     try:
         print(json.dumps(run(spark, a), indent=2, default=str))
     except (ValueError, KeyError, OSError, AssertionError, AnalysisException) as e:

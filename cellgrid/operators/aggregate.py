@@ -56,20 +56,21 @@ def check_aggregates(names: list[str] | tuple[str, ...]) -> None:
 ARRAY_ROWS = 1 << 20
 
 
-def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] = DEFAULT, min_count: int = 1, key: str = "healpix_id", n_valid: bool = False, array_rows: int = ARRAY_ROWS) -> DataFrame:
+def reduce_cells(joined: DataFrame, columns: list[str], aggs: tuple[str, ...] = DEFAULT, min_count: int = 1, key: str = "healpix_id", n_valid: bool = False, array_rows: int = ARRAY_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """One row a cell: {column}_{aggregate} and n_sources, the number of rows with or without a value. Cells of fewer
     than `min_count` rows keep their count but no values.
 
     One shuffle: mean, std, min and max are combined before it, and the robust ones are taken from one sorted array of
     the cell's values in the same pass. Where robust ones are asked for, cells of more than `array_rows` rows, which the
-    rows' count by cell tells first, are reduced without gathering them, to the same values.
+    rows' count by cell tells first, are reduced without gathering them, to the same values. counted: a table with as many
+    rows in each cell, where there is one that is cheaper to count.
     """
     check_aggregates(aggs)
     if min_count < 1:
         log.warning("min_count %s hides no cell", min_count)
     rows = joined.filter(F.col(key).isNotNull()) if joined.schema[key].nullable else joined
     robust = any(a in (*ROBUST, "median") for a in aggs)
-    crowded = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > array_rows).select(key) if robust else None
+    crowded = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > array_rows).select(key) if robust else None
     if crowded is None or crowded.isEmpty():
         return _by_arrays(rows, columns, aggs, min_count, key, n_valid)
     apart = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -130,7 +131,7 @@ def aggregate_by_sidecar(obs: DataFrame, sidecar: DataFrame, columns: list[str],
     kept = obs if unique else first_of_each(obs, source_id, order)
     values = kept.select(F.col(source_id).cast("long").alias("source_id"), *[value(c, sentinel).alias(c) for c in columns])
     side = sidecar.select(F.col("source_id").cast("long").alias("source_id"), F.col(cell).cast("long").alias(cell))
-    return reduce_cells(side.join(values, "source_id", "left"), columns, aggs, min_count, cell, n_valid)
+    return reduce_cells(side.join(values, "source_id", "left"), columns, aggs, min_count, cell, n_valid, counted=side)
 
 
 def aggregate_points(obs: DataFrame, nside: int, columns: list[str], aggs: tuple[str, ...] | None = None, lon: str = "lon", lat: str = "lat", convention: str = "0_360", min_count: int = 1, sentinel: float | None = SENTINEL, order: str = "nested") -> DataFrame:

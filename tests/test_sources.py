@@ -95,6 +95,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("sidecar", path, "--nside", "2") == 2  # it is there
     assert run("stats", path, "--save") == 0 and json.loads((tmp_path / "obs.geo_stats.json").read_text())["total"] == 200
     assert [r["nside"] for r in O.list_sidecars(path)] == [2, 4] and O.find_sidecar(path, 4).exists()
+    capsys.readouterr()
+    assert run("aggregate", path, "--columns", "v", "--list", "--stats") == 0 and [r["rows"] for r in json.loads(capsys.readouterr().out)] == [200, 200]
+    assert run("schema", path, "--rows", 2) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert "v: double" in told["columns"] and len(told["rows"]) == 2 and sum(int(x.split(": ")[1].split()[0]) for x in told["files"]) == 200
     assert run("aggregate", path, "--columns", "v", "--densify", "--dry-run") == 0
     assert run("aggregate", path, "--columns", "v", "--filter", "v > 5") == 0
     out = M.aggregate_path(path, O.find_sidecar(path, 2))
