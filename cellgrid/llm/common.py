@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -84,9 +85,12 @@ def cut(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles behind tables that were cut; it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffles behind tables that were cut. It does so when the driver's JVM collects garbage, of
+    cached tables in one round and of what these were made from in a later one."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def splittable(small: DataFrame) -> DataFrame:

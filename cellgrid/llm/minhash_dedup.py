@@ -321,7 +321,6 @@ def _labelled(docs: DataFrame, words: int, percent: int, parts: int) -> DataFram
     leaders = tables.groupBy("key").agg(F.max(F.struct("w", "num")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("lead.num").alias("u"))
     met = tables.select("key", F.col("num").alias("v")).join(splittable(leaders), "key").filter("u != v").select("u", "v").distinct()
     first = cut(_alike(cut(met), members, percent, sketch))
-    release(spark)
     wanted = cut(nodes.join(members.select("num"), "num").select("num", "node", "id"))
     texts = docs.select("id", "text").join(few(wanted.select(F.col("id").alias("wanted")).distinct()), F.coalesce("id", F.lit(int(NULL_ID))) == F.col("wanted"), "left_semi")
     found = _sets(texts, words).join(few(wanted.select("num", "node")), "node").groupBy("num").agg(F.first("set").alias("set"))
@@ -333,7 +332,6 @@ def _labelled(docs: DataFrame, words: int, percent: int, parts: int) -> DataFram
     placed = tables.join(label, "num", "left").select("key", "one", "num", F.coalesce("component", "num").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
     open_ = cut(placed.join(splittable(mixed), "key").select("one", "num", "component").distinct().join(members.select("num", "n"), "num"))
-    release(spark)
     later = cut(_rest(open_, members, sets, percent, sketch))
     label = components(links.unionByName(later), "num")
     known = nodes.join(label, "num", "left").select("node", "id", F.coalesce("component", "num").alias("component"))
@@ -375,4 +373,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     marks = cut(gone.unionByName(again).distinct().withColumnRenamed("id", "_id"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))), **hashes})
     marked = keyed.join(few(marks), ["_id", "_a", "_b"], "left")
-    return marked.filter("_again is null").select(*names).unionByName(marked.filter("_again").dropDuplicates(["_id", "_a", "_b"]).select(*names))
+    stays = marked.filter("_again is null").select(*names)
+    if marks.filter("_again").isEmpty():  # no repeated rows, so no second look at the texts
+        return stays
+    return stays.unionByName(marked.filter("_again").dropDuplicates(["_id", "_a", "_b"]).select(*names))

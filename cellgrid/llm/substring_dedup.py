@@ -6,15 +6,21 @@ pair left-right by a name for the pair. A name is a hash of the round and of wha
 alike without asking each other. Equal stretches of text get equal symbols but for a few at their borders; every symbol
 therefore carries its context, the words from which it follows.
 
-Of the symbols of the highest round whose context lies within a window, the one whose context has the least hash is the
-window's anchor, so equal windows have equal anchors, and neighbouring windows mostly share one. Documents exchange their anchors; those that only one
-document has end there. Windows with a shared anchor are then exchanged themselves, by 128-bit hashes of their words,
-which confirms or refutes the repeat. A window that also starts in a document with a smaller id is removed with all its
-words.
-
-Both exchanges pack their entries into arrays by buckets: an anchor or window enters once for each block of documents
-that has it, so a passage that a third of all documents share costs a bucket an entry a block. Blocks of documents and
-buckets have a bounded size; more data means more of them.
+Rounds go on until a text is one symbol (or DEEP of them are done). High symbols, which stand for two windows' words or
+more, reveal long repeats: documents exchange them by 96 bits of a hash of the words they stand for, which verifies them,
+and where a document with a smaller id has the same symbol, all windows within it are known to be repeated.
+
+For shorter repeats and the borders of long ones, low symbols serve as anchors: of the symbols of the second round whose
+context lies within a window, the one whose context has the least hash is the window's anchor, so equal windows have
+equal anchors, and neighbouring windows mostly share one. Anchors travel with the high symbols; those that only one
+document has end there. Windows with a shared anchor that no high symbol has settled are then exchanged themselves, by
+128-bit hashes of their words, which confirms or refutes the repeat. The document with the least id of all that have a
+window always sends it, since no symbol can settle it there. A window that also starts in a document with a smaller id
+is removed with all its words.
+
+The exchanges pack their entries into arrays by buckets: a symbol, anchor or window enters once for each block of
+documents that has it, so a passage that a third of all documents share costs a bucket an entry a block. Blocks of
+documents and buckets have a bounded size; more data means more of them.
 
 Null text: no words. Texts with fewer words than a window lose nothing. Rows with equal ids are separate documents that
 don't take words from each other, as neither id is smaller; a null id is larger than every id. An empty table gives an
@@ -25,16 +31,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import block_of, blobs, bucket_count, by_key, grouped_runs, words_of, mix, narrow, pick, remix, shuffle_partitions, text_bytes, text_chunks, widen
+from cellgrid.llm.common import block_of, blobs, bucket_count, by_key, cut, grouped_runs, mix, narrow, pick, release, remix, shuffle_partitions, text_bytes, text_chunks, widen, words_of
 
 WINDOW = 13
-ROUNDS = 2
+#: Rounds whose symbols are anchors, and all rounds.
+ROUNDS, DEEP = 2, 48
 #: Text of a block of documents and of a bucket of anchors, in bytes.
 BLOCK_BYTES = 16 << 20
 
@@ -78,20 +87,24 @@ def joined_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, breaks
 
 
-def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of every round: the symbols, and of each the first word of its context and the word after it. Both rise."""
+def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every round: the symbols; of each the first word of its context and the word after that; its own first word, and
+    whether the round made it. All places rise. Ends where each text is one symbol."""
     name = words
+    own = np.arange(len(words))
     apart = np.zeros(len(words), bool)  # separators stay alone in all rounds
     apart[breaks] = True
     lo = np.arange(len(words))
     hi = lo + 1
-    yield name, lo, hi
+    yield name, lo, hi, own, np.ones(len(words), bool)
     for k in range(1, n_rounds + 1):
+        if len(name) <= 2 * len(breaks) and not (~apart[1:] & ~apart[:-1]).any():
+            return
         # runs: a run is whole only if its neighbours are known
         start = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | apart[1:] | apart[:-1])))
         size = np.diff(np.append(start, len(name)))
         lo, hi = lo[np.maximum(start - 1, 0)], hi[np.minimum(start + size, len(name) - 1)]
-        name, apart = np.where(size > 1, mix(name[start], size, 2 * k), name[start]), apart[start]
+        name, apart, own, made = np.where(size > 1, mix(name[start], size, 2 * k), name[start]), apart[start], own[start], size > 1
         # pairs of a left and a right symbol
         right = (mix(name, np.uint64(k), 77) >> np.uint64(63)).astype(bool)
         left = ~right & ~apart
@@ -104,8 +117,8 @@ def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS) -> Ite
         hi = np.where(left, after, hi)
         lo = np.where(right, before, lo)
         keep = ~second
-        name, lo, hi, apart = name[keep], lo[keep], hi[keep], apart[keep]
-        yield name, lo, hi
+        name, lo, hi, apart, own, made = name[keep], lo[keep], hi[keep], apart[keep], own[keep], (made | pair)[keep]
+        yield name, lo, hi, own, made
 
 
 def starts_of_windows(breaks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +130,33 @@ def starts_of_windows(breaks: np.ndarray, window: int) -> tuple[np.ndarray, np.n
     return first + np.arange(len(owner)), owner
 
 
-def anchors(words: np.ndarray, breaks: np.ndarray, starts: np.ndarray, window: int, n_rounds: int = ROUNDS) -> np.ndarray:
-    """The anchor of each window: a hash of a symbol's context."""
+class Parsed(NamedTuple):
+    """What the rounds make of some texts: the low rounds, and the places of the high symbols' words."""
+
+    low: list[tuple[np.ndarray, np.ndarray]]
+    first: np.ndarray
+    last: np.ndarray
+
+
+def parsed(words: np.ndarray, breaks: np.ndarray, least: int, n_rounds: int = ROUNDS, deep: int = DEEP) -> Parsed:
+    """least: the words that a high symbol stands for at least."""
+    low, first, last = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (_, lo, hi, own, made) in enumerate(rounds(words, breaks, deep)):
+        if k <= n_rounds:
+            low.append((lo, hi))
+        end = np.append(own[1:], len(words))
+        high = made & (end - own >= least)
+        first.append(own[high])
+        last.append(end[high])
+    return Parsed(low, np.concatenate(first), np.concatenate(last))
+
+
+def anchors(words: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of each window: a hash of a symbol's context. low: of the low rounds, the contexts' places."""
     out = np.zeros(len(starts), np.uint64)
     spans = Spans(words, _FIRST)
     left = np.ones(len(starts), bool)  # windows without an anchor yet
-    for k, (_, lo, hi) in reversed(list(enumerate(rounds(words, breaks, n_rounds)))):
+    for k, (lo, hi) in reversed(list(enumerate(low))):
         own = starts[left]
         if not len(own):
             break
@@ -146,21 +180,57 @@ def anchors(words: np.ndarray, breaks: np.ndarray, starts: np.ndarray, window: i
     return out
 
 
+def span_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each stretch of words."""
+    return Spans(words, _FIRST)(first, last), Spans(remix(words ^ np.uint64(0x5851F42D4C957F2D)), _SECOND)(first, last)
+
+
 def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window's words."""
-    a = Spans(words, _FIRST)(starts, starts + window)
-    b = Spans(remix(words ^ np.uint64(0x5851F42D4C957F2D)), _SECOND)(starts, starts + window)
-    return a, b
+    return span_hashes(words, starts, starts + window)
+
+
+class Known:
+    """Hashes of word stretches (one whole, half of another) with the least id of the documents that have them."""
+
+    def __init__(self, names: np.ndarray, halves: np.ndarray, least: np.ndarray):
+        order = np.lexsort((halves, names))
+        self.names, self.halves, self.least = names[order], halves[order], least[order]
+        same = np.flatnonzero(np.append(self.names[1:] != self.names[:-1], True)) if len(names) else np.zeros(0, np.int64)
+        self.twins = int(np.diff(same, prepend=-1).max(initial=1))  # different stretches with one whole hash
+
+    def earlier(self, names: np.ndarray, halves: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of the stretches a document with a smaller id has."""
+        if not len(self.names) or not len(names):
+            return np.zeros(len(names), bool)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        for _ in range(self.twins - 1):
+            after = np.minimum(at + 1, len(self.names) - 1)
+            at = np.where((self.names[at] == names) & (self.halves[at] != halves) & (self.names[after] == names), after, at)
+        return (self.names[at] == names) & (self.halves[at] == halves) & (self.least[at] < ids)
+
+
+def settled(flat: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, known: Known, window: int) -> np.ndarray:
+    """For each word whether the window that starts there lies in a high symbol that an earlier document has."""
+    a, b = span_hashes(flat, first, last)
+    hit = known.earlier(a, _half(b), ids)
+    edge = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(edge, first[hit], 1)
+    np.add.at(edge, last[hit] - window + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def _half(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
+def _blob(x: np.ndarray) -> bytes:
+    return x.tobytes() if x.dtype != np.int64 else narrow(x)
+
+
 def _packed(key: np.ndarray, block: int | None, *arrays: np.ndarray) -> Iterator[tuple]:
     """A row for each key, with the block that sends it: hashes as bytes, ids narrowed."""
     for k, slices in by_key(key, *arrays):
-        yield (k, block, *[x.tobytes() if x.dtype != np.int64 else narrow(x) for x in slices])
+        yield (k, block, *map(_blob, slices))
 
 
 def _rows(rows: list[tuple], columns: int) -> pa.RecordBatch:
@@ -203,59 +273,96 @@ def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield np.array(ids, np.int64), texts
 
 
-def _send_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, block, a0, a1): a block's anchors, once each, and which of them several of its documents have; by bucket of
-    the anchor."""
+def _send_symbols(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(key, block, a0 ... a5): a block's anchors, once each, and which of them several of its documents have; its high
+    symbols, once each, with the least and greatest id that has them; by bucket of the hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        held = []
+        low, high = [], []
         for ids, texts in _texts(table):
             flat, breaks = joined_words(texts)
             starts, owner = starts_of_windows(breaks, window)
             if len(starts):
-                names = anchors(flat, breaks, starts, window)
+                made = parsed(flat, breaks, 2 * window)
+                names = anchors(flat, made.low, starts, window)
                 fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])))
-                held.append((names[fresh], ids[owner[fresh]]))
+                low.append((names[fresh], ids[owner[fresh]]))
+                a, b = span_hashes(flat, made.first, made.last)
+                high.append((a, _half(b), ids[np.searchsorted(breaks, made.first, "right") - 1]))
         rows = []
-        if held:
-            names, ids = (np.concatenate(x) for x in zip(*held))
-            names, low, high = _extremes(ids, names)
-            rows = list(_packed((names % np.uint64(buckets)).astype(np.int64), table.column("block")[0].as_py(), names, (low < high).astype(np.uint8)))
-        return pa.Table.from_batches([_rows(rows, 2)])
+        if low:
+            block = table.column("block")[0].as_py()
+            names, ids = (np.concatenate(x) for x in zip(*low))
+            names, least, most = _extremes(ids, names)
+            rows += [(*r, *[b""] * 4) for r in _packed((names % np.uint64(buckets)).astype(np.int64), block, names, (least < most).astype(np.uint8))]
+            a, half, ids = (np.concatenate(x) for x in zip(*high))
+            if len(a):
+                a, half, least, most = _extremes(ids, a, half)
+                rows += [(k, own, b"", b"", *r) for k, own, *r in _packed((a % np.uint64(buckets)).astype(np.int64), block, a, half, least, most)]
+        return pa.Table.from_batches([_rows(rows, 6)])
 
-    return docs.groupBy("block").applyInArrow(run, _schema(2))
+    return docs.groupBy("block").applyInArrow(run, _schema(6))
 
 
-def _shared_anchors(sent: DataFrame, partitions: int) -> DataFrame:
-    """(key, block, a0): the anchors of a block that more than one document has; key is the block."""
+def _shared_symbols(sent: DataFrame, partitions: int) -> DataFrame:
+    """(key, block, a0 ... a3): the anchors of a block that more than one document has, and its high symbols that a
+    document with a smaller id than one of its own has, with the least id; key is the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped_runs(batches):
-            names, block, several = _u64(blobs(parts, 2)), _blocks(parts), np.frombuffer(b"".join(blobs(parts, 3)), np.uint8)
-            order = np.argsort(names, kind="stable")
-            names, block, several = names[order], block[order], several[order]
-            edge = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            size = np.diff(np.append(edge, len(names)))
-            shared = np.repeat((size > 1) | (np.maximum.reduceat(several, edge) > 0), size)
-            if shared.any():
-                yield _rows(list(_packed(block[shared], None, names[shared])), 1)
+            table = pa.Table.from_batches(parts)
+            blocks = table.column("block").to_numpy()
+            column = lambda k: table.column(f"a{k}").to_pylist()
+            rows = []
+            blobs_ = column(0)
+            names, several = _u64(blobs_), np.frombuffer(b"".join(column(1)), np.uint8)
+            block = np.repeat(blocks, [len(x) // 8 for x in blobs_])
+            if len(names):
+                order = np.argsort(names, kind="stable")
+                names, block, several = names[order], block[order], several[order]
+                edge = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+                size = np.diff(np.append(edge, len(names)))
+                shared = np.repeat((size > 1) | (np.maximum.reduceat(several, edge) > 0), size)
+                rows += [(*r, *[b""] * 3) for r in _packed(block[shared], None, names[shared])]
+            blobs_ = column(2)
+            a, half = _u64(blobs_), np.frombuffer(b"".join(column(3)), "<u4")
+            block = np.repeat(blocks, [len(x) // 8 for x in blobs_])
+            if len(a):
+                low, high = (_ids([x for x in column(k) if x]) for k in (4, 5))
+                order = np.lexsort((half, a))
+                a, half, block, low, high = (x[order] for x in (a, half, block, low, high))
+                edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (half[1:] != half[:-1]))))
+                least = np.repeat(np.minimum.reduceat(low, edge), np.diff(np.append(edge, len(a))))
+                later = high > least
+                rows += [(k, own, b"", *r) for k, own, *r in _packed(block[later], None, a[later], half[later], least[later])]
+            if rows:
+                yield _rows(rows, 4)
+
+    return _by_bucket(sent, partitions).mapInArrow(run, _schema(4))
 
-    return _by_bucket(sent, partitions).mapInArrow(run, _schema(1))
+
+def _known(table: pa.Table, columns: tuple[str, str, str]) -> Known:
+    names, halves, least = (table.column(c).to_pylist() for c in columns)
+    some = [x for x in least if x]
+    return Known(_u64(names), np.frombuffer(b"".join(halves), "<u4"), _ids(some) if some else np.zeros(0, np.int64))
 
 
 def _send_windows(docs: DataFrame, shared: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(key, block, a0, a1, a2, a3): a block's windows with a shared anchor, once each, with the least and greatest id
-    that has it; by bucket of the window."""
+    """(key, block, a0, a1, a2, a3): a block's windows with a shared anchor that no high symbol settles, once each, with
+    the least and greatest id that has it; by bucket of the window."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, held = [], []
         if left.num_rows and right.num_rows:
-            known = np.sort(_u64(right.column("a0").to_pylist()))
+            shared_anchors = np.sort(_u64(right.column("a0").to_pylist()))
+            symbols = _known(right, ("a1", "a2", "a3"))
             for ids, texts in _texts(left):
                 flat, breaks = joined_words(texts)
                 starts, owner = starts_of_windows(breaks, window)
                 if len(starts):
-                    near = np.isin(anchors(flat, breaks, starts, window), known)
+                    made = parsed(flat, breaks, 2 * window)
+                    near = np.isin(anchors(flat, made.low, starts, window), shared_anchors)
+                    near &= ~settled(flat, made.first, made.last, ids[np.searchsorted(breaks, made.first, "right") - 1], symbols, window)[starts]
                     held.append((*window_hashes(flat, starts[near], window), ids[owner[near]]))
         if held:
             a, b, ids = (np.concatenate(x) for x in zip(*held))
@@ -287,26 +394,21 @@ def _later_windows(sent: DataFrame, partitions: int) -> DataFrame:
 
 
 def _stays(table: pa.Table, right: pa.Table, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a block's documents: texts, which words are covered, where each text's words begin, and how many it loses."""
-    names, halves, least = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    if right.num_rows:
-        names, halves, least = _u64(right.column("a0").to_pylist()), np.frombuffer(b"".join(right.column("a1").to_pylist()), "<u4"), _ids(right.column("a2").to_pylist())
-        order = np.lexsort((halves, names))
-        names, halves, least = names[order], halves[order], least[order]
-    twins = len(names) > 1 and (names[1:] == names[:-1]).any()  # different windows with one hash
+    """Of a block's documents: texts, which words are covered, where each text's words begin, and how many it loses.
+    right: what is known of the block's windows (`high` false) and high symbols."""
+    high = right.column("high")
+    windows, symbols = (_known(right.filter(mask), ("a0", "a1", "a2")) for mask in (pc.invert(high), high))
     for ids, texts in _texts(table):
         flat, breaks = joined_words(texts)
         starts, owner = starts_of_windows(breaks, window)
         gone = np.zeros(len(flat) + 1, np.int64)
-        if len(starts) and len(names):
+        if len(starts) and right.num_rows:
             a, b = window_hashes(flat, starts, window)
-            at = np.minimum(np.searchsorted(names, a), len(names) - 1)
-            half = _half(b)
-            if twins:
-                for _ in range(int(np.unique(names, return_counts=True)[1].max()) - 1):
-                    after = np.minimum(at + 1, len(names) - 1)
-                    at = np.where((names[at] == a) & (halves[at] != half) & (names[after] == a), after, at)
-            removed = starts[(names[at] == a) & (halves[at] == half) & (least[at] < ids[owner])]
+            hit = windows.earlier(a, _half(b), ids[owner])
+            if len(symbols.names):
+                made = parsed(flat, breaks, 2 * window)
+                hit |= settled(flat, made.first, made.last, ids[np.searchsorted(breaks, made.first, "right") - 1], symbols, window)[starts]
+            removed = starts[hit]
             gone[removed] += 1
             gone[removed + window] -= 1
         covered = np.cumsum(gone)[:-1] > 0
@@ -319,13 +421,17 @@ def _kept(text: bytes, covered: np.ndarray) -> str:
 
 
 def _later(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their blocks, and what `_later_windows` found. All stages take the same rows by the same
-    blocks, so Spark deals the documents out once."""
+    """The documents with their blocks, and what is known of each block's windows and high symbols: (key, high, a0, a1,
+    a2). The symbols are cut off, so that what their exchange took is free before windows travel; the two stages behind
+    them take the same rows by the same blocks, so Spark deals the documents out once for both."""
     size = text_bytes(docs)
     blocks, partitions = bucket_count(size, BLOCK_BYTES), shuffle_partitions(docs.sparkSession, size)
     blocked = docs.withColumn("block", block_of("id", "text", blocks))
-    shared = _shared_anchors(_send_anchors(blocked, window, blocks), partitions)
-    return blocked, _later_windows(_send_windows(blocked, shared, window, blocks), partitions)
+    shared = cut(_shared_symbols(_send_symbols(blocked.select("id", "text", "block"), window, blocks), partitions))
+    release(docs.sparkSession)
+    windows = _later_windows(_send_windows(blocked, shared, window, blocks), partitions).select("key", F.lit(False).alias("high"), "a0", "a1", "a2")
+    symbols = shared.filter(F.octet_length("a1") > 0).select("key", F.lit(True).alias("high"), F.col("a1").alias("a0"), F.col("a2").alias("a1"), F.col("a3").alias("a2"))
+    return blocked, windows.unionByName(symbols)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
