@@ -2,7 +2,7 @@
 
 Equal texts form one unit, which has a point (least id, size, language, source, each scaled to 0..1) and a weight, its
 bytes. The tree splits every node along its widest dimension at the weighted quantile that gives each side its share of
-the target bytes. The quantiles are found by distributed histograms that are refined until the cut falls between two
+the target bytes, until a leaf holds one shard's. The quantiles are found by distributed histograms that are refined until the cut falls between two
 units, so nothing but a histogram of fixed size reaches the driver. Units of over a hundredth of a shard would tilt any
 cut: these few (at most a hundred a shard) are dealt first, heaviest to the emptiest shard, and the tree's targets
 allow for them. A unit larger than a shard is split by a hash of the id, since otherwise no law of equal bytes can hold.
@@ -48,30 +48,42 @@ def _points(units: DataFrame) -> DataFrame:
     return units
 
 
-def _node(cuts: dict[int, tuple[str, int]], levels: int) -> Column:
-    """The node at a depth: children of n are 2n and 2n + 1."""
+def _node(cuts: dict[int, tuple[str, int]]) -> Column:
+    """The node of the tree so far in which a point lies: children of n are 2n and 2n + 1."""
     node = F.lit(1)
-    for level in range(levels):
+    for level in range(max(cuts, default=0).bit_length()):
         own = [n for n in cuts if n >> level == 1]
-        side = reduce(lambda other, n: F.when(node == n, (F.col(f"k_{cuts[n][0]}") >= cuts[n][1]).cast("int")).otherwise(other), own, F.lit(0))
-        node = node * 2 + side
+        node = reduce(lambda other, n: F.when(node == n, F.lit(2 * n) + (F.col(f"k_{cuts[n][0]}") >= cuts[n][1]).cast("int")).otherwise(other), own, node)
     return node
 
 
-def tree(points: DataFrame, room: dict[int, float], levels: int) -> dict[int, tuple[str, int]]:
+def shape(shards: int) -> dict[int, int]:
+    """How many shards each node of the tree stands for; a node of one is a leaf."""
+    counts = {1: shards}
+    for n in (x for level in range(shards.bit_length() + 1) for x in range(1 << level, 2 << level)):
+        if counts.get(n, 1) > 1:
+            counts[2 * n], counts[2 * n + 1] = (counts[n] + 1) // 2, counts[n] // 2
+    return counts
+
+
+def leaves_below(counts: dict[int, int], n: int) -> list[int]:
+    """The leaves of a node, from left to right."""
+    return [n] if counts[n] == 1 else leaves_below(counts, 2 * n) + leaves_below(counts, 2 * n + 1)
+
+
+def tree(points: DataFrame, room: dict[int, float], counts: dict[int, int]) -> dict[int, tuple[str, int]]:
     """Cuts (dimension, first key of the right side) of all inner nodes; room: the bytes that each leaf may still take."""
     cuts: dict[int, tuple[str, int]] = {}
-    for level in range(levels):
-        noded = points.withColumn("node", _node(cuts, level))
-        wide = noded.groupBy("node").agg(F.sum("weight").alias("w"), *[F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("weight") * F.col(f"x_{d}") ** 2) / F.sum("weight") - (F.sum(F.col("weight") * F.col(f"x_{d}")) / F.sum("weight")) ** 2)).alias(d) for d in DIMENSIONS]).collect()
+    for level in range(max(counts).bit_length() - 1):
+        inner = [n for n in counts if n >> level == 1 and counts[n] > 1]
+        noded = points.withColumn("node", _node(cuts))
+        wide = noded.filter(F.col("node").isin(inner)).groupBy("node").agg(F.sum("weight").alias("w"), *[F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("weight") * F.col(f"x_{d}") ** 2) / F.sum("weight") - (F.sum(F.col("weight") * F.col(f"x_{d}")) / F.sum("weight")) ** 2)).alias(d) for d in DIMENSIONS]).collect()
         open_: dict[int, dict] = {}
         for r in wide:
             n = r["node"]
-            depth = levels - level - 1
-            left = sum(room[x] for x in range((2 * n) << depth, (2 * n + 1) << depth))
-            right = sum(room[x] for x in range((2 * n + 1) << depth, (2 * n + 2) << depth))
+            left, right = (sum(room[x] for x in leaves_below(counts, child)) for child in (2 * n, 2 * n + 1))
             open_[n] = {"dim": max(DIMENSIONS, key=lambda d: (r[d], d)), "goal": r["w"] * (left / (left + right) if left + right > 0 else 0.5), "below": 0.0, "lo": 0, "shift": BITS}
-        for n in range(1 << level, 2 << level):
+        for n in inner:
             if n not in open_:
                 cuts[n] = ("id", 1 << BITS)  # no unit is there
         while open_:
@@ -101,10 +113,12 @@ def tree(points: DataFrame, room: dict[int, float], levels: int) -> dict[int, tu
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """docs: (id, text, lang, source). Returns (id, size, text_crc32, shard, slot); shards must be a power of two."""
-    levels = shards.bit_length() - 1
-    if shards < 1 or 1 << levels != shards:
-        raise ValueError("the number of shards must be a power of two")
+    """docs: (id, text, lang, source). Returns (id, size, text_crc32, shard, slot). A node of the tree stands for a number
+    of shards and gives each side its half of them, until one is left, whose bytes are the target."""
+    if shards < 1:
+        raise ValueError("there must be a shard")
+    counts = shape(shards)
+    leaves = leaves_below(counts, 1)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = pick(docs, "id", "text", "lang", "source").select(F.col("id").cast("long"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("unit"))
     rows = cut(rows)
@@ -129,8 +143,9 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         load[at] += r["weight"]
         dealt.append((bytes(r["unit"]), r["part"], at))
     light = points.filter(F.col("weight") <= HEAVY * target)
-    cuts = tree(light, {shards + s: max(0.0, target - x) for s, x in enumerate(load)}, levels)
-    placed = light.select("unit", "part", (_node(cuts, levels) - shards).cast("int").alias("shard"))
+    cuts = tree(light, {leaf: max(0.0, target - x) for leaf, x in zip(leaves, load)}, counts)
+    number = F.element_at(F.create_map(*[F.lit(x) for s, leaf in enumerate(leaves) for x in (leaf, s)]), _node(cuts))
+    placed = light.select("unit", "part", number.cast("int").alias("shard"))
     if dealt:
         placed = placed.unionByName(docs.sparkSession.createDataFrame(dealt, "unit binary, part long, shard int"))
     found = parted.join(placed, ["unit", "part"]).select("id", "size", "text_crc32", "shard")

@@ -137,8 +137,20 @@ def test_shards(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
     assert (got.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
     assert D.shard(df.limit(0), 8).count() == 0 and D.shard(df, 1).agg(F.max("shard")).first()[0] == 0
+    for shards in (3, 6, 11):
+        by = D.shard(df, shards).groupBy("shard").agg(F.sum("size").alias("n"), F.max("slot").alias("slot"), F.count("*").alias("rows")).collect()
+        assert sorted(r["shard"] for r in by) == list(range(shards)) and all(r["slot"] == r["rows"] - 1 for r in by)
+        assert max(r["n"] for r in by) - min(r["n"] for r in by) <= 0.04 * total / shards
     with pytest.raises(ValueError):
-        D.shard(df, 6)
+        D.shard(df, 0)
+
+
+def test_trees_of_any_number_of_leaves():
+    for shards in range(1, 40):
+        counts = D.shape(shards)
+        leaves = D.leaves_below(counts, 1)
+        assert len(leaves) == shards and all(counts[x] == 1 for x in leaves)
+        assert all(counts[n] == counts[2 * n] + counts[2 * n + 1] for n in counts if counts[n] > 1)
 
 
 def test_a_group_beyond_a_shard_is_split(spark):
