@@ -87,37 +87,52 @@ def joined_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, breaks
 
 
-def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of every round: the symbols; of each the first word of its context and the word after that; its own first word, and
-    whether the round made it. All places rise. Ends where each text is one symbol."""
+def rounds(words: np.ndarray, breaks: np.ndarray, n_rounds: int = ROUNDS, contexts: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every round: the symbols; of each the first word of its context and the word after that (up to the round
+    `contexts`, then None); its own first word, and whether the round made it. All places rise. Ends where each text is
+    one symbol."""
     name = words
-    own = np.arange(len(words))
+    own = lo = np.arange(len(words))
+    hi = own + 1
     apart = np.zeros(len(words), bool)  # separators stay alone in all rounds
     apart[breaks] = True
-    lo = np.arange(len(words))
-    hi = lo + 1
     yield name, lo, hi, own, np.ones(len(words), bool)
     for k in range(1, n_rounds + 1):
         if len(name) <= 2 * len(breaks) and not (~apart[1:] & ~apart[:-1]).any():
             return
+        if k > contexts:
+            lo = hi = None
         # runs: a run is whole only if its neighbours are known
-        start = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | apart[1:] | apart[:-1])))
-        size = np.diff(np.append(start, len(name)))
-        lo, hi = lo[np.maximum(start - 1, 0)], hi[np.minimum(start + size, len(name) - 1)]
-        name, apart, own, made = np.where(size > 1, mix(name[start], size, 2 * k), name[start]), apart[start], own[start], size > 1
+        same = name[1:] == name[:-1]
+        same &= ~(apart[1:] | apart[:-1])
+        made = np.zeros(len(name), bool)
+        if same.any():
+            start = np.flatnonzero(np.concatenate(([True], ~same)))
+            size = np.diff(np.append(start, len(name)))
+            made = size > 1
+            if lo is not None:
+                lo, hi = lo[np.maximum(start - 1, 0)], hi[np.minimum(start + size, len(name) - 1)]
+            name, apart, own = name[start], apart[start], own[start]
+            name[made] = mix(name[made], size[made], 2 * k)
+        else:
+            name = name.copy()
+            if lo is not None:
+                lo, hi = np.concatenate((lo[:1], lo[:-1])), np.concatenate((hi[1:], hi[-1:]))
         # pairs of a left and a right symbol
-        right = (mix(name, np.uint64(k), 77) >> np.uint64(63)).astype(bool)
-        left = ~right & ~apart
+        right = (name * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(63)).astype(bool)
+        left = ~(right | apart)
         right &= ~apart
-        pair = np.concatenate((left[:-1] & right[1:], [False]))
-        second = np.concatenate(([False], pair[:-1]))
-        after, before = np.concatenate((hi[1:], hi[-1:])), np.concatenate((lo[:1], lo[:-1]))
-        follower = np.concatenate((name[1:], name[-1:]))
-        name = np.where(pair, mix(name, follower, 2 * k + 1), name)
-        hi = np.where(left, after, hi)
-        lo = np.where(right, before, lo)
-        keep = ~second
-        name, lo, hi, apart, own, made = name[keep], lo[keep], hi[keep], apart[keep], own[keep], (made | pair)[keep]
+        first = np.flatnonzero(left[:-1] & right[1:])
+        if lo is not None:
+            after, before = np.concatenate((hi[1:], hi[-1:])), np.concatenate((lo[:1], lo[:-1]))
+            hi, lo = np.where(left, after, hi), np.where(right, before, lo)
+        name[first] = mix(name[first], name[first + 1], 2 * k + 1)
+        made[first] = True
+        keep = np.ones(len(name), bool)
+        keep[first + 1] = False
+        name, apart, own, made = name[keep], apart[keep], own[keep], made[keep]
+        if lo is not None:
+            lo, hi = lo[keep], hi[keep]
         yield name, lo, hi, own, made
 
 
@@ -141,7 +156,7 @@ class Parsed(NamedTuple):
 def parsed(words: np.ndarray, breaks: np.ndarray, least: int, n_rounds: int = ROUNDS, deep: int = DEEP) -> Parsed:
     """least: the words that a high symbol stands for at least."""
     low, first, last = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, (_, lo, hi, own, made) in enumerate(rounds(words, breaks, deep)):
+    for k, (_, lo, hi, own, made) in enumerate(rounds(words, breaks, deep, n_rounds)):
         if k <= n_rounds:
             low.append((lo, hi))
         end = np.append(own[1:], len(words))
