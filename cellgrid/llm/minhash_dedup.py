@@ -298,7 +298,7 @@ def _rest(open_: DataFrame, members: DataFrame, sets: DataFrame, percent: int, n
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    possible = cut(_possible(_dealt(open_), members, percent, n))
+    possible = _possible(_dealt(open_), members, percent, n)
     rows = possible.join(sets, "num").select("group", "num", "component", "side", "set")
     return _by_group(rows).mapInArrow(run, "u long, v long")
 
@@ -320,23 +320,22 @@ def _labelled(docs: DataFrame, words: int, percent: int, parts: int) -> DataFram
     # of a table the member that meets most others leads: copies tend to be near it
     leaders = tables.groupBy("key").agg(F.max(F.struct("w", "num")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("lead.num").alias("u"))
     met = tables.select("key", F.col("num").alias("v")).join(splittable(leaders), "key").filter("u != v").select("u", "v").distinct()
-    first = cut(_alike(cut(met), members, percent, sketch))
+    first = cut(_alike(met, members, percent, sketch))
     wanted = cut(nodes.join(members.select("num"), "num").select("num", "node", "id"))
     texts = docs.select("id", "text").join(few(wanted.select(F.col("id").alias("wanted")).distinct()), F.coalesce("id", F.lit(int(NULL_ID))) == F.col("wanted"), "left_semi")
     found = _sets(texts, words).join(few(wanted.select("num", "node")), "node").groupBy("num").agg(F.first("set").alias("set"))
     sets = cut(found, 5_000)
     release(spark)
     links = cut(_compared(first, sets, percent))
-    label = cut(components(links, "num"))
+    label = components(links, "num")
     # what the leaders have not joined: members of different components that meet in a table
     placed = tables.join(label, "num", "left").select("key", "one", "num", F.coalesce("component", "num").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
     open_ = cut(placed.join(splittable(mixed), "key").select("one", "num", "component").distinct().join(members.select("num", "n"), "num"))
-    later = cut(_rest(open_, members, sets, percent, sketch))
-    label = components(links.unionByName(later), "num")
+    label = components(links.unionByName(_rest(open_, members, sets, percent, sketch)), "num")
     known = nodes.join(label, "num", "left").select("node", "id", F.coalesce("component", "num").alias("component"))
     least = known.groupBy("component").agg(F.min("id").alias("least"))
-    known = cut(known.join(splittable(least), "component").select("node", "component", "least"))
+    known = known.join(splittable(least), "component").select("node", "component", "least")
     release(spark)
     return rows.join(known, "node", "left").select("id", "n_shingles", "component", F.when(F.col("node").isNull(), F.coalesce("id", F.lit(int(NULL_ID)))).otherwise(F.col("least")).alias("least"), *others)
 

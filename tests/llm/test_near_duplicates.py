@@ -75,6 +75,32 @@ def test_one_of_each_stays(spark):
     rows = [(3, text, 1), (1, text, 2), (1, text, 2), (2, text + " x", 3), (7, "quite other words that stay here", 4), (8, None, 5), (9, "", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
     assert sorted(r["doc_id"] for r in M.keep_one(df).collect()) == [1, 7, 8, 9]
+    # of linked rows with one id one stays, of rows with an empty set those of another id or text
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, other, 1), (5, other + " y", 2), (5, text, 3), (None, text + " x", 4), (9, "", 5), (9, "", 6), (9, None, 7), (None, None, 8), (None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    kept = M.keep_one(df).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) in [sorted([(5, x), (5, text), (9, ""), (9, None), (None, None)], key=repr) for x in (other, other + " y")]
+
+
+def test_sketches_never_rule_out_a_link(spark, monkeypatch):
+    """Sets that share tables but are not linked to their leader: found by blocks, whatever the blocks' size; also where
+    nothing is broadcast."""
+    rng = random.Random(12)
+    base = [f"u{i}" for i in range(150)]
+    rows = []
+    for _ in range(70):  # a chain: each is near the one before, far from the first
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            base[rng.randrange(len(base))] = f"u{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = brute(rows, 1, 90)
+    assert got(M.near_duplicates(df, 1, 90)) == want
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr("cellgrid.llm.common.BROADCAST_ROWS", 0)
+    assert got(M.near_duplicates(df, 1, 90)) == want
+    assert M.least_agreement(72, 85) < 0.85 * 72 and M.least_agreement(10, 100) == 10
 
 
 def test_signatures_meet_as_sets_do():

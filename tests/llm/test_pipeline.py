@@ -63,6 +63,19 @@ def test_queries_run_on_the_smallest_tables(spark, name):
         assert rows == n
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_agree_with_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SMALL):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
+    df = queries.QUERIES[name](spark, SMALL)
+    want = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_the_decoder_rejects_what_is_no_language(spark):
     import random
 
