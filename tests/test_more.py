@@ -2,6 +2,7 @@ import math
 
 from cellgrid.functions import healpix
 from cellgrid.operators import assign, geo, quality
+from cellgrid.plans import more
 from cellgrid.sources import observations
 
 
@@ -53,3 +54,31 @@ def test_file_stats_and_schema(spark, tmp_path):
 
 def test_suggestion():
     assert quality.suggest_convention({"lon_min": -5.0}) == "-180_180" and quality.suggest_convention({"lon_min": 0.0}) == "0_360"
+
+
+def prices(spark, tmp_path, flags):
+    """Line items whose sum of prices needs more digits than a double keeps on the way, and that sum by flag, from
+    whole cents in the queries' units."""
+    cents = "id * 7919 % 10499991 + 100000000"
+    items = spark.range(0, 400_000, 1, 3).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", f"({cents}) / 100D AS l_extendedprice", "1D AS l_quantity", f"element_at(array({flags}), cast(id % 3 + 1 AS int)) AS l_returnflag")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {}
+    for k in range(400_000):
+        found[k % 3] = found.get(k % 3, 0) + (k * 7919 % 10499991 + 100000000) * 100
+    return found
+
+
+def test_sums_of_partitioned_tables_are_exact(spark, tmp_path):
+    want = prices(spark, tmp_path, "'A', 'N', 'R'")
+    got = more.write_partitioned(spark, str(tmp_path))
+    assert {r["flag"]: r["v"] for r in got.collect()} == dict(zip("ANR", (want[k] for k in range(3))))
+
+
+def test_exact_sum_of_what_no_decimal_holds(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 1e300), ("a", 1.0), ("b", float("inf")), ("c", None), ("d", 0.1), ("d", 0.2), ("d", None)], "k string, v double")
+    got = {r["k"]: r["s"] for r in df.groupBy("k").agg(more.exact_sum("v").alias("s")).collect()}
+    assert got == {"a": 1e300, "b": float("inf"), "c": None, "d": 0.3}
+    assert math.isnan(spark.createDataFrame([(float("nan"),)], "v double").agg(more.exact_sum("v").alias("s")).first()["s"])
+    assert df.limit(0).agg(more.exact_sum("v").alias("s"), F.count("v")).first()["s"] is None
