@@ -92,7 +92,7 @@ def sampled_all(spark, sf_dir):
 def write_single_file(spark, sf_dir):
     path = f"{scratch(spark)}/one.parquet"
     observations.write_table(all_rows(spark, sf_dir).select("v"), path, single=True)
-    return spark.read.parquet(path).agg(F.lit(len(places.part_files(path))).alias("files"), F.count(F.lit(1)).alias("n"), micro(F.sum("v"), "v"))
+    return spark.read.parquet(path).agg(F.lit(len(places.part_files(path))).alias("files"), F.count(F.lit(1)).alias("n"), micro(exact_sum("v"), "v"))
 
 
 @query(f"SELECT flag, count(*) AS n, {sql.micro('sum(v)', 'v')} FROM ({sql.ALL}) GROUP BY flag")

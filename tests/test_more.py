@@ -82,3 +82,9 @@ def test_exact_sum_of_what_no_decimal_holds(spark):
     assert got == {"a": 1e300, "b": float("inf"), "c": None, "d": 0.3}
     assert math.isnan(spark.createDataFrame([(float("nan"),)], "v double").agg(more.exact_sum("v").alias("s")).first()["s"])
     assert df.limit(0).agg(more.exact_sum("v").alias("s"), F.count("v")).first()["s"] is None
+
+
+def test_sum_of_a_single_file_is_exact(spark, tmp_path):
+    want = prices(spark, tmp_path, "'A', 'N', 'R'")
+    got = more.write_single_file(spark, str(tmp_path)).first()
+    assert (got["files"], got["n"], got["v"]) == (1, 400_000, sum(want.values()))
