@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellgrid.llm.common import pick, text_chunks
 
@@ -227,25 +228,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: rows with doc_id, text and, where there are labels, lang among their columns. Those that have a language, unchanged. Rejected are
+    """docs: rows with doc_id, text and, where there are labels, lang among their columns. Those that have a language,
+    with `lang` set to it (as the last column where there was none): the one that their text is decoded to, whatever the
+    label says; only where the decoder flags the text as ambiguous the label, or `und` without one. Rejected are
     texts without a letter, and of the rows without a label those whose least loss is above the model's bound. Short or
     mixed texts, though flagged by `identify`, have a language and stay, as do labelled rows: their label says so.
-    Without any labelled row to learn from, every text with a letter stays."""
+    Without any labelled row to learn from, every text with a letter stays; labels stay, and the others are `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("doc_id"), docs.columns.index("text")
-    lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
+    lang_at = docs.columns.index("lang") if "lang" in docs.columns else len(docs.columns)
+    fields = list(docs.schema.fields)
+    fields[lang_at : lang_at + 1] = [T.StructField("lang", T.StringType())]
+    schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = WordMargins(model.weights)
         for batch in batches:
             if batch.num_rows:
-                _, _, _, lost, lettered = scored(model, known, batch, *at)
-                labels = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
-                labelled = np.array([x not in (None, UNDETERMINED) for x in labels], bool)
-                yield batch.filter(pa.array(lettered & (labelled | (lost <= model.bound))))
-
-    return docs.mapInArrow(run, docs.schema)
+                found, _, unsure, lost, lettered = scored(model, known, batch, *at)
+                labels = batch.column(lang_at).to_pylist() if lang_at < batch.num_columns else [None] * batch.num_rows
+                labels = [UNDETERMINED if x is None else str(x) for x in labels]
+                labelled = np.array([x != UNDETERMINED for x in labels], bool)
+                langs = [label if vague or lang == UNDETERMINED else lang for label, lang, vague in zip(labels, found, unsure)]
+                columns = [pa.array(langs, pa.string()) if i == lang_at else batch.column(i) for i in range(len(schema))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(lettered & (labelled | (lost <= model.bound))))
+
+    return docs.mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, learn_from: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

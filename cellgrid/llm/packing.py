@@ -9,7 +9,9 @@ longest first. `plan` tells the share that the program placed and the lower boun
 length by a gapless number, without any group being gathered.
 
 Null text: as empty, a piece that is the separator only. Null ids stay null; rows with equal ids are packed one by one;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored, but for one that `by` names: then pieces of different
+values of it (null is one) never share a sequence. Each value has a histogram, and a plan that is made in a task of its
+own, so the driver sees at most `capacity` numbers for each value.
 """
 
 from __future__ import annotations
@@ -181,12 +183,24 @@ def tokenised(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> I
             at += len(ids)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, _task, _rank): every document's pieces, ranked by length in their task."""
+def pieces(docs: DataFrame, path: str, capacity: int, separator: int, groups: list[str | None] | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, _group, _key, _task, _rank): every document's pieces, ranked in their task
+    among those of their group and length, which _key tells. groups: the values of a third column of docs, else all
+    documents are of group 0."""
+    number = {x: k for k, x in enumerate(groups or ())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), {}
-        for ids, tokens in tokenised(batches, path, separator):
+        named: list[int] = []  # of the batch whose chunks come now, and at which row the next chunk begins
+        at = 0
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            nonlocal named, at
+            for batch in batches:
+                named, at = [number[x] for x in batch.column(2).to_pylist()] if groups else [0] * batch.num_rows, 0
+                yield batch
+
+        for ids, tokens in tokenised(noted(), path, separator):
             owner, piece, length, crc = [], [], [], []
             for i, t in enumerate(tokens):
                 for p, s in enumerate(range(0, len(t), 4 * capacity)):
@@ -197,12 +211,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
                     crc.append(zlib.crc32(part))
             length = np.array(length, np.int64)
             piece = np.array(piece, np.int64)
+            group = np.array(named[at : at + len(ids)], np.int64)[owner]
+            at += len(ids)
+            key = group * (capacity + 1) + length
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(length), task, np.int64)), pa.array(local_ranks(length, seen))],
-                ["id", "piece", "start", "length", "ids_crc32", "_task", "_rank"],
+                [ids.take(pa.array(owner, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64()), pa.array(group), pa.array(key), pa.array(np.full(len(length), task, np.int64)), pa.array(local_ranks(key, seen))],
+                ["id", "piece", "start", "length", "ids_crc32", "_group", "_key", "_task", "_rank"],
             )
 
-    return pick(docs, "id", "text").select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long")
+    return docs.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, _group long, _key long, _task long, _rank long")
 
 
 # --- the configuration program -------------------------------------------------------------------------------------
@@ -375,10 +392,10 @@ class Slots:
     place: np.ndarray
 
 
-def slots(plan: dict[Filling, int]) -> dict[int, Slots]:
+def slots(plan: dict[Filling, int], base: int = 0) -> dict[int, Slots]:
+    """base: the first sequence."""
     rows: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     begins: dict[int, int] = defaultdict(int)
-    base = 0
     for filling, n in sorted(plan.items()):
         place = 0
         for length, m in filling:
@@ -389,28 +406,44 @@ def slots(plan: dict[Filling, int]) -> dict[int, Slots]:
     return {k: Slots(*(np.array(c, np.int64) for c in zip(*v))) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
-    """docs: (id, text). Returns (id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
-    ranked = cut(pieces(docs, tokenizer_path, capacity, separator))
-    demand = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    shared = docs.sparkSession.sparkContext.broadcast(slots(solve(demand, capacity)))
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0, by: str | None = None) -> DataFrame:
+    """docs: (id, text). Returns (id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece; with
+    `by`, a column of texts in docs, also that column, and each sequence is of one value of it."""
+    sc = docs.sparkSession.sparkContext
+    rows = pick(docs, "id", "text", *([by] if by else [])).withColumn("id", F.col("id").cast("long"))
+    if by:
+        rows = rows.select("id", "text", F.col(by).cast("string").alias("by"))
+    groups = sorted((r[0] for r in rows.select("by").distinct().collect()), key=lambda x: (x is None, x)) if by else None
+    ranked = cut(pieces(rows, tokenizer_path, capacity, separator, groups))
+    demands: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in ranked.groupBy("_group", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # capacity rows of a group at most
+        demands[r["_group"]][r["length"]] = r["n"]
+    listed = sorted(demands.items())
+    plans = sc.parallelize(listed, len(listed)).map(lambda x: solve(x[1], capacity)).collect() if len(listed) > 1 else [solve(x, capacity) for _, x in listed]
+    by_key, base = {}, 0
+    for (group, _), made in zip(listed, plans):
+        by_key |= {group * (capacity + 1) + x: s for x, s in slots(made, base).items()}
+        base += sum(made.values())
+    shared = sc.broadcast(by_key)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length = shared.value
+        by_key = shared.value
         for batch in batches:
-            length, number = (batch.column(k).to_numpy() for k in (3, 5))
+            length, group, key, number = (batch.column(k).to_numpy() for k in (3, 5, 6, 7))
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            for x in np.unique(length):
-                rows = np.flatnonzero(length == x)
-                s = by_length[int(x)]
+            for x in np.unique(key):
+                rows = np.flatnonzero(key == x)
+                s = by_key[int(x)]
                 f = np.searchsorted(s.begins, number[rows], "right") - 1
                 within = number[rows] - s.begins[f]
                 sequence[rows] = s.sequence[f] + within // s.each[f]
-                offset[rows] = s.place[f] + within % s.each[f] * x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+                offset[rows] = s.place[f] + within % s.each[f] * length[rows]
+            names = [pa.array(groups, pa.string()).take(pa.array(group))] if groups else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), *names], [*batch.schema.names[:5], "sequence_id", "offset", *["by"] * len(names)])
 
-    rows = numbered_offsets(ranked, "length", "number").select("id", "piece", "start", "length", "ids_crc32", "number")
-    return rows.mapInArrow(assign, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    numbered = numbered_offsets(ranked, "_key", "number").select("id", "piece", "start", "length", "ids_crc32", "_group", "_key", "number")
+    packed = numbered.mapInArrow(assign, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", by string" if groups else ""))
+    return packed if not by else packed.withColumnRenamed("by", by) if groups else packed.withColumn(by, F.lit(None).cast("string"))
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:

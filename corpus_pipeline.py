@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's
-docs. The first four return the columns of documents; the last returns the packed pieces.
+docs. The first four return the columns of documents, with the identified language as lang; the last returns the packed
+pieces, whose sequences hold one language each.
 """
 
 from __future__ import annotations
@@ -24,13 +25,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "n_chars": F.col("n_chars").cast("long")})
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), "text")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that have no language: no text, none with a letter, or, unlabelled, one that is further from
-    every language than the labelled rows, which it learns from."""
+    """Sets `lang` to the language that the text is in, by which the last stage packs; a label only teaches, and decides
+    where a text is ambiguous. Drops the documents that have no language: no text, none with a letter, or, unlabelled, one
+    that is further from every language than the labelled rows, which it learns from."""
     docs = _rows(docs)
     model = language_id.fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"), bounded=True)
     return language_id.keep_identified(docs, model)
@@ -53,8 +51,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all that is left into sequences of at most 2048 tokens; a row for each piece."""
-    return packing.pack(_texts(_rows(docs)), public_tokenizers.path("word_bpe_49k.json"), 2048, 0).withColumnRenamed("id", "doc_id")
+    """Packs all that is left into sequences of at most 2048 tokens, each of one identified language, so that a training
+    run can weigh languages and no text follows one in another language; a row for each piece."""
+    texts = pick(_rows(docs), "doc_id", "text", "lang").withColumnRenamed("doc_id", "id")
+    return packing.pack(texts, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, by="lang").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -225,3 +225,24 @@ def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv long, turn long, role string, text string")
     tree = C.build(empty)
     assert tree.nodes.count() == 0 and C.read_back(tree).count() == 0
+
+
+def test_packs_by_a_column(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("some words are here".split(), k=rng.choice([3, 400, 1500, 5000]))), rng.choice(["aa", "bb", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, kind string").repartition(3)
+    plain, got = P.pack(df, PATH).toPandas(), P.pack(df, PATH, by="kind").toPandas()
+    assert list(got.columns) == [*plain.columns, "kind"]
+    same = ["id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, got[same].to_numpy().tolist())) == sorted(map(tuple, plain[same].to_numpy().tolist()))
+    own = {i: k for i, _, k in rows}
+    kinds = got["kind"].astype(object).where(got["kind"].notna(), None)
+    assert [own[i] for i in got["id"]] == list(kinds)
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
+        assert len({own[i] for i in g["id"]}) == 1
+    for kind in ("aa", "bb", None):
+        mine = got[[own[i] == kind for i in got["id"]]]
+        assert mine["sequence_id"].nunique() == sum(P.solve(mine.groupby("length").size().to_dict()).values())
+    assert P.pack(df.limit(0), PATH, by="kind").columns == list(got.columns) and P.pack(df.limit(0), PATH, by="kind").count() == 0

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cellgrid.llm import queries
+from cellgrid.llm import language_id, queries
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
@@ -97,3 +97,40 @@ def test_without_labels_texts_with_a_letter_stay(spark, label):
     rows = [(1, "Some clean words of text.", label, "s", 25), (2, "12 34 !!", label, "s", 8), (3, None, label, "s", 0), (4, "x", label, "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()} == {1, 4}
+
+
+def test_what_language_id_finds_decides_what_shares_a_sequence(spark):
+    import random
+
+    rng = random.Random(4)
+    words = "the of and to in that is was for on with his they at be this from have".split()
+    mirrored = str.maketrans("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")  # as many n-grams as the first
+    own, rows = {}, []
+    for k in range(0, 200, 2):  # some with each other's label, some with none
+        text = " ".join(rng.choices(words, k=60))
+        own |= {k: "aa", k + 1: "bb"}
+        labels = ("bb", "aa") if k % 20 == 0 else (None, None) if k % 20 == 10 else ("aa", "bb")
+        rows += [(k, text, labels[0], "s", 1), (k + 1, text.translate(mirrored), labels[1], "s", 1)]
+    rows += [(1000, "\u03a9", "aa", "s", 1), (1001, "\u03a9", "bb", "s", 1), (1002, "\u03a9", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.identify_language(spark, docs, SMALL)
+    langs = {r["doc_id"]: r["lang"] for r in found.collect()}
+    assert langs == own | {1000: "aa", 1001: "bb", 1002: "und"}
+    packed = corpus_pipeline.pack_sequences(spark, found, SMALL).collect()
+    assert {(r["doc_id"], r["lang"]) for r in packed} == set(langs.items())
+    held = {}
+    for r in packed:
+        held.setdefault(r["sequence_id"], set()).add(langs[r["doc_id"]])
+    assert all(len(x) == 1 for x in held.values())
+    # with the labels alone, texts in one language would share sequences with texts in the other
+    by_label = {}
+    for r in corpus_pipeline.pack_sequences(spark, docs, SMALL).collect():
+        by_label.setdefault(r["sequence_id"], set()).add(langs[r["doc_id"]])
+    assert any(len(x) > 1 for x in by_label.values())
+
+
+def test_without_a_model_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "Some words.", "en"), (2, "Some words.", None)], "doc_id long, text string, lang string")
+    none = language_id.fit(docs.limit(0).withColumnRenamed("doc_id", "id"))
+    assert {r["doc_id"]: r["lang"] for r in language_id.keep_identified(docs, none).collect()} == {1: "en", 2: "und"}
+    assert language_id.keep_identified(docs.drop("lang"), none).columns == ["doc_id", "text", "lang"]
